@@ -1,0 +1,11 @@
+"""Every named query of the engine with the SQL that must give the same rows."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
