@@ -51,3 +51,20 @@ def text_volume(df: DataFrame, text_col: str = "text") -> tuple[int, int]:
     """Rows and bytes of text."""
     n, size = df.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()
     return n, size or 0
+
+
+def pieces(batches, chars: int = 2_000_000):
+    """Slices of Arrow batches whose text column ``text`` holds about so many bytes, and one row at least."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index("text"))), 0).to_numpy(zero_copy_only=False).astype("int64"))
+        start = 0
+        while start < batch.num_rows:
+            base = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, base + chars, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop

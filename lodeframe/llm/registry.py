@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from .bpe import op10_bpe
 from .chat import OP5_SQL, op5_chat
 from .sharding import op9_sharding
 
 
 def queries() -> dict:
-    return {"op5_chat": op5_chat, "op9_sharding": op9_sharding}
+    return {"op5_chat": op5_chat, "op9_sharding": op9_sharding, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
