@@ -5,13 +5,14 @@ from __future__ import annotations
 from .bpe import op10_bpe
 from .chat import OP5_SQL, op5_chat
 from .lmscore import op1_lm
+from .neardup import op7_jaccard
 from .quality import op4_quality
 from .sharding import op9_sharding
 from .tokenfile import op2_tokens
 
 
 def queries() -> dict:
-    return {"op1_lm": op1_lm, "op2_tokens": op2_tokens, "op4_quality": op4_quality, "op5_chat": op5_chat, "op9_sharding": op9_sharding, "op10_bpe": op10_bpe}
+    return {"op1_lm": op1_lm, "op2_tokens": op2_tokens, "op4_quality": op4_quality, "op5_chat": op5_chat, "op7_jaccard": op7_jaccard, "op9_sharding": op9_sharding, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
