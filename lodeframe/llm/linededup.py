@@ -70,8 +70,8 @@ def within_one_edit(x: Column, y: Column) -> Column:
     return (F.abs(n - m) <= 1) & (before + behind >= F.greatest(n, m) - 1)
 
 
-def dedup_lines(docs: DataFrame, least_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_lines, n_dropped, text of every row, without its near-duplicate lines.
+def dedup_lines(docs: DataFrame, least_words: int = 8, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_lines, n_dropped, text of every row, without its near-duplicate lines, and the columns to carry along.
 
     Lines are compared by their words; those with fewer than ``least_words`` always stay. A line goes if an equal line stands earlier in the corpus, or if the earliest equal line has an earlier one within one edit. A null text stays null with no lines, an empty one has one empty line that stays. Rows with the same id count as one place each: repeated rows keep the lines of all of them. An empty table gives no rows.
     """
@@ -79,10 +79,10 @@ def dedup_lines(docs: DataFrame, least_words: int = 8, id_col: str = "doc_id", t
     keyed = _long_lines(docs, least_words, id_col, text_col).select("first.*", "key")
     gone = keyed.join(verdict, "key").filter(F.col("drop") | ~F.col("doc_id").eqNullSafe(F.col("first_doc")) | (F.col("at") != F.col("first_at")))
     dropped = gone.groupBy("doc_id").agg(F.collect_set("at").alias("gone"))
-    joined = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(dropped.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d")), "left")
+    joined = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry).join(dropped.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d")), "left")
     all_lines = F.split("text", "\n")
     stay = F.filter(all_lines, lambda _, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
-    return joined.select("doc_id", F.coalesce(F.size(all_lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), F.array_join(stay, "\n").alias("text"))
+    return joined.select("doc_id", F.coalesce(F.size(all_lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), F.array_join(stay, "\n").alias("text"), *carry)
 
 
 def op3_lines(spark, sf_dir):
