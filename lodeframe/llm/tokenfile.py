@@ -105,5 +105,5 @@ def read_tokens(spark: SparkSession, folder: str, parts: list[tuple[int, int, st
 def op2_tokens(spark, sf_dir):
     folder = scratch(spark, "tokens")
     manifest = write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), folder, end_id=2)
-    parts = [tuple(r) for r in manifest.select("part", "tokens", "kind").orderBy("part").collect()]
+    parts = sorted(tuple(r) for r in manifest.select("part", "tokens", "kind").collect())
     return read_tokens(spark, folder, parts)
