@@ -151,6 +151,13 @@ def _maker(path: str, pattern: str | None):
     return file_tokenizer(path) if pattern is None else rank_tokenizer(path, pattern)
 
 
+@lru_cache(maxsize=2)
+def codec(path: str, pattern: str | None = None) -> tuple[Encoder, Decoder]:
+    """One encoder and decoder for each Python worker, so that its tasks share the table of chunks."""
+    tokenizer = _maker(path, pattern)
+    return Encoder(tokenizer), Decoder(tokenizer)
+
+
 def encode(docs: DataFrame, path: str, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False) -> DataFrame:
     """doc_id, ids (array of int) and, if wanted, starts (array of int: the byte at which each token starts), for every row.
 
@@ -158,8 +165,7 @@ def encode(docs: DataFrame, path: str, pattern: str | None = None, id_col: str =
     """
 
     def run(batches: Iterable[pa.RecordBatch]):
-        tokenizer = _maker(path, pattern)
-        encoder, decoder = Encoder(tokenizer), Decoder(tokenizer) if offsets else None
+        encoder, decoder = codec(path, pattern)
         for piece in pieces(batches):
             ids, counts = encoder.encode(piece.column(1).to_pylist())
             bounds = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
@@ -176,7 +182,7 @@ def decode(tokens: DataFrame, path: str, pattern: str | None = None) -> DataFram
     """doc_id, content (binary) of rows with doc_id and ids; a null list has no bytes."""
 
     def run(batches):
-        decoder = Decoder(_maker(path, pattern))
+        _, decoder = codec(path, pattern)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([decoder.decode(np.asarray(x or [], np.int64)) for x in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "content"])
 
@@ -188,8 +194,7 @@ def digests(docs: DataFrame, path: str, pattern: str | None = None) -> DataFrame
     import hashlib
 
     def run(batches):
-        tokenizer = _maker(path, pattern)
-        encoder, decoder = Encoder(tokenizer), Decoder(tokenizer)
+        encoder, decoder = codec(path, pattern)
         for piece in pieces(batches):
             ids, counts = encoder.encode(piece.column(1).to_pylist())
             parts = np.split(ids.astype("<u4"), np.cumsum(counts)[:-1])

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Encoder, file_tokenizer
+from .bpe import codec, file_tokenizer
 from .common import docs_of, pieces, scratch, text_volume
 
 NULL_ID = np.iinfo(np.int64).min
@@ -47,7 +47,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
         store.create_dir(base, recursive=True)
         names = {x: f"{base}/part-{part:06d}.{x}" for x in ("bin", "off", "doc")}
         trial = {x: f"{base}/_try-{context.taskAttemptId()}.{x}" for x in names}
-        encoder, n_docs, n_tokens = Encoder(file_tokenizer(tokenizer_path)), 0, 0
+        encoder, n_docs, n_tokens = codec(tokenizer_path)[0], 0, 0
         out = {x: store.open_output_stream(p) for x, p in trial.items()}
         for piece in pieces(batches):
             ids, counts = encoder.encode(piece.column(1).to_pylist())
