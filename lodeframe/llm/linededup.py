@@ -7,7 +7,7 @@ Equal lines are first reduced to their earliest occurrence. An edit leaves the w
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settle
@@ -18,21 +18,33 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("at", "line"))
 
 
+def _norm(line: Column) -> Column:
+    """The words of a line with one space between. Most lines are that already but for their ends, and only others are rewritten."""
+    odd = F.lit(False)
+    for c in ("  ", "\t", "\v", "\f", "\r"):
+        odd = odd | F.contains(line, F.lit(c))
+    return F.when(odd, F.trim(F.regexp_replace(F.translate(line, "\t\v\f\r", "    "), " +", " "))).otherwise(F.trim(line))
+
+
 def _long_lines(docs: DataFrame, least_words: int, id_col: str, text_col: str) -> DataFrame:
-    """first (doc_id, at), norm (the words with one space between) and key (its digest) of each line with enough words."""
-    plain = F.trim(F.translate("line", "\t\v\f\r", "    "))
-    norm = F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, " +", " ")).otherwise(plain)
-    lines = lines_of(docs, id_col, text_col).select(F.struct("doc_id", "at").alias("first"), norm.alias("norm"))
-    enough = F.char_length("norm") - F.char_length(F.replace(F.col("norm"), F.lit(" "))) + 1 >= least_words
-    return lines.filter(enough).select("first", "norm", F.md5(F.encode("norm", "utf-8")).alias("key"))
+    """first (doc_id, at), norm and key (the digest of norm) of each line with enough words. The lines are normalised before they are exploded: behind the generator each is a plain attribute that nothing computes again."""
+    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.transform(F.split(F.col(text_col), "\n"), _norm)).alias("at", "norm"))
+    enough = (F.octet_length("norm") >= 2 * least_words - 1) & (F.size(F.split("norm", " ", least_words)) == least_words)
+    return lines.filter(enough).select(F.struct("doc_id", "at").alias("first"), "norm", F.unhex(F.md5(F.col("norm").cast("binary"))).alias("key"))
 
 
 def _halves(lines: DataFrame) -> DataFrame:
     """Digests of the first and last words of a line, for both ways to halve it. Lines of n and of n + 1 words agree on the size n div 2."""
-    words, n = F.split("norm", " "), F.size(F.split("norm", " "))
-    part = lambda kind, size: F.xxhash64(F.lit(kind), size, F.array_join(F.slice(words, 1, size) if kind == "head" else F.slice(words, -size, size), " "))
+    n = F.size("words")
+    part = lambda kind, size: F.xxhash64(F.lit(kind), size, F.array_join(F.slice("words", 1, size) if kind == "head" else F.slice("words", -size, size), " "))
     a, b = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
-    return lines.select("key", "first", part("head", a).alias("h1"), part("head", b).alias("h2"), part("tail", a).alias("t1"), part("tail", b).alias("t2"))
+    # the words go through a one-element generator for the same reason
+    split_once = lines.select("key", "first", F.explode(F.array(F.split("norm", " "))).alias("words"))
+    return split_once.select("key", "first", part("head", a).alias("h1"), part("head", b).alias("h2"), part("tail", a).alias("t1"), part("tail", b).alias("t2"))
+
+
+#: A set of lines up to this many rows (about 60 MB) is broadcast to the scan that looks for their texts; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def near_lines(docs: DataFrame, least_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -42,25 +54,35 @@ def near_lines(docs: DataFrame, least_words: int = 8, id_col: str = "doc_id", te
     half = distinct.select("key", F.explode(F.array_distinct(F.array("h1", "h2", "t1", "t2"))).alias("half"))
     shared = half.groupBy("half").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("half")
     close = half.join(shared, "half", "left_semi").select("key").distinct()
-    firsts = distinct.join(close, "key", "left_semi").select("key", "first")
-    some = keyed.join(firsts, ["key", "first"]).select("key", "first", F.split("norm", " ").alias("words")).dropDuplicates(["key"])
+    firsts = settle(distinct.join(close, "key", "left_semi").select("key", "first"), "firsts")
+    wanted = F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts
+    some = keyed.join(wanted, ["key", "first"]).select("key", "first", F.split("norm", " ").alias("words")).dropDuplicates(["key"])
     some = settle(some, "some")
-    whole = F.array(F.struct(F.lit(-1).alias("gone"), F.xxhash64(F.array_join("words", " ")).alias("variant")))
-    place = F.sequence(F.lit(0), F.size("words") - 1)
-    less = F.transform(place, lambda i: F.struct(i.alias("gone"), F.xxhash64(F.array_join(F.concat(F.slice("words", F.lit(1), i), F.slice("words", i + 2, F.size("words"))), " ")).alias("variant")))
-    variants = some.select("key", "first", F.explode(F.concat(whole, less)).alias("v")).select("key", "first", "v.gone", "v.variant")
+    variants = settle(neighbourhood(some), "variants")
     # the earliest line for each variant and place; a line meets the earliest of its own place (a replaced word) and the line that is the variant (a deleted word), which meets the earliest of all places
     lead = variants.groupBy("variant", "gone").agg(F.min(F.struct("first", "key")).alias("lead"), F.count(F.lit(1)).alias("c"))
     by_variant = lead.groupBy("variant").agg(F.sum("c").alias("c"), F.min(F.when(F.col("gone") == -1, F.col("lead"))).alias("whole"), F.min(F.when(F.col("gone") != -1, F.col("lead"))).alias("less")).filter("c > 1")
     met = variants.join(by_variant, "variant")
     same_place = variants.join(lead.filter("c > 1 and gone <> -1"), ["variant", "gone"]).select("key", "first", F.col("lead").alias("other"))
     inserted = met.select("key", "first", F.when(F.col("gone") == -1, F.col("less")).otherwise(F.col("whole")).alias("other"))
-    pairs = same_place.unionByName(inserted).filter(F.col("other.first") < F.col("first")).select("key", F.col("other.key").alias("other")).distinct()
+    pairs = settle(same_place.unionByName(inserted).filter(F.col("other.first") < F.col("first")).select("key", F.col("other.key").alias("other")).distinct(), "pairs")
     side = lambda k, w: some.select(F.col("key").alias(k), F.col("words").alias(w))
     verified = pairs.join(side("key", "x"), "key").join(side("other", "y"), "other").filter(within_one_edit(F.col("x"), F.col("y"))).select("key").distinct()
     return distinct.select("key", "first.*").join(verified.withColumn("near", F.lit(True)), "key", "left").select("key", "doc_id", "at", F.coalesce("near", F.lit(False)).alias("drop"))
 
 
+def neighbourhood(lines: DataFrame) -> DataFrame:
+    """key, first, gone, variant: a digest of each line (gone -1) and of each variant without one word. A digest is the XOR of the hashes of its words and their places; running XORs give that of every variant in one pass over the words, however long a line is."""
+    words = lines.select("key", "first", F.size("words").alias("n"), F.posexplode("words").alias("gone", "w")).select("key", "first", "n", "gone", F.xxhash64("w", "gone").alias("here"), F.xxhash64("w", F.col("gone") - 1).alias("moved"))
+    whole = Window.partitionBy("key")
+    upto = whole.orderBy("gone").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.bit_xor("here").over(upto).bitwiseXOR(F.col("here"))
+    after = F.bit_xor("moved").over(whole).bitwiseXOR(F.bit_xor("moved").over(upto))
+    less = words.select("key", "first", "gone", F.xxhash64(before.bitwiseXOR(after), F.col("n") - 1).alias("variant"))
+    full = words.groupBy("key", "first", "n").agg(F.bit_xor("here").alias("x")).select("key", "first", F.lit(-1).alias("gone"), F.xxhash64("x", "n").alias("variant"))
+    return less.unionByName(full)
+
+
 def within_one_edit(x: Column, y: Column) -> Column:
     """Whether the word lists are at an edit distance of one at most: what stands before the first and behind the last difference covers all but one word of the longer."""
     n, m = F.size(x), F.size(y)
