@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,3 +43,11 @@ def diff(current: DataFrame, manifest: DataFrame) -> DataFrame:
     a, b = current.select("path", F.col("fingerprint").alias("now")), manifest.select("path", F.col("fingerprint").alias("was"))
     status = F.when(F.col("was").isNull(), "new").when(F.col("now").isNull(), "stale").when(F.col("now") == F.col("was"), "unchanged").otherwise("changed")
     return a.join(b, "path", "full").select("path", status.alias("status"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, kept in the shared checkpoint folder, without the plan that made them."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints/lodeframe")
+    return df.checkpoint()

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import EngineError
-from ..functions.rows import first_groups, first_wins
+from ..functions.rows import cut, first_groups, first_wins
 from ..functions.text import sha_id
 from .facts import payload
 
@@ -198,13 +199,13 @@ def flow(edges: DataFrame, start: Anchor, target: Anchor | None = None, directio
 def reachable(edges: DataFrame, start: str, depth: int = 4) -> DataFrame:
     """node, depth of all that the start reaches, by joins of the frontier with the edges; the number of rounds is the depth."""
     spark = edges.sparkSession
-    step = edges.select("from_id", "to_id").distinct()
-    frontier = spark.range(1).select(F.lit(start).alias("node"))
-    found = frontier.withColumn("depth", F.lit(0))
+    step = edges.select("from_id", "to_id").distinct().persist()
+    rounds = [spark.range(1).select(F.lit(start).alias("node"), F.lit(0).alias("depth"))]
     for level in range(1, depth + 1):
-        frontier = step.join(frontier, step.from_id == frontier.node, "left_semi").select(F.col("to_id").alias("node")).distinct().join(found.select("node"), "node", "left_anti")
-        found = found.unionByName(frontier.withColumn("depth", F.lit(level)))
-    return found
+        found = reduce(DataFrame.unionByName, rounds).select("node")
+        ends = step.join(rounds[-1].select(F.col("node").alias("from_id")), "from_id", "left_semi").select(F.col("to_id").alias("node")).distinct()
+        rounds.append(cut(ends.join(found, "node", "left_anti").withColumn("depth", F.lit(level))))
+    return reduce(DataFrame.unionByName, rounds)
 
 
 def symbol_detail(symbols: DataFrame, facts: DataFrame, derived: DataFrame, path: str, name: str) -> dict[str, DataFrame]:
