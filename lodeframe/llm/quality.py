@@ -138,7 +138,8 @@ def references(docs: DataFrame, limits: Limits = Limits(), text_col: str = "text
         for lang in COMMON:
             values = np.concatenate([steps[lang].ravel(), shares[lang]])
             at = np.flatnonzero(values)
-            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(at), "bin": at.astype(np.int32), "value": values[at]})
+            if len(at):  # an empty list has no type
+                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(at), "bin": at.astype(np.int32), "value": values[at]})
 
     chosen = docs.select(F.coalesce(text_col, F.lit("")).alias("text"), F.col(lang_col).alias("lang")).filter(F.col("lang").isin(*COMMON))
     found: dict[str, np.ndarray] = {}
