@@ -43,8 +43,8 @@ def _halves(lines: DataFrame) -> DataFrame:
     return split_once.select("key", "first", part("head", a).alias("h1"), part("head", b).alias("h2"), part("tail", a).alias("t1"), part("tail", b).alias("t2"))
 
 
-#: A set of lines up to this many rows (about 60 MB) is broadcast to the scan that looks for their texts; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: A set of lines up to this many rows (175 bytes each, so about 50 MB) is broadcast to the scan that looks for their texts; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 300_000
 
 
 def near_lines(docs: DataFrame, least_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
