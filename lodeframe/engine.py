@@ -103,25 +103,32 @@ class Engine:
 
     def _write(self, files: DataFrame, touched: DataFrame, run: str) -> None:
         c, store = self.config, self.store
-        docs = blocks.with_blocks(files.select("path", "source_type", "artifact_kind", "content")).persist()
-        parts = partition.partition_documents(docs)
+        staging = f"{store.base}/staging-{run}"
+
+        def stage(df: DataFrame, name: str) -> DataFrame:
+            """Written once and read again: what follows starts from a scan and not from the whole plan before it."""
+            df.write.parquet(f"{staging}/{name}")
+            return self.spark.read.schema(df.schema).parquet(f"{staging}/{name}")
+
+        docs = stage(blocks.with_blocks(files.select("path", "source_type", "artifact_kind", "content")), "docs")
+        parts = stage(partition.partition_documents(docs), "parts")
         budget = chunk.budget(c.context, c.margin, c.max_tokens, c.overlap_tokens, c.split_depth, c.split_policy)
         chunks = self.embedder(chunk.attribute(chunk.identify(chunk.chunk(docs, budget), c.identity), parts))
         found = docs.filter("blocks IS NOT NULL").select("path", "source_type", F.posexplode("blocks").alias("seq", "b")).select("path", "source_type", "seq", "b.*").withColumn("language", parse.language(F.col("path")))
-        syms = symbols.symbols_of(found, c.identity).withColumns({"signature": F.lit(None).cast("string"), "container_name": F.lit(None).cast("string"), "source_type": F.lit("code")}).persist()
-        scripts, lines = parse.package_scripts(docs), parse.document_lines(docs.filter("artifact_kind = 'workflow'"))
-        steps = parse.workflow_steps(lines)
+        syms = stage(symbols.symbols_of(found, c.identity).withColumns({"signature": F.lit(None).cast("string"), "container_name": F.lit(None).cast("string"), "source_type": F.lit("code")}), "symbols")
+        scripts, lines = stage(parse.package_scripts(docs), "scripts"), parse.document_lines(docs.filter("artifact_kind = 'workflow'"))
+        steps = stage(parse.workflow_steps(lines), "steps")
         gates = parse.quality_gates(scripts, steps)
         script_lines = parse.document_lines(docs.filter(F.col("path").rlike(parse.IMPORTING)))
-        seen = observe.settle(observe.script_lines(script_lines).unionByName(observe.blocks(found)).unionByName(observe.repository(docs, scripts, steps)))
-        base = observe.repository(docs, scripts, steps)
+        base = stage(observe.repository(docs, scripts, steps), "repository")
+        seen = stage(observe.settle(observe.script_lines(script_lines).unionByName(observe.blocks(found)).unionByName(base)), "observations")
         names = base.join(docs.select("path", "artifact_kind"), "path")
         canonical = facts.settle_facts(
             facts.symbol_definitions(syms), facts.symbol_exports(seen.filter("kind = 'symbol_export'")), facts.workflows(base.filter("kind = 'workflow'")), facts.config_artifacts(names.filter("kind = 'config_artifact'")), facts.workspace_tasks(scripts),
             facts.file_imports(parse.imports(docs)), facts.package_dependencies(parse.package_dependencies(docs)), facts.package_scripts(scripts), facts.workflow_steps(steps), facts.quality_gates(gates),
         )
-        canonical = canonical.persist()  # several tables are made of each of these
-        derived = facts.derive(canonical, syms).persist()
+        canonical = stage(canonical, "canonical")
+        derived = stage(facts.derive(canonical, syms), "derived")
         nodes, edges = graph.project(syms, canonical, derived)
         overlay = graph.overlay_edges(derived)
         rows = {
@@ -134,8 +141,7 @@ class Engine:
                 store.replace(table, graph.overlay_nodes(store.read("overlay_edges")))
             else:
                 store.upsert_by_path(table, rows[table], touched)
-        for df in (docs, syms, canonical, derived):
-            df.unpersist()
+        store.drop(staging)
 
     # -- questions --------------------------------------------------------
     def _table(self, name: str) -> DataFrame:

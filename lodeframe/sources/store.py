@@ -73,6 +73,9 @@ class Store:
         if old is not None:
             self.replace(table, old.filter(F.col("path") != path))
 
+    def drop(self, folder: str) -> None:
+        self._fs.delete(self._path(folder), True)
+
     def clear(self, table: str | None = None) -> None:
         for t in [table] if table else TABLES:
             self._fs.delete(self._path(f"{self.base}/{t}"), True)
