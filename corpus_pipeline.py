@@ -52,7 +52,7 @@ STAGES = [
     ("tokens", tokens),
 ]
 
-#: No stage but the second can be told in SQL: references by language, exact set joins over word shingles and byte-level BPE can't. tests/llm checks the stages against brute force.
+#: No stage but the second can be told in SQL: references by language, exact set joins over word shingles and byte-level BPE can't. tests/llm checks the operators behind the stages against brute force.
 ORACLE_SQL = None
 
 
