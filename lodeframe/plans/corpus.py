@@ -17,7 +17,7 @@ VIEWS = {
           ELSE source || '/' || lang || '/' || doc_id || CASE doc_id % 12 WHEN 0 THEN '.md' WHEN 1 THEN '.txt' WHEN 2 THEN '.ts' WHEN 3 THEN '.json' WHEN 4 THEN '.sh' WHEN 5 THEN '.test.ts' WHEN 6 THEN '.yml' WHEN 7 THEN '.py' WHEN 8 THEN '.log' WHEN 9 THEN '.rs' WHEN 10 THEN '.spec.ts' ELSE '.TS' END END AS path
         FROM documents""",
     "v_docs": "SELECT source || '/' || lang || '/' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.txt' ELSE '.ts' END AS path, CASE WHEN doc_id % 2 = 0 THEN 'doc' ELSE 'code' END AS source_type, CASE WHEN doc_id % 2 = 0 THEN 'doc' WHEN doc_id % 5 = 0 THEN 'lockfile' ELSE 'code' END AS artifact_kind, doc_id, text AS content FROM documents",
-    "v_sections": "SELECT 'd/' || doc_id || '.md' AS path, doc_id, '# ' || replace(text, '. ', '\n# ') AS content FROM documents WHERE length(text) < 3000",
+    "v_sections": "SELECT 'd/' || doc_id || '.md' AS path, doc_id, '# ' || replace(text, '. ', '\n# ') AS content FROM documents",
     "v_manifest_now": "SELECT source || '/' || doc_id AS path, SHA(text) AS fingerprint, doc_id FROM documents",
     "v_manifest_old": "SELECT CASE WHEN doc_id % 11 = 0 THEN 'gone/' || doc_id ELSE source || '/' || doc_id END AS path, CASE WHEN doc_id % 7 = 0 THEN SHA(text || '!') ELSE SHA(text) END AS fingerprint, doc_id FROM documents WHERE doc_id % 10 <> 0",
     "v_symbols": "SELECT SHA('p:' || p_partkey) AS evidence_id, p_name AS name, CASE p_size % 4 WHEN 0 THEN 'function' WHEN 1 THEN 'class' WHEN 2 THEN 'variable' ELSE 'type' END AS kind, 'src/m' || CAST(floor(p_partkey / 20) AS BIGINT) || '.ts' AS path, p_size AS start_line, p_size + 3 AS end_line, CASE WHEN p_size % 3 <> 0 THEN p_type END AS signature, p_brand AS container_name, 'ts' AS language, 'code' AS source_type, p_partkey AS seq FROM part",
