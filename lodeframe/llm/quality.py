@@ -1,6 +1,6 @@
 """Quality rules: how far a text's character classes and common words are from those of its language.
 
-References are learned from the corpus itself, over all documents of each language that has a word list: the median share of each character class and the mean share of each common word. The median keeps the reference clean while less than half of a language is junk. Digits are left out of the classes, for numbers and keys don't make a text bad. A document passes if, for at least one language, the Jensen-Shannon distance (base 2, from 0 to 1) of both histograms is within its threshold. Short texts have noisy histograms, so below a minimum length a test isn't applied.
+References are learned from the corpus itself, over all documents of each language that has a word list: the median share of each character class and the mean share of each common word. The median keeps the reference clean while less than half of a language is junk. Digits are left out of the classes, for numbers and keys don't make a text bad. A document passes if, for at least one language, the Jensen-Shannon distance (base 2, from 0 to 1) of both histograms is within its threshold. That of the words also stays below the distance of a text without any common word to the reference, and a text has at least a part of the language's share of common words, so a text without them fails whatever its letters. Short texts have noisy histograms, so below a minimum length a test isn't applied.
 """
 
 from __future__ import annotations
@@ -36,6 +36,10 @@ EDGES = ".,;:!?\"'()[]{}#*$%&|<>"
 class Limits:
     chars: float = 0.145
     words: float = 0.5
+    #: The distance of words may reach so much of that of a text without common words.
+    below: float = 0.95
+    #: Least share of common words, as a part of the reference's.
+    least_share: float = 0.25
     least_chars: int = 100
     least_words: int = 50
     base_words: int = 50
@@ -86,6 +90,7 @@ class Features:
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         owner = np.repeat(np.arange(n, dtype=np.int32) * k, np.fromiter(map(len, texts), np.int64, n))
         self.chars = np.bincount(owner + class_table()[np.minimum(points, 0x10000)], minlength=n * k).reshape(n, k)[:, :USED]
+        self.n_chars = np.fromiter(map(len, texts), np.int64, n)
 
     def repeats(self) -> np.ndarray:
         """Words of each text in windows of three words that it has twice or more."""
@@ -119,6 +124,11 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(total[:, 0] > 0, np.sqrt(np.clip((a + b) / 2, 0, None)), 0)
 
 
+def without_common(q: np.ndarray) -> float:
+    """The distance to a reference of a text that has no common word."""
+    return float(distance(np.eye(1, len(q)), q)[0])
+
+
 def references(docs: DataFrame, limits: Limits = Limits(), text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Reference histograms of each language that has a word list, learned from every document with enough words. What reaches the driver is bounded by languages, classes, steps and list lengths."""
     m = len(vocabulary()) + 1
@@ -162,9 +172,11 @@ def judge(texts: list[str], refs: dict, limits: Limits) -> dict[str, np.ndarray]
     chars, words = np.ones(len(texts)), np.ones(len(texts))
     for p, q in refs.values():
         a, b = distance(f.chars, p), distance(f.common, q)
-        a[f.chars.sum(1) < limits.least_chars] = 0
-        b[f.n_words < limits.least_words] = 0
-        near |= (a <= limits.chars) & (b <= limits.words)
+        a[f.n_chars < limits.least_chars] = 0
+        short = f.n_words < limits.least_words
+        b[short] = 0
+        enough = short | (f.n_words - f.common[:, 0] >= limits.least_share * (1 - q[0]) * f.n_words)
+        near |= (a <= limits.chars) & (b <= min(limits.words, limits.below * without_common(q))) & enough
         chars, words = np.minimum(chars, a), np.minimum(words, b)
     return {
         "n_words": f.n_words, "word_chars": f.word_chars, "n_symbols": np.array([sum(map(t.count, SYMBOLS)) for t in texts], np.int64),

@@ -1,10 +1,12 @@
 """Cases that an operator once left out: long documents, lone alignments, short lines and the like."""
 
 import hashlib
+import random
 import re
 
 import pytest
 
+from lodeframe.llm import quality
 from lodeframe.plans import catalog
 from tests.run_query import compare
 
@@ -24,3 +26,19 @@ def test_sections_of_long_documents(spark, tmp_path, name):
     assert len(want) == 3 + 301 + 1 and sorted(got["path"]) == sorted(p for p, _, _ in want)
     if name == "doc_section_split":
         assert set(zip(got["path"], got["idx"], got["content_hash"])) == {(p, j, hashlib.sha256(s.encode()).hexdigest()) for p, j, s in want}
+
+
+def test_quality_rejects_texts_without_common_words(spark):
+    r = random.Random(1)
+    word = lambda least=2: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(least, 9)))
+    said = [w for w in quality.COMMON["en"] if w != "no"]
+    prose = lambda n: " ".join(r.choice(said) if r.random() < 0.3 else word() for _ in range(n)).capitalize() + "."
+    good = [" ".join(prose(10) for _ in range(20)) for _ in range(40)]
+    noise = "\n".join(" ".join(word() for _ in range(10)).capitalize() + "." for _ in range(20))
+    letters = "\n".join(" ".join(word(1) for _ in range(10)).capitalize() + "." for _ in range(20))
+    digits = " ".join(str(r.randint(10**6, 10**7)) for _ in range(55)) + " the of"
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate([*good, noise, letters, digits])], SCHEMA)
+    got = {v.doc_id: v for v in quality.verdicts(df).collect()}
+    assert all(got[i].kept for i in range(40))
+    assert not any(got[i].kept or got[i].base_failed for i in (40, 41, 42))
+    assert got[42].char_distance > quality.Limits().chars
