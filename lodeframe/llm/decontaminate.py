@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words are brought to a canonical form: numbers, units and names become typed placeholders, all else is lower-cased without edge punctuation. A name is a capitalised word that doesn't begin a sentence. Windows of canonical words are hashed and joined with the windows of all benchmark items. A match at a window says which item and where; matches of one item that keep their distance between document and item lie on one alignment. An alignment counts as a leak if it covers enough of the item's windows and the slots are consistent: within it, equal values of the item stand for equal values of the document and different ones for different ones. So a question asked again with other numbers or names is caught, and a text that merely shares its shape isn't.
+Words are brought to a canonical form: numbers, units and names become typed placeholders, all else is lower-cased without edge punctuation. A name is a capitalised word that doesn't begin a sentence. Windows of canonical words are hashed and joined with the windows of all benchmark items. A window of more slots than words is a template of nearly everything, so its words are hashed as they are, and it is found verbatim only; so is an item's first window, whose first word may be a name elsewhere. A match at a window says which item and where; matches of one item that keep their distance between document and item lie on one alignment. An alignment counts as a leak if it covers enough of the item's windows and the slots are consistent: within it, equal values of the item stand for equal values of the document and different ones for different ones. So a question asked again with other numbers or names is caught, and a text that merely shares its shape isn't.
 """
 
 from __future__ import annotations
@@ -50,8 +50,12 @@ def canonical(word: str, starts: bool) -> tuple[str, str]:
     return low, ""
 
 
+def raw(word: str) -> str:
+    return word.strip(EDGES).lower() or word
+
+
 class Canon:
-    """Canonical forms of words as hashes; a table of bounded size remembers them."""
+    """Canonical and raw forms of words as hashes; a table of bounded size remembers them."""
 
     def __init__(self, limit: int = 500_000):
         self.limit = limit
@@ -59,7 +63,7 @@ class Canon:
 
     def _reset(self) -> None:
         self.seen: dict[str, int] = {}
-        self.hashes = np.zeros((1 << 12, 2), np.uint64)
+        self.hashes = np.zeros((1 << 12, 3), np.uint64)
         self.flags = np.zeros((1 << 12, 3), bool)
 
     def _learn(self, words: list[str]) -> None:
@@ -70,11 +74,12 @@ class Canon:
             pairs = [canonical(w, starts) for w in words]
             self.hashes[n : n + len(words), k] = mix(word_hashes([p[0] for p in pairs]))
             self.flags[n : n + len(words), k] = [bool(p[1]) for p in pairs]
+        self.hashes[n : n + len(words), 2] = mix(word_hashes([raw(w) for w in words]))
         self.flags[n : n + len(words), 2] = [w.rstrip("\"')»”’")[-1:] in (".", "!", "?", ":") for w in words]
         self.seen.update((w, n + i) for i, w in enumerate(words))
 
-    def read(self, words: list[str], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and slot flag of each word. first: whether it begins a text or line."""
+    def read(self, words: list[str], first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, slot flag and hash of the raw form of each word. first: whether it begins a text or line."""
         if len(self.seen) > self.limit:
             self._reset()
         if new := [w for w in dict.fromkeys(words) if w not in self.seen]:
@@ -83,7 +88,7 @@ class Canon:
         starts = first.copy()
         starts[1:] |= self.flags[at[:-1], 2]
         k = starts.astype(np.int8)
-        return self.hashes[at, k], self.flags[at, k]
+        return self.hashes[at, k], self.flags[at, k], self.hashes[at, 2]
 
 
 
@@ -98,44 +103,56 @@ def split(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     return [w for ws in words for w in ws], doc, first
 
 
-def windows(hashes: np.ndarray, slots: np.ndarray, doc: np.ndarray, size: int, fixed: float) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of each window within one text that has enough words that are no slots."""
+#: Windows of raw words have hashes of their own.
+RAW = np.uint64(1 << 32)
+
+
+def windows(hashes: np.ndarray, slots: np.ndarray, raws: np.ndarray, doc: np.ndarray, size: int, fixed: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start and hash of each window within one text that has enough words that are no slots, then start and hash of the raw words of every window."""
     n = max(0, len(hashes) - size + 1)
+    whole = doc[:n] == doc[size - 1 :][:n]
+    filled = np.concatenate([[0], np.cumsum(slots)])
+    at, every = np.flatnonzero(whole & (filled[size : size + n] - filled[:n] <= (1 - fixed) * size)), np.flatnonzero(whole)
+    return at, mix(_rolled(hashes, size, n)[at] + np.uint64(size)), every, mix(_rolled(raws, size, n)[every] + np.uint64(size) + RAW)
+
+
+def _rolled(hashes: np.ndarray, size: int, n: int) -> np.ndarray:
     rolled = np.zeros(n, np.uint64)
     for j in range(size):
         rolled = rolled * GOLDEN + hashes[j : j + n]
-    filled = np.concatenate([[0], np.cumsum(slots)])
-    ok = (doc[:n] == doc[size - 1 :][:n]) & (filled[size : size + n] - filled[:n] <= (1 - fixed) * size)
-    at = np.flatnonzero(ok)
-    return at, mix(rolled[at] + np.uint64(size))
+    return rolled
 
 
 def item_windows(benchmark: DataFrame, limits: Limits) -> DataFrame:
-    """size, hash, item_id, at (place in the item), n_windows. An item shorter than a window is one window of its own size, three words at least."""
+    """size, hash, item_id, at (place in the item), raw (whether the words are hashed as they are), n_windows (that are templates), n_all. An item shorter than a window is one window of its own size, three words at least."""
 
     def run(batches):
         canon = Canon()
         for batch in batches:
-            rows: dict[str, list] = {k: [] for k in ("size", "hash", "item_id", "at", "n_windows")}
+            rows: dict[str, list] = {k: [] for k in ("size", "hash", "item_id", "at", "raw", "n_windows", "n_all")}
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words, doc, first = split([text])
                 size = min(limits.window, len(words))
                 if size < 3:
                     continue
-                at, hashes = windows(*canon.read(words, first), doc, size, limits.fixed)
-                rows["size"] += [size] * len(at)
-                rows["hash"] += hashes.view(np.int64).tolist()
-                rows["item_id"] += [item] * len(at)
-                rows["at"] += at.tolist()
-                rows["n_windows"] += [len(at)] * len(at)
-            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("size", pa.int32()), ("hash", pa.int64()), ("item_id", pa.int64()), ("at", pa.int32()), ("n_windows", pa.int32())]))
+                at, hashes, every, raws = windows(*canon.read(words, first), doc, size, limits.fixed)
+                own = (every == 0) | ~np.isin(every, at)
+                places = np.concatenate([at, every[own]])
+                rows["size"] += [size] * len(places)
+                rows["hash"] += np.concatenate([hashes, raws[own]]).view(np.int64).tolist()
+                rows["item_id"] += [item] * len(places)
+                rows["at"] += places.tolist()
+                rows["raw"] += [False] * len(at) + [True] * int(own.sum())
+                rows["n_windows"] += [len(at)] * len(places)
+                rows["n_all"] += [len(every)] * len(places)
+            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("size", pa.int32()), ("hash", pa.int64()), ("item_id", pa.int64()), ("at", pa.int32()), ("raw", pa.bool_()), ("n_windows", pa.int32()), ("n_all", pa.int32())]))
 
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return items.mapInArrow(run, "size int, hash long, item_id long, at int, n_windows int")
+    return items.mapInArrow(run, "size int, hash long, item_id long, at int, raw boolean, n_windows int, n_all int")
 
 
 def window_hits(docs: DataFrame, items: DataFrame, limits: Limits) -> DataFrame:
-    """doc_id, row (a number for the text within its task, to tell repeated ids apart), place, item_id, at, n_windows of each matching window."""
+    """doc_id, row (a number for the text within its task, to tell repeated ids apart), place, item_id, at, raw, n_windows, n_all of each matching window."""
     n = items.count()
     sizes = [r[0] for r in items.select("size").distinct().collect()]  # window sizes: at most limits.window of them
 
@@ -146,16 +163,21 @@ def window_hits(docs: DataFrame, items: DataFrame, limits: Limits) -> DataFrame:
             bits = max(10, min(24, int(np.ceil(np.log2(len(known) * 64 + 1)))))
             table = np.zeros(1 << bits, bool)
             table[known >> np.uint64(64 - bits)] = True
+
+        def sift(at, found):
+            if table is not None and len(at):
+                on = np.flatnonzero(table[found >> np.uint64(64 - bits)])
+                on = on[known[np.minimum(np.searchsorted(known, found[on]), len(known) - 1)] == found[on]]
+                at, found = at[on], found[on]
+            return at, found
+
         for piece in pieces(batches):
             words, doc, first = split(piece.column(1).to_pylist())
-            hashes, slots = canon.read(words, first)
+            read = canon.read(words, first)
             ids = piece.column(0)
             for size in sizes:
-                at, found = windows(hashes, slots, doc, size, limits.fixed)
-                if known is not None and len(at):
-                    on = np.flatnonzero(table[found >> np.uint64(64 - bits)])
-                    on = on[known[np.minimum(np.searchsorted(known, found[on]), len(known) - 1)] == found[on]]
-                    at, found = at[on], found[on]
+                at, found, every, raws = windows(*read, doc, size, limits.fixed)
+                at, found = (np.concatenate(x) for x in zip(sift(at, found), sift(every, raws)))
                 begin = np.flatnonzero(first)
                 local = at - begin[np.searchsorted(begin, at, "right") - 1] if len(at) else at
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[at])), pa.array(np.full(len(at), size, np.int32)), pa.array(found.view(np.int64)), pa.array(local.astype(np.int32))], names=["doc_id", "size", "hash", "place"])
@@ -165,23 +187,26 @@ def window_hits(docs: DataFrame, items: DataFrame, limits: Limits) -> DataFrame:
     if n <= limits.broadcast_windows:  # at most 16 MB
         known = np.unique(np.array([r[0] for r in items.select("hash").distinct().collect()], np.int64).view(np.uint64))
         if not len(known):
-            return rows.limit(0).select("doc_id", F.lit(0).alias("place"), F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("at"), F.lit(0).alias("n_windows"))
+            return rows.limit(0).select("doc_id", F.lit(0).alias("place"), F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("at"), F.lit(False).alias("raw"), F.lit(0).alias("n_windows"), F.lit(0).alias("n_all"))
     found = rows.mapInArrow(lambda batches: doc_windows(batches, known), "doc_id long, size int, hash long, place int")
-    return found.join(items, ["size", "hash"]).select("doc_id", "place", "item_id", "at", "n_windows")
+    return found.join(items, ["size", "hash"]).select("doc_id", "place", "item_id", "at", "raw", "n_windows", "n_all")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """doc_id, item_id, covered (windows of the item found on the best alignment), n_windows, place (of the first), slots (how many were compared) for each item that a document leaks.
 
-    Null and empty texts leak nothing and items of fewer than three words are not looked for. Rows with the same id are judged together. Ties between alignments go to the earliest. Empty tables give no rows. Insertions move the alignment, so windows within two words of it count as on it.
+    Null and empty texts leak nothing and items of fewer than three words are not looked for. An item is found by its templates alone, or else by all its windows. Rows with the same id are judged together. Ties between alignments go to the earliest. Empty tables give no rows. Insertions move the alignment, so windows within two words of it count as on it.
     """
     items = settle(item_windows(benchmark, limits), "item-windows")
     hits = window_hits(docs, items, limits)
-    lines = hits.select("doc_id", "item_id", "n_windows", "at", "place", (F.col("place") - F.col("at")).alias("shift")).distinct()
+    lines = hits.select("doc_id", "item_id", "n_windows", "n_all", "raw", "at", "place", (F.col("place") - F.col("at")).alias("shift")).distinct()
     # alignments within two words of each other fall into one of two overlapping bands
     banded = lines.withColumn("band", F.explode(F.array(F.floor(F.col("shift") / 8) * 2, F.floor((F.col("shift") + 4) / 8) * 2 + 1)))
-    covered = banded.groupBy("doc_id", "item_id", "n_windows", "band").agg(F.count_distinct("at").alias("covered"), F.min("place").alias("place"), F.min("shift").alias("shift"))
-    enough = covered.filter(F.col("covered") >= F.greatest(F.lit(1), F.ceil(F.col("n_windows") * limits.cover)))
+    places = lambda which: F.count_distinct(F.when(which, F.col("at")))
+    covered = banded.groupBy("doc_id", "item_id", "n_windows", "n_all", "band").agg(places(~F.col("raw")).alias("alike"), places(F.lit(True)).alias("covered"), F.min("place").alias("place"), F.min("shift").alias("shift"))
+    least = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) * limits.cover))
+    alike = F.col("alike") >= least("n_windows")
+    enough = covered.filter(alike | (F.col("covered") >= least("n_all"))).select("doc_id", "item_id", "place", "shift", F.when(alike, F.col("alike")).otherwise(F.col("covered")).alias("covered"), F.when(alike, F.col("n_windows")).otherwise(F.col("n_all")).alias("n_windows"))
     best = enough.groupBy("doc_id", "item_id").agg(F.max(F.struct("covered", (-F.col("place")).alias("p"), "n_windows", "shift")).alias("b")).select("doc_id", "item_id", "b.covered", "b.n_windows", (-F.col("b.p")).alias("place"), "b.shift")
     return consistent(settle(best, "alignments"), docs, benchmark)
 

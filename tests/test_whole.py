@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from lodeframe.llm import quality
+from lodeframe.llm import decontaminate, quality
 from lodeframe.plans import catalog
 from tests.run_query import compare
 
@@ -42,3 +42,24 @@ def test_quality_rejects_texts_without_common_words(spark):
     assert all(got[i].kept for i in range(40))
     assert not any(got[i].kept or got[i].base_failed for i in (40, 41, 42))
     assert got[42].char_distance > quality.Limits().chars
+
+
+def _leaks(spark, texts, items, **limits):
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench, decontaminate.Limits(**limits)).collect()}
+
+
+@pytest.mark.parametrize("limits", [{}, {"broadcast_windows": 0}])
+def test_items_of_slots_are_found_verbatim(spark, limits):
+    items = [
+        "Continue: 2, 4, 8, 16, 32, 64, 128, ?",
+        "Rank Paris, London, Berlin, Madrid, Rome and Vienna by size",
+        "12 13 14",
+        "Write down which of these numbers is even and which is odd: 11, 12, 15, 18, 21, 24, 27, 30, 33, 36, 39, 42",
+        "Fresh bread smells good today",
+    ]
+    texts = ["Some words before it and then " + x + " and a few words more" for x in items]
+    others = ["Continue: 3, 5, 9, 17, 33, 65, 129, ?", "Rank Oslo, Lisbon, Athens, Dublin, Prague and Warsaw by size", "12 15 14"]
+    alike = "Write down which of these numbers is even and which is odd: 51, 52, 55, 58, 61, 64, 67, 70, 73, 76, 79, 82"
+    assert _leaks(spark, [*texts, *others, alike], items, **limits) == {*((i, i) for i in range(5)), (8, 3)}
