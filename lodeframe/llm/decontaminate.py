@@ -6,7 +6,7 @@ Words are brought to a canonical form: numbers, units and names become typed pla
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -193,9 +193,9 @@ def window_hits(docs: DataFrame, items: DataFrame, limits: Limits) -> DataFrame:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """doc_id, item_id, covered (windows of the item found on the best alignment), n_windows, place (of the first), slots (how many were compared) for each item that a document leaks.
+    """doc_id, item_id, covered (windows of the item found on its alignment), n_windows, place (of the first), slots (how many were compared) for each item that a document leaks.
 
-    Null and empty texts leak nothing and items of fewer than three words are not looked for. An item is found by its templates alone, or else by all its windows. Rows with the same id are judged together. Ties between alignments go to the earliest. Empty tables give no rows. Insertions move the alignment, so windows within two words of it count as on it.
+    Null and empty texts leak nothing and items of fewer than three words are not looked for. An item is found by its templates alone, or else by all its windows. Rows with the same id are judged together. Of the alignments whose slots are consistent the one with most windows is told, of equal ones the earliest. Empty tables give no rows. Insertions move the alignment, so windows within two words of it count as on it.
     """
     items = settle(item_windows(benchmark, limits), "item-windows")
     hits = window_hits(docs, items, limits)
@@ -203,43 +203,66 @@ def leaks(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits()) -> D
     # alignments within two words of each other fall into one of two overlapping bands
     banded = lines.withColumn("band", F.explode(F.array(F.floor(F.col("shift") / 8) * 2, F.floor((F.col("shift") + 4) / 8) * 2 + 1)))
     places = lambda which: F.count_distinct(F.when(which, F.col("at")))
-    covered = banded.groupBy("doc_id", "item_id", "n_windows", "n_all", "band").agg(places(~F.col("raw")).alias("alike"), places(F.lit(True)).alias("covered"), F.min("place").alias("place"), F.min("shift").alias("shift"))
+    covered = banded.groupBy("doc_id", "item_id", "n_windows", "n_all", "band").agg(places(~F.col("raw")).alias("alike"), places(F.lit(True)).alias("covered"), F.collect_set(F.struct("at", "shift")).alias("found"), F.min("place").alias("place"))
     least = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) * limits.cover))
     alike = F.col("alike") >= least("n_windows")
-    enough = covered.filter(alike | (F.col("covered") >= least("n_all"))).select("doc_id", "item_id", "place", "shift", F.when(alike, F.col("alike")).otherwise(F.col("covered")).alias("covered"), F.when(alike, F.col("n_windows")).otherwise(F.col("n_all")).alias("n_windows"))
-    best = enough.groupBy("doc_id", "item_id").agg(F.max(F.struct("covered", (-F.col("place")).alias("p"), "n_windows", "shift")).alias("b")).select("doc_id", "item_id", "b.covered", "b.n_windows", (-F.col("b.p")).alias("place"), "b.shift")
-    return consistent(settle(best, "alignments"), docs, benchmark)
+    enough = covered.filter(alike | (F.col("covered") >= least("n_all"))).select("doc_id", "item_id", "place", "found", F.when(alike, F.col("alike")).otherwise(F.col("covered")).alias("covered"), F.when(alike, F.col("n_windows")).otherwise(F.col("n_all")).alias("n_windows"))
+    ways = enough.groupBy("doc_id", "item_id").agg(F.collect_list(F.struct("covered", "n_windows", "place", "found")).alias("ways"))
+    return consistent(settle(ways, "alignments"), docs, benchmark, limits)
 
 
-def consistent(best: DataFrame, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The alignments whose slots are consistent. Only documents with a candidate are read again."""
-    ids = best.select(F.col("doc_id").alias("d")).distinct()
+def consistent(ways: DataFrame, docs: DataFrame, benchmark: DataFrame, limits: Limits) -> DataFrame:
+    """For each document and item the best alignment whose slots are consistent. Only documents with a candidate are read again."""
+    ids = ways.select(F.col("doc_id").alias("d")).distinct()
     rows = docs_of(docs)
     texts = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
     asked = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("item_text"))
-    pairs = best.withColumnRenamed("doc_id", "d").join(asked, "item_id").join(texts, F.col("doc_id").eqNullSafe(F.col("d"))).select("doc_id", "item_id", "covered", "n_windows", "place", "shift", "text", "item_text")
+    pairs = ways.withColumnRenamed("doc_id", "d").join(asked, "item_id").join(texts, F.col("doc_id").eqNullSafe(F.col("d"))).select("doc_id", "item_id", "ways", "text", "item_text")
+    names = ("doc_id", "item_id", "covered", "n_windows", "place", "slots")
+    schema = pa.schema([(c, pa.int32() if c in ("n_windows", "place") else pa.int64()) for c in names])
 
     def run(batches):
         for batch in batches:
-            keep, counts = [], []
-            for row in batch.select(["text", "item_text", "shift"]).to_pylist():
-                ok, n = slots_agree(row["text"], row["item_text"], row["shift"])
-                keep.append(ok)
-                counts.append(n)
-            out = batch.select(["doc_id", "item_id", "covered", "n_windows", "place"]).append_column("slots", pa.array(counts, pa.int64()))
-            yield out.filter(pa.array(keep, pa.bool_()))
+            out = []
+            for row in batch.to_pylist():
+                words, item = word_re.findall(row["text"]), word_re.findall(row["item_text"])
+                for way in sorted(row["ways"], key=lambda w: (-w["covered"], w["place"])):
+                    n = agreed(words, item, [(x["at"], x["shift"]) for x in way["found"]], min(limits.window, len(item)))
+                    if n is not None:
+                        out.append((row["doc_id"], row["item_id"], way["covered"], way["n_windows"], way["place"], n))
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(schema.types)], schema=schema)
 
     return pairs.mapInArrow(run, "doc_id long, item_id long, covered long, n_windows int, place int, slots long").dropDuplicates(["doc_id", "item_id"])
 
 
+def agreed(words: list[str], item: list[str], found: list[tuple[int, int]], size: int) -> int | None:
+    """How many slots were compared at the first shift of an alignment, most windows first, at which they are consistent; None without one."""
+    count = Counter(shift for _, shift in found)
+    for shift in sorted(count, key=lambda x: (-count[x], x)):
+        # each word of the item goes where the window nearest to the shift has it, and one outside all windows where the shift has it
+        where: dict[int, int] = {}
+        for at, own in sorted(found, key=lambda x: (abs(x[1] - shift), x)):
+            for j in range(at, at + size):
+                where.setdefault(j, own)
+        ok, n = compared(words, item, [j + where.get(j, shift) for j in range(len(item))])
+        if ok:
+            return n
+    return None
+
+
 def slots_agree(text: str, item: str, shift: int) -> tuple[bool, int]:
     """Whether item values map one to one to values of the text on the alignment, and how many slots were compared; a fifth of the slots may disagree."""
     words, asked = word_re.findall(text), word_re.findall(item)
+    return compared(words, asked, [j + shift for j in range(len(asked))])
+
+
+def compared(words: list[str], asked: list[str], places: list[int]) -> tuple[bool, int]:
+    """The same for words of the item and their places in the text."""
     there: dict[str, set] = defaultdict(set)
     back: dict[str, set] = defaultdict(set)
     n = 0
-    for j, w in enumerate(asked):
-        i = j + shift
+    for j, (w, i) in enumerate(zip(asked, places)):
         if not 0 <= i < len(words):
             continue
         kind, value = canonical(w, j == 0 or asked[j - 1][-1:] in ".!?:")

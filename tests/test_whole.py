@@ -63,3 +63,24 @@ def test_items_of_slots_are_found_verbatim(spark, limits):
     others = ["Continue: 3, 5, 9, 17, 33, 65, 129, ?", "Rank Oslo, Lisbon, Athens, Dublin, Prague and Warsaw by size", "12 15 14"]
     alike = "Write down which of these numbers is even and which is odd: 51, 52, 55, 58, 61, 64, 67, 70, 73, 76, 79, 82"
     assert _leaks(spark, [*texts, *others, alike], items, **limits) == {*((i, i) for i in range(5)), (8, 3)}
+
+
+ITEM = "when Sam Miller buys 12 kg of apples and then Sam Miller gives away 12 kg of pears how many kg of fruit has Sam Miller now"
+
+
+def test_every_alignment_is_checked(spark):
+    """A text of the item's shape with inconsistent slots comes first, or again and again; the verbatim item behind it counts."""
+    other = ITEM
+    for x, y in zip(("Sam Miller", "12 kg", "Sam Miller", "12 kg", "Sam Miller"), ("Tom Jones", "40 kg", "Ruth Baker", "7 kg", "Anna Cook")):
+        other = other.replace(x, y, 1)
+    assert _leaks(spark, [other, other + " x y z " + ITEM, ITEM + " x y z " + other, " x ".join([other] * 5 + [ITEM])], [ITEM]) == {(1, 0), (2, 0), (3, 0)}
+
+
+def test_a_stray_window_moves_no_alignment():
+    words, item = ["x", *ITEM.split()], ITEM.split()
+    found = [(at, 1) for at in range(len(item) - 7)]
+    n = decontaminate.agreed(words, item, found, 8)
+    assert n and decontaminate.agreed(words, item, [*found, (3, -2)], 8) == n
+    wrong = list(words)
+    wrong[2:4], wrong[12:14], wrong[24:26] = ["Tom", "Jones"], ["Ruth", "Baker"], ["Anna", "Cook"]
+    assert decontaminate.agreed(wrong, item, found, 8) is None and decontaminate.agreed(wrong, item, [*found, (3, -2)], 8) is None
