@@ -92,13 +92,21 @@ def within_one_edit(x: Column, y: Column) -> Column:
     return (F.abs(n - m) <= 1) & (before + behind >= F.greatest(n, m) - 1)
 
 
-def dedup_lines(docs: DataFrame, least_words: int = 8, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+#: Fixed value: equal lines of so many words go too; blank lines and lines of one or two words are layout (breaks, headings, list marks).
+LEAST_EXACT = 3
+
+
+def dedup_lines(docs: DataFrame, least_words: int = 8, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), least_exact: int = LEAST_EXACT) -> DataFrame:
     """doc_id, n_lines, n_dropped, text of every row, without its near-duplicate lines, and the columns to carry along.
 
-    Lines are compared by their words; those with fewer than ``least_words`` always stay. A line goes if an equal line stands earlier in the corpus, or if the earliest equal line has an earlier one within one edit. A null text stays null with no lines, an empty one has one empty line that stays. Rows with the same id count as one place each: repeated rows keep the lines of all of them. An empty table gives no rows.
+    Lines are compared by their words; those with fewer than ``least_words`` go only if an equal line stands earlier, and those with fewer than ``least_exact`` always stay. A longer line goes if an equal line stands earlier in the corpus, or if the earliest equal line has an earlier one within one edit. A null text stays null with no lines, an empty one has one empty line that stays. Rows with the same id count as one place each: repeated rows keep the lines of all of them. An empty table gives no rows.
     """
     verdict = near_lines(docs, least_words, id_col, text_col).select("key", F.col("doc_id").alias("first_doc"), F.col("at").alias("first_at"), "drop")
-    keyed = _long_lines(docs, least_words, id_col, text_col).select("first.*", "key")
+    keyed = _long_lines(docs, min(least_exact, least_words), id_col, text_col)
+    if least_exact < least_words:
+        short = keyed.filter(F.size(F.split("norm", " ", least_words)) < least_words).groupBy("key").agg(F.min("first").alias("f"))
+        verdict = verdict.unionByName(short.select("key", F.col("f.doc_id").alias("first_doc"), F.col("f.at").alias("first_at"), F.lit(False).alias("drop")))
+    keyed = keyed.select("first.*", "key")
     gone = keyed.join(verdict, "key").filter(F.col("drop") | ~F.col("doc_id").eqNullSafe(F.col("first_doc")) | (F.col("at") != F.col("first_at")))
     dropped = gone.groupBy("doc_id").agg(F.collect_set("at").alias("gone"))
     joined = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry).join(dropped.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d")), "left")
@@ -108,7 +116,8 @@ def dedup_lines(docs: DataFrame, least_words: int = 8, id_col: str = "doc_id", t
 
 
 def op3_lines(spark, sf_dir):
-    return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """As OP3_SQL has it: lines under 8 words stay, equal ones too."""
+    return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), least_exact=8)
 
 
 OP3_SQL = r"""

@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+import corpus_pipeline
 from lodeframe.llm import decontaminate, quality
 from lodeframe.plans import catalog
 from tests.run_query import compare
@@ -84,3 +85,10 @@ def test_a_stray_window_moves_no_alignment():
     wrong = list(words)
     wrong[2:4], wrong[12:14], wrong[24:26] = ["Tom", "Jones"], ["Ruth", "Baker"], ["Anna", "Cook"]
     assert decontaminate.agreed(wrong, item, found, 8) is None and decontaminate.agreed(wrong, item, [*found, (3, -2)], 8) is None
+
+
+def test_equal_short_lines_go(spark):
+    texts = ["All rights reserved.\nOne\n\nReleased under the MIT License.\nits own words", "Two\n All  rights reserved.\n\nOne\nAll rights kept.", "Released under the MIT License.", None]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r.text for r in corpus_pipeline.without_repeated_lines(spark, docs, "").collect()}
+    assert got == {0: texts[0], 1: "Two\n\nOne\nAll rights kept.", 3: None}
