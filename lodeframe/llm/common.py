@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,12 +35,50 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/lodeframe-{what}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, what: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write a table to the shared folder and read it again: its lineage ends there, so lost executors cost no recomputation."""
-    path = scratch(df.sparkSession, what)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: With this setting Spark deletes the shuffle files of a query when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy(spark: SparkSession):
+    """Queries inside leave no shuffle files behind."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
+def settle(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it again: its lineage ends there, so lost executors cost no recomputation, and the shuffles that made it go."""
+    spark = df.sparkSession
+    path = path or scratch(spark, what)
+    with tidy(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+class Tables:
+    """Settled tables of one run by name. A name written again drops its table before, once the new one is whole."""
+
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark, self.what = spark, what
+        self.paths: dict[str, str] = {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch(self.spark, f"{self.what}-{name}")
+        out = settle(df, name, path)
+        self.drop(name)
+        self.paths[name] = path
+        return out
+
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing reads any more."""
+        for name in names:
+            if name in self.paths:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def docs_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:

@@ -1,20 +1,29 @@
 """Corpus-wide counts of hashed items, brought back to where they are needed.
 
-Documents fall into blocks by a hash of their id. A block sends the sorted distinct hashes of its items, packed and cut by hash range, one row for each range; the task of a range adds up what all blocks sent and answers each with the totals of just its items, in the order it sent them. So no task holds the whole table, a very common item costs one entry per block, nothing is broadcast, and the rows are as many as blocks times ranges, not items. Totals cover every document.
+Texts are read and cut into words once: a block row holds some documents as numbers into the list of its distinct words' hashes, and the table of blocks is written, so that both passes over it see the same rows whatever executors are lost. A block sends the sorted distinct hashes of its items, packed and cut by hash range, one row for each range; the task of a range adds up what all blocks sent and answers each with the totals of just its items, in the order it sent them. So no task holds the whole table, a very common item costs one entry per block, and nothing is broadcast. Totals cover every document.
+
+A block is cut into ``FAN`` ranges at most, so the rows grow with the corpus and not with its square. Where ranges of ``RANGE_BYTES`` of text would be more than that, the exchange takes two levels: the packets of a range are gathered into chunks that are cut again, counted by the finer range, and dealt back the same way.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces
+
 #: Constants of the splitmix64 finaliser.
 M1, M2, GOLDEN = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of text in a block and (about) in a range, most ranges of one level and bytes of a chunk between the levels.
+BLOCK_BYTES, RANGE_BYTES, FAN, CHUNK_BYTES = 6 << 20, 16 << 20, 4096, 32 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -23,82 +32,215 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
+def word_hashes(words: list[str] | list[bytes]) -> np.ndarray:
     digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+    return np.fromiter((digest(w if isinstance(w, bytes) else w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+
+
+# -- blocks ---------------------------------------------------------------
+BLOCK = "block long, doc_id array<long>, chosen array<boolean>, sizes array<int>, words binary, ids binary"
+BLOCK_ARROW = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("chosen", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("words", pa.binary()), ("ids", pa.binary())])
+
+
+class Words:
+    """Some documents' words: ``hashes`` of the distinct ones, ``ids`` of all in order and ``sizes`` of the documents."""
+
+    def __init__(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray):
+        self.hashes, self.ids, self.sizes = hashes, ids, sizes
+
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Words:
+        """Bytes have white space and capital letters of ASCII alone, which is what words are defined by."""
+        words = [t.lower().split() for t in texts]
+        numbers: dict[bytes, int] = defaultdict(count().__next__)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ids = np.fromiter(map(numbers.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
+        return cls(mix(word_hashes(list(numbers))), ids, sizes)
+
+
+def word_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Block rows of docs (doc_id, text without nulls, chosen): texts of about ``block_bytes`` each, one document at least."""
+
+    def run(batches):
+        task = TaskContext.get().partitionId() << 32
+        for n, piece in enumerate(pieces(batches, block_bytes)):
+            words = Words.of(piece.column(1).cast(pa.binary()).to_pylist())
+            ids = words.ids.astype("<u2" if len(words.hashes) <= 1 << 16 else "<u4")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x], t) for x, t in zip((task + n, piece.column(0).to_pylist(), piece.column(2).to_pylist(), words.sizes.astype(np.int32), words.hashes.astype("<u8").tobytes(), ids.tobytes()), BLOCK_ARROW.types)],
+                schema=BLOCK_ARROW,
+            )
+
+    return docs.select("doc_id", "text", "chosen").mapInArrow(run, BLOCK)
+
 
+def read_block(table: pa.Table) -> tuple[Words, list, list]:
+    """Words, ids and flags of the one block row of a table."""
+    row = table.slice(0, 1).to_pylist()[0]
+    hashes = np.frombuffer(row["words"], "<u8")
+    ids = np.frombuffer(row["ids"], "<u2" if len(hashes) <= 1 << 16 else "<u4").astype(np.int64)
+    return Words(hashes, ids, np.array(row["sizes"], np.int64)), row["doc_id"], row["chosen"]
 
+
+# -- packets --------------------------------------------------------------
 def ranges_of(hashes: np.ndarray, n: int) -> np.ndarray:
     """Ends of the n hash ranges within sorted hashes."""
-    first = ((np.arange(1, n + 1, dtype=object) << 64) + n - 1) // n
-    bounds = np.array([min(int(x), (1 << 64) - 1) for x in first], np.uint64)
-    ends = np.searchsorted(hashes, bounds, "left")
-    ends[-1] = len(hashes)
-    return ends
+    first = [-(-(i << 64) // n) for i in range(1, n)]
+    return np.append(np.searchsorted(hashes, np.array(first, np.uint64), "left"), len(hashes)) if n > 1 else np.array([len(hashes)])
 
 
 def pack(hashes: np.ndarray, width: int) -> bytes:
-    return hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    """Sorted hashes, cut to their first ``width`` bytes, as gaps of the fewest bytes that hold them all, behind a byte that tells how many."""
+    top = hashes >> np.uint64(64 - 8 * width)
+    gaps = np.diff(top, prepend=np.uint64(0))
+    first, gaps = gaps[:1], gaps[1:]
+    size = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
+    return bytes([size]) + first.astype("<u8").tobytes() + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
 
 
 def unpack(data: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(data) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
-    return out.view(">u8").ravel().astype(np.uint64)
+    size, head = data[0], np.frombuffer(data[1:9], "<u8")
+    rest = np.frombuffer(data[9:], np.uint8).reshape(-1, size)
+    gaps = np.zeros((len(rest), 8), np.uint8)
+    gaps[:, :size] = rest
+    return np.cumsum(np.concatenate([head, gaps.view("<u8").ravel()]), dtype=np.uint64) << np.uint64(64 - 8 * width)
 
 
-def blocks_for(volume: int, block_bytes: int, least: int = 48) -> int:
-    return max(least, -(-volume // block_bytes))
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts in the smallest unsigned type that holds them, behind a byte with its size; ones alone are left out."""
+    most = int(counts.max()) if len(counts) else 0
+    if most <= 1 and (not len(counts) or counts.min() == 1):
+        return b""
+    size = next(s for s in (1, 2, 4, 8) if most < 1 << 8 * s)
+    return bytes([size]) + counts.astype(f"<u{size}").tobytes()
 
 
-def in_blocks(docs: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
-    """docs with the column block."""
-    return docs.withColumn("block", F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int"))
+def unpack_counts(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data[1:], f"<u{data[0]}").astype(np.int64) if data else np.ones(n, np.int64)
 
 
-def with_totals(blocked: DataFrame, n: int, items: Callable, finish: Callable, schema: str, kinds: int = 1, width: int = 8) -> DataFrame:
-    """Rows of ``finish(block, totals, sums, distinct)`` for each block.
+SENT = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("block", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
+ANSWERED = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), ("totals", pa.binary()), ("total", pa.int64()), ("distinct", pa.int64())])
+CHUNK = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("sub", pa.int32()), ("chunk", pa.int64()), ("blocks", pa.binary()), ("sizes", pa.binary()), ("hashes", pa.binary()), ("counts", pa.binary())])
+COUNTED = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("sub", pa.int32()), ("chunk", pa.int64()), ("blocks", pa.binary()), ("sizes", pa.binary()), ("totals", pa.binary()), ("total", pa.int64()), ("distinct", pa.int64())])
+DDL = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
+
+
+def ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {DDL[f.type]}" for f in schema)
 
-    ``items(block: pa.Table)`` gives for each kind a pair of arrays: sorted distinct hashes and how often to count each. It must not depend on the order of rows. ``totals`` has for each kind the corpus-wide counts in the order of the block's hashes; ``sums`` and ``distinct`` are the corpus-wide sum of counts and number of hashes with a count, for each kind. With ``width`` below 8, hashes that agree in their first bytes are counted as one.
-    """
-    blocks = max(1, n)
-
-    def send(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
-        rows: dict[str, list] = {"part": [], "kind": [], "block": [], "hashes": [], "counts": []}
-        for kind, (hashes, counts) in enumerate(items(table)):
-            start = 0
-            for part, end in enumerate(ranges_of(hashes, blocks)):
-                rows["part"].append(part)
-                rows["kind"].append(kind)
-                rows["block"].append(block)
-                rows["hashes"].append(pack(hashes[start:end], width))
-                rows["counts"].append(counts[start:end].astype("<u4").tobytes())
-                start = end
-        return pa.Table.from_pydict(rows, schema=SENT)
-
-    def total(table: pa.Table) -> pa.Table:
-        hashes = [unpack(x.as_py(), width) for x in table.column("hashes")]
-        counts = [np.frombuffer(x.as_py(), "<u4") for x in table.column("counts")]
-        distinct, place = np.unique(np.concatenate(hashes), return_inverse=True)
-        totals = np.bincount(place, np.concatenate(counts), len(distinct)).astype("<i8")
-        answers = [x.tobytes() for x in np.split(totals[place], np.cumsum([len(x) for x in hashes])[:-1])]
-        n_rows = table.num_rows
-        return pa.Table.from_arrays([table.column("block"), table.column("part"), table.column("kind"), pa.array(answers, pa.binary()), pa.array([int(totals.sum())] * n_rows, pa.int64()), pa.array([int((totals > 0).sum())] * n_rows, pa.int64())], schema=ANSWERED)
-
-    def end(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return finish(docs, [], [], [])
-        by_kind: list[list] = [[] for _ in range(kinds)]
-        for row in sorted(answers.select(["kind", "part", "totals", "total", "distinct"]).to_pylist(), key=lambda r: (r["kind"], r["part"])):
-            by_kind[row["kind"]].append(row)
-        totals = [np.frombuffer(b"".join(r["totals"] for r in rows), "<i8") for rows in by_kind]
-        return finish(docs, totals, [sum(r["total"] for r in rows) for rows in by_kind], [sum(r["distinct"] for r in rows) for rows in by_kind])
 
-    sent = blocked.groupBy("block").applyInArrow(send, "part int, kind int, block int, hashes binary, counts binary")
-    answered = sent.groupBy("part", "kind").applyInArrow(total, "block int, part int, kind int, totals binary, total long, distinct long")
-    return blocked.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(end, schema)
+def sum_up(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], int, int]:
+    """For each list of hashes the totals over all lists, the sum of all counts and the number of hashes with a count."""
+    distinct, place = np.unique(np.concatenate(hashes), return_inverse=True)
+    totals = np.bincount(place, np.concatenate(counts), len(distinct)).astype(np.int64)
+    return np.split(totals[place], np.cumsum([len(x) for x in hashes])[:-1]), int(totals.sum()), int((totals > 0).sum())
 
 
-SENT = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
-ANSWERED = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("kind", pa.int32()), ("totals", pa.binary()), ("total", pa.int64()), ("distinct", pa.int64())])
+def n_ranges(volume: int, range_bytes: int = RANGE_BYTES) -> int:
+    return max(16, -(-volume // range_bytes))
+
+
+def with_totals(blocks: DataFrame, ranges: int, items: Callable, finish: Callable, schema: str, kinds: int = 1, width: int = 8, fan: int = FAN, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Rows of ``finish(block, totals, sums, distinct)`` for each block row of a written table.
+
+    ``items(block: pa.Table)`` gives for each kind a pair of arrays: sorted distinct hashes and how often to count each. ``totals`` has for each kind the corpus-wide counts in the order of the block's hashes; ``sums`` and ``distinct`` are the corpus-wide sum of counts and number of hashes with a count, for each kind. With ``width`` below 8, hashes that agree in their first bytes are counted as one.
+    """
+    parts = min(ranges, fan)
+
+    def send(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = pa.Table.from_batches([batch.slice(i, 1)])
+                rows: dict[str, list] = {"kind": [], "part": [], "hashes": [], "counts": []}
+                for kind, (hashes, counts) in enumerate(items(one)):
+                    start = 0
+                    for part, end in enumerate(ranges_of(hashes, parts).tolist()):
+                        rows["kind"].append(kind)
+                        rows["part"].append(part)
+                        rows["hashes"].append(pack(hashes[start:end], width) if end > start else b"")
+                        rows["counts"].append(pack_counts(counts[start:end]))
+                        start = end
+                rows["block"] = [one.column("block")[0].as_py()] * len(rows["kind"])
+                yield pa.RecordBatch.from_pydict(rows, schema=SENT)
+
+    def opened(table, width: int = width):
+        hashes = [unpack(x.as_buffer().to_pybytes(), width) if len(x.as_buffer()) else np.zeros(0, np.uint64) for x in table.column("hashes")]
+        return hashes, [unpack_counts(x.as_py(), len(h)) for x, h in zip(table.column("counts"), hashes)]
+
+    def answer(table: pa.Table) -> pa.Table:
+        hashes, counts = opened(table)
+        answers, total, distinct = sum_up(hashes, counts)
+        n = table.num_rows
+        return pa.Table.from_arrays([table.column("block"), table.column("part"), table.column("kind"), pa.array([len(x) for x in answers], pa.int32()), pa.array([pack_counts(x) for x in answers], pa.binary()), pa.array([total] * n, pa.int64()), pa.array([distinct] * n, pa.int64())], schema=ANSWERED)
+
+    def end(block: pa.Table, answers: pa.Table) -> pa.Table:
+        if not block.num_rows:
+            return finish(block, [], [], [])
+        by_kind: list[list] = [[] for _ in range(kinds)]
+        for row in sorted(answers.drop(["block"]).to_pylist(), key=lambda r: (r["kind"], r["part"])):
+            by_kind[row["kind"]].append(row)
+        totals = [np.concatenate([unpack_counts(r["totals"], r["n"]) for r in rows]) for rows in by_kind]
+        return finish(block, totals, [sum(r["total"] for r in rows) for rows in by_kind], [sum(r["distinct"] for r in rows) for rows in by_kind])
+
+    sent = blocks.mapInArrow(send, ddl(SENT))
+    if ranges <= fan:
+        answered = sent.groupBy("part", "kind").applyInArrow(answer, ddl(ANSWERED))
+    else:
+        answered = _two_levels(sent, -(-ranges // fan), parts, opened, chunk_bytes)
+    return blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(end, schema)
+
+
+def _two_levels(sent: DataFrame, inner: int, parts: int, opened: Callable, chunk_bytes: int) -> DataFrame:
+    """The answers to packets, by way of ranges that are ``inner`` times finer. The packets of a range are dealt over as many tasks as there are finer ranges, so a task sees a small part of each."""
+
+    def deal(batches):
+        held: list = []
+        size, key = 0, None
+
+        def flush():
+            hashes, counts = opened(pa.Table.from_batches(held))
+            kind, part = key
+            lo, hi = -(-(part << 64) // parts), -(-((part + 1) << 64) // parts)
+            bounds = np.array([lo + (hi - lo) * i // inner for i in range(1, inner)], np.uint64)
+            ends = [np.concatenate([[0], np.searchsorted(h, bounds, "left"), [len(h)]]) for h in hashes]
+            blocks = np.concatenate([np.asarray(b.column(2)) for b in held])
+            for sub in range(inner):
+                cut = [slice(e[sub], e[sub + 1]) for e in ends]
+                some, often = (np.concatenate([x[c] for x, c in zip(xs, cut)]) for xs in (hashes, counts))
+                row = (kind, part, sub, int(blocks[0]), blocks.astype("<i8").tobytes() if not sub else b"", np.array([c.stop - c.start for c in cut], "<u4").tobytes(), some.astype("<u8").tobytes(), pack_counts(often))
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, CHUNK.types)], schema=CHUNK)
+
+        for batch in batches:
+            kinds, places = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            bounds = [0, *(i for i in range(1, batch.num_rows) if (kinds[i], places[i]) != (kinds[i - 1], places[i - 1])), batch.num_rows]
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                if a == b:
+                    continue
+                if held and ((kinds[a], places[a]) != key or size >= chunk_bytes):
+                    yield from flush()
+                    held, size = [], 0
+                key = (kinds[a], places[a])
+                held.append(batch.slice(a, b - a))
+                size += held[-1].nbytes
+        if held:
+            yield from flush()
+
+    def tally(table: pa.Table) -> pa.Table:
+        hashes = [np.frombuffer(x.as_py(), "<u8") for x in table.column("hashes")]
+        answers, total, distinct = sum_up(hashes, [unpack_counts(x.as_py(), len(h)) for x, h in zip(table.column("counts"), hashes)])
+        n = table.num_rows
+        return pa.Table.from_arrays([*(table.column(c) for c in ("kind", "part", "sub", "chunk", "blocks", "sizes")), pa.array([pack_counts(x) for x in answers], pa.binary()), pa.array([total] * n, pa.int64()), pa.array([distinct] * n, pa.int64())], schema=COUNTED)
+
+    def gather(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["sub"])
+        blocks = np.frombuffer(rows[0]["blocks"], "<i8")
+        sizes = [np.frombuffer(r["sizes"], "<u4").astype(np.int64) for r in rows]
+        split = [np.split(unpack_counts(r["totals"], int(s.sum())), np.cumsum(s)[:-1]) for r, s in zip(rows, sizes)]
+        whole = [np.concatenate([s[i] for s in split]) for i in range(len(blocks))]
+        n = len(blocks)
+        return pa.Table.from_pydict({"block": blocks, "part": [rows[0]["part"]] * n, "kind": [rows[0]["kind"]] * n, "n": [len(x) for x in whole], "totals": [pack_counts(x) for x in whole], "total": [sum(r["total"] for r in rows)] * n, "distinct": [sum(r["distinct"] for r in rows)] * n}, schema=ANSWERED)
+
+    dealt = sent.repartition(F.col("kind"), F.col("part"), F.pmod(F.xxhash64("block"), F.lit(inner))).sortWithinPartitions("kind", "part", "block")
+    counted = dealt.mapInArrow(deal, ddl(CHUNK)).groupBy("kind", "part", "sub").applyInArrow(tally, ddl(COUNTED))
+    return counted.groupBy("kind", "part", "chunk").applyInArrow(gather, ddl(ANSWERED))

@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, docs_of, text_volume, word_re
-from .exchange import GOLDEN, blocks_for, in_blocks, mix, with_totals, word_hashes
+from .common import Tables, docs_of, text_volume
+from .exchange import BLOCK_BYTES, GOLDEN, Words, mix, n_ranges, read_block, with_totals, word_blocks, word_hashes
 
 #: Stand-ins for the start and the end of a text; no word has white space.
 START, END = "\n<", "\n>"
@@ -24,25 +24,20 @@ START, END = "\n<", "\n>"
 class Grams:
     """The n-grams of some texts. For each order: sorted distinct hashes and, for each token, the place of the n-gram that ends there (-1: it would reach over the start)."""
 
-    def __init__(self, texts: list[str], order: int):
-        ids: dict[str, int] = {START: 0, END: 1}
-        put = ids.setdefault
-        flat: list[int] = []
-        sizes = []
-        for text in texts:
-            before = len(flat)
-            flat += [put(w, len(ids)) for w in word_re.findall(text.translate(LOWER))]
-            flat.append(1)
-            sizes.append(len(flat) - before)
-        self.sizes = np.array(sizes, np.int64)
-        hashed = mix(word_hashes(list(ids)))
+    def __init__(self, words: Words, order: int):
+        self.sizes = words.sizes + 1  # with the end
+        hashed = np.concatenate([mix(word_hashes([START, END])), words.hashes])
         # each text stands behind one start mark, which is a context but not a token
-        lead = np.cumsum(self.sizes + 1) - self.sizes - 1
-        tokens = np.zeros(len(flat) + len(texts), np.int64)
+        ends = np.cumsum(self.sizes + 1)
+        lead = ends - self.sizes - 1
+        tokens = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
         self.is_token = np.ones(len(tokens), bool)
         self.is_token[lead] = False
-        tokens[self.is_token] = flat
-        self.doc = np.repeat(np.arange(len(texts)), self.sizes + 1)
+        is_word = self.is_token.copy()
+        is_word[ends - 1] = False
+        tokens[ends - 1] = 1
+        tokens[is_word] = words.ids + 2
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes + 1)
         self.within = np.arange(len(tokens)) - np.repeat(lead, self.sizes + 1)
         rolled = hashed[tokens]
         self.hashes, self.places = [], []
@@ -51,7 +46,7 @@ class Grams:
                 rolled = np.concatenate([np.zeros(1, np.uint64), mix(rolled[:-1] * GOLDEN + hashed[tokens[1:]] + np.uint64(k))])
             whole = self.within >= k - 1
             distinct, place = np.unique(rolled[whole], return_inverse=True)
-            places = np.full(len(tokens), -1)
+            places = np.full(len(tokens), -1, np.int32)
             places[whole] = place
             self.hashes.append(distinct)
             self.places.append(places)
@@ -94,44 +89,46 @@ def traverse(arcs: list[list], fails: list[list], known: list[bool], start: int,
     return score
 
 
-def score(docs: DataFrame, train: F.Column, order: int = 2, strengths: tuple[float, ...] = (100.0,), block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, train: F.Column, order: int = 3, strengths: tuple[float, ...] | None = None, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", **exchange) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
-    ``train`` tells which rows the model learns from; where it is null, the row is held out. A null or empty text is its end token alone. With no training rows every token has the share 1 / (0 + 0 + 1). Repeated rows count as often as they stand. An empty table gives no rows.
+    ``train`` tells which rows the model learns from; where it is null, the row is held out. ``strengths`` are those of the orders from 2 on; without them each is the mean number of distinct words that follow a context of its length in the training texts. A null or empty text is its end token alone. With no training rows every token has the share 1 / (0 + 0 + 1). Repeated rows count as often as they stand, null ids stay null and other columns are left out. An empty table gives no rows.
     """
-    blocks = blocks_for(text_volume(docs, text_col)[1], block_bytes)
-    rows = docs_of(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train")), "doc_id", "text", "train")
-    salted = in_blocks(rows.withColumn("k", F.struct("doc_id", F.crc32(F.encode("text", "utf-8")))), blocks, "k").drop("k")
+    spark = docs.sparkSession
+    rows = docs_of(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("chosen")), "doc_id", "text", "chosen")
+    blocks = Tables(spark, "lm").write(word_blocks(rows, block_bytes), "blocks")
 
     def read(table: pa.Table):
-        return Grams(table.column("text").to_pylist(), order), np.array(table.column("train").to_pylist(), bool)
+        words, ids, chosen = read_block(table)
+        return Grams(words, order), ids, np.array(chosen, bool)
 
     def items(table: pa.Table):
-        grams, train = read(table)
-        counts = grams.counts(train)
+        grams, _, chosen = read(table)
+        counts = grams.counts(chosen)
         counts[0][grams.mark] = 0  # a context, but not a token: counted as a kind of its own
-        return [*zip(grams.hashes, counts), (mix(word_hashes([START])), np.array([train.sum()]))]
+        return [*zip(grams.hashes, counts), (mix(word_hashes([START])), np.array([chosen.sum()]))]
 
     def finish(table: pa.Table, totals: list, sums: list, distinct: list) -> pa.Table:
         if not table.num_rows:
             return OUT.empty_table()
-        grams, train = read(table)
+        grams, ids, chosen = read(table)
         (*totals, (n_starts,)), n, v = totals, sums[0], distinct[0]
         single = totals[0].copy()
         totals[0] = single.copy()
         totals[0][grams.mark] = n_starts
-        arcs, fails = automaton(grams, totals, n, v, strengths)
+        weights = strengths or [max(1.0, distinct[k] / max(1, distinct[k - 1])) for k in range(1, order)]
+        arcs, fails = automaton(grams, totals, n, v, weights)
         known = (single[grams.places[0]] > 0) & grams.is_token
         moves, ends = known.tolist(), np.cumsum(grams.sizes + 1)
         scores = [traverse(arcs, fails, moves, int(e - s), int(e)) for s, e in zip(grams.sizes, ends)]
         base = np.where(grams.is_token, np.log10((single + 1) / (n + v + 1))[grams.places[0]], 0)
-        rows = table.num_rows
+        rows = len(ids)
         return pa.Table.from_arrays([
-            table.column("doc_id"), pa.array(~train), pa.array(grams.sizes), pa.array(np.bincount(grams.doc[known], minlength=rows).astype(np.int64)),
+            pa.array(ids, pa.int64()), pa.array(~chosen), pa.array(grams.sizes), pa.array(np.bincount(grams.doc[known], minlength=rows).astype(np.int64)),
             pa.array(np.full(rows, n, np.int64)), pa.array(np.bincount(grams.doc, base, rows)), pa.array(np.array(scores, float)),
         ], schema=OUT)
 
-    return with_totals(salted, blocks, items, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", kinds=order + 1)
+    return with_totals(blocks, n_ranges(text_volume(rows)[1]), items, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", kinds=order + 1, **exchange)
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])

@@ -11,32 +11,29 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, docs_of, settle, text_volume, word_re
-from .exchange import GOLDEN, blocks_for, in_blocks, mix, with_totals, word_hashes
+from .common import Tables, docs_of, text_volume
+from .exchange import BLOCK_BYTES, GOLDEN, Words, mix, n_ranges, read_block, with_totals, word_blocks
 from .graph import components
 
-SCHEMA = "doc_id long, n_shingles long, gid string, tokens array<long>, ranks array<int>, clean double, shared binary"
-OUT = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("gid", pa.string()), ("tokens", pa.list_(pa.int64())), ("ranks", pa.list_(pa.int32())), ("clean", pa.float64()), ("shared", pa.binary())])
+SCHEMA = "doc_id long, n_shingles long, gid binary, tokens array<long>, ranks array<int>, clean double, shared binary"
+OUT = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("gid", pa.binary()), ("tokens", pa.list_(pa.int64())), ("ranks", pa.list_(pa.int32())), ("clean", pa.float64()), ("shared", pa.binary())])
 
 
 class Shingles:
     """Distinct shingles of some texts: pairs (hash, text) in ascending order; a text with fewer words than a shingle is one shingle."""
 
-    def __init__(self, texts: list[str], width: int):
-        ids: dict[str, int] = {}
-        put = ids.setdefault
-        words = [[put(w, len(ids)) for w in word_re.findall(t.translate(LOWER))] for t in texts]
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        hashed = mix(word_hashes(list(ids)))
-        flat = hashed[np.fromiter((i for ws in words for i in ws), np.int64, int(sizes.sum()))]
-        doc = np.repeat(np.arange(len(texts)), sizes)
-        rolled, whole = np.zeros(max(0, len(flat) - width + 1), np.uint64), doc[: max(0, len(flat) - width + 1)] == doc[width - 1 :]
+    def __init__(self, words: Words, width: int):
+        sizes = words.sizes
+        flat = words.hashes[words.ids]
+        doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        n = max(0, len(flat) - width + 1)
+        rolled, whole = np.zeros(n, np.uint64), doc[:n] == doc[width - 1 :][:n]
         for j in range(width):
-            rolled = rolled * GOLDEN + flat[j : j + len(rolled)]
-        hashes, owners = [mix(rolled[whole] + np.uint64(width))], [doc[: len(rolled)][whole]]
+            rolled = rolled * GOLDEN + flat[j : j + n]
+        hashes, owners = [mix(rolled[whole] + np.uint64(width))], [doc[:n][whole]]
         short = np.flatnonzero((sizes > 0) & (sizes < width))
         if len(short):
             ends = np.cumsum(sizes)
@@ -47,31 +44,32 @@ class Shingles:
                     h = h * GOLDEN + x
                 one.append(mix(h + np.uint64(sizes[k]))[0])
             hashes.append(np.array(one, np.uint64))
-            owners.append(short)
+            owners.append(short.astype(np.int32))
         h, d = np.concatenate(hashes), np.concatenate(owners)
         order = np.lexsort((d, h)) if len(short) else np.argsort(h, kind="stable")
         h, d = h[order], d[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-        self.hash, self.doc, self.n = h[new], d[new], len(texts)
+        self.hash, self.doc, self.n = h[new], d[new], len(sizes)
         self.sizes = np.bincount(self.doc, minlength=self.n)
 
     def frequencies(self) -> tuple[np.ndarray, np.ndarray]:
         return np.unique(self.hash, return_counts=True)
 
 
-def prefixes(docs: DataFrame, percent: int = 75, width: int = 5, block_bytes: int = 8 << 20) -> DataFrame:
+def prefixes(docs: DataFrame, tables: Tables, percent: int = 75, width: int = 5, block_bytes: int = BLOCK_BYTES, **exchange) -> DataFrame:
     """For every row doc_id, n_shingles and gid, a digest of its set (null for an empty one). One row for each set and block that has shared shingles in its prefix also has tokens (those shingles), ranks (their places in the order), clean (share of shingles that other documents have) and shared (all shared shingles, packed and sorted)."""
-    blocks = blocks_for(text_volume(docs)[1], block_bytes)
-    salted = in_blocks(docs_of(docs).withColumn("k", F.struct("doc_id", F.crc32(F.encode("text", "utf-8")))), blocks, "k").drop("k")
+    rows = docs_of(docs.select("doc_id", "text", F.lit(None).cast("boolean").alias("chosen")), "doc_id", "text", "chosen")
+    blocks = tables.write(word_blocks(rows, block_bytes), "blocks")
 
     def items(table: pa.Table):
-        return [Shingles(table.column("text").to_pylist(), width).frequencies()]
+        return [Shingles(read_block(table)[0], width).frequencies()]
 
     def finish(table: pa.Table, totals: list, *_):
         if not table.num_rows:
             return OUT.empty_table()
-        s = Shingles(table.column("text").to_pylist(), width)
+        words, ids, _ = read_block(table)
+        s = Shingles(words, width)
         df = np.minimum(totals[0], (1 << 32) - 1)[np.unique(s.hash, return_inverse=True)[1]]
         by_doc = np.argsort(s.doc, kind="stable")  # ascending hashes for each document
         rare = np.argsort(df, kind="stable")
@@ -82,11 +80,11 @@ def prefixes(docs: DataFrame, percent: int = 75, width: int = 5, block_bytes: in
         live = (df[rare] > 1) & (rank <= n - -(-n * percent // 100))
         signed = s.hash.view(np.int64)
         rows: dict[str, list] = {x: [] for x in OUT.names[2:]}
-        seen: set[str] = set()
+        seen: set[bytes] = set()
         for k in range(s.n):
             at = slice(ends[k] - s.sizes[k], ends[k])
             mine = by_doc[at]
-            gid = hashlib.blake2b(s.hash[mine].astype("<u8").tobytes(), digest_size=16).hexdigest() if s.sizes[k] else None
+            gid = hashlib.blake2b(s.hash[mine].astype("<u8").tobytes(), digest_size=16).digest() if s.sizes[k] else None
             on = np.flatnonzero(live[at]) if gid and gid not in seen else ()
             rows["gid"].append(gid)
             if len(on):
@@ -99,14 +97,23 @@ def prefixes(docs: DataFrame, percent: int = 75, width: int = 5, block_bytes: in
             else:
                 for x in OUT.names[3:]:
                     rows[x].append(None)
-        return pa.Table.from_pydict({"doc_id": table.column("doc_id"), "n_shingles": s.sizes, **rows}, schema=OUT)
+        return pa.Table.from_pydict({"doc_id": ids, "n_shingles": s.sizes, **rows}, schema=OUT)
 
-    return with_totals(salted, blocks, items, finish, SCHEMA, width=6)
+    return with_totals(blocks, n_ranges(text_volume(rows)[1]), items, finish, SCHEMA, width=6, **exchange)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """u, v of the pairs that reach the threshold."""
-    side = lambda x: sets.select(F.col("gid").alias(x), F.col("n").alias(f"n{x}"), F.col("shared").alias(f"s{x}"))
+#: About so many partners of one set are verified in one task.
+PARTNERS = 10_000
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, n_sets: int) -> DataFrame:
+    """u, v of the pairs that reach the threshold. A set that very many others are compared with is dealt over salts of its partners, for u and for v alike, so that no task has all its pairs."""
+    salts = max(1, min(4096, -(-n_sets // PARTNERS)))
+
+    def with_set(rows: DataFrame, x: str, partner: str) -> DataFrame:
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64(partner), F.lit(salts)))
+        own = sets.select(F.col("gid").alias(x), F.col("n").alias(f"n{x}"), F.col("shared").alias(f"s{x}"))
+        return rows.join(rows.select(x, "salt").distinct().join(own, x), [x, "salt"]).drop("salt")
 
     def run(batches):
         for batch in batches:
@@ -115,7 +122,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             ok = 100 * same >= percent * (nu.to_numpy() + nv.to_numpy() - same)
             yield pa.RecordBatch.from_arrays([u.filter(pa.array(ok)), v.filter(pa.array(ok))], names=["u", "v"])
 
-    return pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(run, "u string, v string")
+    return with_set(with_set(pairs, "u", "v"), "v", "u").select("u", "v", "nu", "nv", "su", "sv").mapInArrow(run, "u binary, v binary")
 
 
 def _possible(a: str, b: str, percent: int):
@@ -124,16 +131,29 @@ def _possible(a: str, b: str, percent: int):
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * F.least(n - i, m - j) >= percent * (n + m))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, rounds: int = 2) -> DataFrame:
+def _node() -> Column:
+    """A name of a set that sorts by its least document id: eight bytes of that (a null one last), then the digest."""
+    place = F.coalesce("least", F.lit((1 << 63) - 1)).bitwiseXOR(F.lit(-(1 << 63)))
+    return F.concat(F.unhex(F.lpad(F.hex(place), 16, "0")), F.col("gid"))
+
+
+def _least(node: Column) -> Column:
+    return F.conv(F.hex(F.substring(node, 1, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(-(1 << 63)))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, rounds: int = 2, **exchange) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links, itself included) for every row.
 
-    Texts are compared by their sets of distinct shingles of ``width`` words, A-Z lower-cased; two link when 100 * intersection >= percent * union. A null or empty text has an empty set and links with nothing. Repeated rows stay and are copies of each other. Null ids take part but name no component unless alone. An empty table gives no rows.
+    Texts are compared by their sets of distinct shingles of ``width`` words, A-Z lower-cased; two link when 100 * intersection >= percent * union. A null or empty text has an empty set and links with nothing. Repeated rows stay and are copies of each other. Null ids take part but name no component unless alone. Other columns are left out. An empty table gives no rows.
     """
-    base = settle(prefixes(docs, percent, width), "prefixes")
-    live = base.filter(F.col("tokens").isNotNull())
-    firsts = live.groupBy("gid").agg(F.min(F.struct(F.col("doc_id"), F.xxhash64("tokens").alias("x"))).alias("f")).select("gid", F.col("f.doc_id").alias("doc_id"))
-    one = live.join(firsts, (live.gid == firsts.gid) & live.doc_id.eqNullSafe(firsts.doc_id), "left_semi").dropDuplicates(["gid"])
-    sets = settle(one.select("gid", F.col("n_shingles").alias("n"), "clean", F.sha2(F.concat_ws(",", F.col("tokens").cast("array<string>"), F.col("n_shingles")), 256).alias("pg"), "tokens", "ranks", "shared"), "sets")
+    tables = Tables(docs.sparkSession, "near")
+    base = tables.write(prefixes(docs, tables, percent, width, **exchange), "base")
+    tables.drop("blocks")
+    ids = tables.write(base.filter(F.col("gid").isNotNull()).groupBy("gid").agg(F.min("doc_id").alias("least")), "ids")
+    one = base.filter(F.col("tokens").isNotNull()).dropDuplicates(["gid"])  # rows of one set differ in their document alone
+    named = one.join(ids, "gid").withColumn("node", _node())
+    sets = tables.write(named.select(F.col("node").alias("gid"), F.col("n_shingles").alias("n"), "clean", F.md5(F.concat_ws(",", F.col("tokens").cast("array<string>"), F.col("n_shingles")).cast("binary")).alias("pg"), "tokens", "ranks", "shared"), "sets")
+    n_sets = sets.count()
     links = None
     comp = sets.select("gid", F.col("gid").alias("comp"))
     for turn in range(rounds + 1):
@@ -153,17 +173,23 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, rounds:
             mixed = entry.groupBy("token").agg(F.min("low").alias("x"), F.max("high").alias("y")).filter("x <> y").select("token")
             entry = entry.join(mixed, "token", "left_semi")
             apart = (F.col("a.low") != F.col("b.low")) | (F.col("a.low") != F.col("a.high")) | (F.col("b.low") != F.col("b.high"))
-            groups = entry.alias("a").join(entry.alias("b"), "token").filter((F.col("a.pg") < F.col("b.pg")) & apart & _possible("a", "b", percent)).select(F.col("a.pg").alias("x"), F.col("b.pg").alias("y")).distinct()
+            # the smaller of two sets must have the shared shingle within a shorter prefix, for nothing before it is shared
+            smaller = entry.filter((100 + percent) * (F.col("n") - F.col("rank")) >= 2 * percent * F.col("n"))
+            order = (F.col("a.n") > F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.pg") < F.col("b.pg")))
+            groups = entry.alias("a").join(smaller.alias("b"), "token").filter(order & apart & _possible("a", "b", percent)).select(F.col("a.pg").alias("x"), F.col("b.pg").alias("y")).distinct()
             groups = groups.unionByName(span.filter("low <> high").select(F.col("pg").alias("x"), F.col("pg").alias("y")))
             side = lambda k, g: member.select(F.col("pg").alias(k), F.col("gid").alias(g), F.col("comp").alias(f"c{g}"))
             pairs = groups.join(side("x", "u"), "x").join(side("y", "v"), "y").filter("cu <> cv").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        found = settle(_verified(pairs, sets, percent), "links")
+        pairs = tables.write(pairs.select("u", "v"), "pairs")
+        found = tables.write(_verified(pairs, sets, percent, n_sets), f"links-{turn}")
         links = found if links is None else links.unionByName(found)
-        tied = components(links)
-        comp = settle(sets.select("gid").join(tied.withColumnRenamed("node", "gid"), "gid", "left").select("gid", F.coalesce("comp", "gid").alias("comp")), "comp")
-    ids = base.filter(F.col("gid").isNotNull()).groupBy("gid").agg(F.min("doc_id").alias("least")).join(comp, "gid", "left").withColumn("comp", F.coalesce("comp", "gid"))
-    named = ids.join(ids.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("gid", "component_id")
-    return base.select("doc_id", "n_shingles", "gid").join(named, "gid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        comp = tables.write(components(links, tables).withColumnRenamed("node", "gid"), "tied")
+        if turn < rounds:
+            comp = tables.write(sets.select("gid").join(comp, "gid", "left").select("gid", F.coalesce("comp", "gid").alias("comp")), "comp")
+    found = comp.select(F.substring("gid", 9, 16).alias("gid"), F.nullif(_least(F.col("comp")), F.lit((1 << 63) - 1)).alias("found"))
+    names = tables.write(ids.join(found, "gid", "left").select("gid", F.coalesce("found", "least").alias("component_id")), "names")
+    tables.drop("ids", "sets", "pairs", "edges", "tied", "comp", *(f"links-{t}" for t in range(rounds + 1)))
+    return base.select("doc_id", "n_shingles", "gid").join(names, "gid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _entries(sets: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -76,8 +77,8 @@ def test_lm(docs, texts, empty):
 
 def test_lm_sums_to_one():
     """Over the known words and one unknown, the probabilities behind any context are one."""
-    g = lmscore.Grams(["a b a c", "a b b"], 2)
-    assert len(g.hashes) == 2 and g.counts(__import__("numpy").array([True, False]))[0].sum() == 6
+    g = lmscore.Grams(exchange.Words.of([b"a b a c", b"a b b"]), 2)
+    assert len(g.hashes) == 2 and g.counts(np.array([True, False]))[0].sum() == 6
 
 
 def test_token_files(spark, docs, texts, empty):
@@ -245,10 +246,19 @@ def test_sharding(docs, texts, empty):
     assert sharding.shard(empty).count() == 0
 
 
-def test_exchange_ranges():
-    import numpy as np
-
-    h = np.sort(np.random.default_rng(1).integers(0, 2**63, 1000).astype(np.uint64) * np.uint64(2))
+def test_exchange_packets():
+    h = np.unique(np.random.default_rng(1).integers(0, 2**63, 1000).astype(np.uint64) * np.uint64(2))
     ends = exchange.ranges_of(h, 7)
-    assert ends[-1] == 1000 and all(a <= b for a, b in zip(ends, ends[1:]))
-    assert (exchange.unpack(exchange.pack(h, 8), 8) == h).all() and (exchange.unpack(exchange.pack(h, 6), 6) == (h >> np.uint64(16)) << np.uint64(16)).all()
+    assert ends[-1] == len(h) and all(a <= b for a, b in zip(ends, ends[1:])) and (h[ends[:-1]] >= np.array([-(-(i << 64) // 7) for i in range(1, 7)], np.uint64)).all()
+    for x in (h, h[:1], h >> np.uint64(30)):
+        assert (exchange.unpack(exchange.pack(x, 8), 8) == x).all() and (exchange.unpack(exchange.pack(x, 6), 6) == (x >> np.uint64(16)) << np.uint64(16)).all()
+    for counts in ([1, 1], [0, 1], [300, 2], [70_000], [1 << 33], []):
+        assert exchange.unpack_counts(exchange.pack_counts(np.array(counts, np.int64)), len(counts)).tolist() == counts
+
+
+def test_exchange_of_two_levels(docs):
+    """Few ranges in a level, small blocks and small chunks give the same results as one level."""
+    small = {"block_bytes": 600, "fan": 3, "chunk_bytes": 1}
+    one = lmscore.score(docs, F.col("doc_id") % 4 != 2)
+    assert sorted(map(tuple, lmscore.score(docs, F.col("doc_id") % 4 != 2, **small).collect()), key=str) == sorted(map(tuple, one.collect()), key=str)
+    assert sorted(map(tuple, neardup.near_duplicates(docs, **small).collect())) == sorted(map(tuple, neardup.near_duplicates(docs).collect()))
