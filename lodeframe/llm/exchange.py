@@ -55,7 +55,24 @@ class Words:
         numbers: dict[bytes, int] = defaultdict(count().__next__)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         ids = np.fromiter(map(numbers.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
-        return cls(mix(word_hashes(list(numbers))), ids, sizes)
+        often = np.argsort(-np.bincount(ids, minlength=len(numbers)), kind="stable")  # small numbers for frequent words
+        place = np.empty_like(often)
+        place[often] = np.arange(len(often))
+        return cls(mix(word_hashes(list(numbers)))[often], place[ids], sizes)
+
+    def packed(self) -> bytes:
+        """The ids byte by byte (all lowest bytes first), compressed, behind a byte that tells how many bytes an id has."""
+        size = max(1, (max(1, len(self.hashes) - 1).bit_length() + 7) // 8)
+        planes = self.ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :size].T.tobytes()
+        return bytes([size]) + pa.compress(planes, codec="zstd", asbytes=True) if len(self.ids) else b""
+
+    @staticmethod
+    def unpacked(data: bytes, n: int) -> np.ndarray:
+        if not n:
+            return np.zeros(0, np.int64)
+        size, ids = data[0], np.zeros((n, 4), np.uint8)
+        ids[:, :size] = np.frombuffer(pa.decompress(data[1:], n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n).T
+        return ids.view("<u4").ravel().astype(np.int64)
 
 
 def word_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -65,9 +82,8 @@ def word_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         task = TaskContext.get().partitionId() << 32
         for n, piece in enumerate(pieces(batches, block_bytes)):
             words = Words.of(piece.column(1).cast(pa.binary()).to_pylist())
-            ids = words.ids.astype("<u2" if len(words.hashes) <= 1 << 16 else "<u4")
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x], t) for x, t in zip((task + n, piece.column(0).to_pylist(), piece.column(2).to_pylist(), words.sizes.astype(np.int32), words.hashes.astype("<u8").tobytes(), ids.tobytes()), BLOCK_ARROW.types)],
+                [pa.array([x], t) for x, t in zip((task + n, piece.column(0).to_pylist(), piece.column(2).to_pylist(), words.sizes.astype(np.int32), words.hashes.astype("<u8").tobytes(), words.packed()), BLOCK_ARROW.types)],
                 schema=BLOCK_ARROW,
             )
 
@@ -76,10 +92,9 @@ def word_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 def read_block(table: pa.Table) -> tuple[Words, list, list]:
     """Words, ids and flags of the one block row of a table."""
-    row = table.slice(0, 1).to_pylist()[0]
-    hashes = np.frombuffer(row["words"], "<u8")
-    ids = np.frombuffer(row["ids"], "<u2" if len(hashes) <= 1 << 16 else "<u4").astype(np.int64)
-    return Words(hashes, ids, np.array(row["sizes"], np.int64)), row["doc_id"], row["chosen"]
+    row = table.select(BLOCK_ARROW.names).slice(0, 1).to_pylist()[0]
+    sizes = np.array(row["sizes"], np.int64)
+    return Words(np.frombuffer(row["words"], "<u8"), Words.unpacked(row["ids"], int(sizes.sum())), sizes), row["doc_id"], row["chosen"]
 
 
 # -- packets --------------------------------------------------------------
@@ -141,12 +156,12 @@ def n_ranges(volume: int, range_bytes: int = RANGE_BYTES) -> int:
     return max(16, -(-volume // range_bytes))
 
 
-def with_totals(blocks: DataFrame, ranges: int, items: Callable, finish: Callable, schema: str, kinds: int = 1, width: int = 8, fan: int = FAN, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def with_totals(blocks: DataFrame, ranges: int, items: Callable, finish: Callable, schema: str, widths: tuple[int, ...] = (8,), fan: int = FAN, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Rows of ``finish(block, totals, sums, distinct)`` for each block row of a written table.
 
-    ``items(block: pa.Table)`` gives for each kind a pair of arrays: sorted distinct hashes and how often to count each. ``totals`` has for each kind the corpus-wide counts in the order of the block's hashes; ``sums`` and ``distinct`` are the corpus-wide sum of counts and number of hashes with a count, for each kind. With ``width`` below 8, hashes that agree in their first bytes are counted as one.
+    ``items(block: pa.Table)`` gives for each kind a pair of arrays: sorted distinct hashes and how often to count each. ``totals`` has for each kind the corpus-wide counts in the order of the block's hashes; ``sums`` and ``distinct`` are the corpus-wide sum of counts and number of hashes with a count, for each kind. ``widths`` has for each kind the bytes of a hash that count: hashes that agree in these are counted as one.
     """
-    parts = min(ranges, fan)
+    parts, kinds = min(ranges, fan), len(widths)
 
     def send(batches):
         for batch in batches:
@@ -158,13 +173,15 @@ def with_totals(blocks: DataFrame, ranges: int, items: Callable, finish: Callabl
                     for part, end in enumerate(ranges_of(hashes, parts).tolist()):
                         rows["kind"].append(kind)
                         rows["part"].append(part)
-                        rows["hashes"].append(pack(hashes[start:end], width) if end > start else b"")
+                        rows["hashes"].append(pack(hashes[start:end], widths[kind]) if end > start else b"")
                         rows["counts"].append(pack_counts(counts[start:end]))
                         start = end
                 rows["block"] = [one.column("block")[0].as_py()] * len(rows["kind"])
                 yield pa.RecordBatch.from_pydict(rows, schema=SENT)
 
-    def opened(table, width: int = width):
+    def opened(table):
+        """Hashes and counts of packets of one kind."""
+        width = widths[table.column("kind")[0].as_py()]
         hashes = [unpack(x.as_buffer().to_pybytes(), width) if len(x.as_buffer()) else np.zeros(0, np.uint64) for x in table.column("hashes")]
         return hashes, [unpack_counts(x.as_py(), len(h)) for x, h in zip(table.column("counts"), hashes)]
 

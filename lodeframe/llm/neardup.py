@@ -99,7 +99,7 @@ def prefixes(docs: DataFrame, tables: Tables, percent: int = 75, width: int = 5,
                     rows[x].append(None)
         return pa.Table.from_pydict({"doc_id": ids, "n_shingles": s.sizes, **rows}, schema=OUT)
 
-    return with_totals(blocks, n_ranges(text_volume(rows)[1]), items, finish, SCHEMA, width=6, **exchange)
+    return with_totals(blocks, n_ranges(text_volume(rows)[1]), items, finish, SCHEMA, widths=(6,), **exchange)
 
 
 #: About so many partners of one set are verified in one task.
