@@ -65,7 +65,7 @@ def file_tokenizer(path: str):
 class Encoder:
     """Encodes texts by chunks. The table of chunks starts anew beyond ``limit`` entries."""
 
-    def __init__(self, tokenizer, limit: int = 1_000_000):
+    def __init__(self, tokenizer, limit: int = 200_000):
         self.tokenizer, self.limit = tokenizer, limit
         self._reset()
 
@@ -78,8 +78,8 @@ class Encoder:
         self.n = self.used = 0
 
     def _learn(self, table: dict[str, int], new: list[str], lead: str) -> None:
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
+        for at in range(0, len(new), 5_000):
+            some = new[at : at + 5_000]
             ids = [e.ids for e in self.tokenizer.encode_batch_fast([lead + w for w in some], add_special_tokens=False)]
             sizes = np.fromiter(map(len, ids), np.int32, len(ids))
             total = int(sizes.sum())
