@@ -60,20 +60,6 @@ class Words:
         place[often] = np.arange(len(often))
         return cls(mix(word_hashes(list(numbers)))[often], place[ids], sizes)
 
-    def packed(self) -> bytes:
-        """The ids byte by byte (all lowest bytes first), compressed, behind a byte that tells how many bytes an id has."""
-        size = max(1, (max(1, len(self.hashes) - 1).bit_length() + 7) // 8)
-        planes = self.ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :size].T.tobytes()
-        return bytes([size]) + pa.compress(planes, codec="zstd", asbytes=True) if len(self.ids) else b""
-
-    @staticmethod
-    def unpacked(data: bytes, n: int) -> np.ndarray:
-        if not n:
-            return np.zeros(0, np.int64)
-        size, ids = data[0], np.zeros((n, 4), np.uint8)
-        ids[:, :size] = np.frombuffer(pa.decompress(data[1:], n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n).T
-        return ids.view("<u4").ravel().astype(np.int64)
-
 
 def word_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Block rows of docs (doc_id, text without nulls, chosen): texts of about ``block_bytes`` each, one document at least."""
@@ -83,7 +69,7 @@ def word_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         for n, piece in enumerate(pieces(batches, block_bytes)):
             words = Words.of(piece.column(1).cast(pa.binary()).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x], t) for x, t in zip((task + n, piece.column(0).to_pylist(), piece.column(2).to_pylist(), words.sizes.astype(np.int32), words.hashes.astype("<u8").tobytes(), words.packed()), BLOCK_ARROW.types)],
+                [pa.array([x], t) for x, t in zip((task + n, piece.column(0).to_pylist(), piece.column(2).to_pylist(), words.sizes.astype(np.int32), words.hashes.astype("<u8").tobytes(), _planes(words.ids)), BLOCK_ARROW.types)],
                 schema=BLOCK_ARROW,
             )
 
@@ -94,7 +80,7 @@ def read_block(table: pa.Table) -> tuple[Words, list, list]:
     """Words, ids and flags of the one block row of a table."""
     row = table.select(BLOCK_ARROW.names).slice(0, 1).to_pylist()[0]
     sizes = np.array(row["sizes"], np.int64)
-    return Words(np.frombuffer(row["words"], "<u8"), Words.unpacked(row["ids"], int(sizes.sum())), sizes), row["doc_id"], row["chosen"]
+    return Words(np.frombuffer(row["words"], "<u8"), _unplaned(row["ids"], int(sizes.sum())).astype(np.int64), sizes), row["doc_id"], row["chosen"]
 
 
 # -- packets --------------------------------------------------------------
@@ -104,34 +90,42 @@ def ranges_of(hashes: np.ndarray, n: int) -> np.ndarray:
     return np.append(np.searchsorted(hashes, np.array(first, np.uint64), "left"), len(hashes)) if n > 1 else np.array([len(hashes)])
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Unsigned integers in the fewest bytes that hold them all, byte by byte (all lowest ones first) and compressed, behind a byte that tells how many."""
+    size = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    planes = x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T.tobytes()
+    return bytes([size]) + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unplaned(data: bytes, n: int) -> np.ndarray:
+    size, out = data[0], np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, :size] = np.frombuffer(pa.decompress(data[1:], n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n).T
+    return out.view("<u8").ravel()
+
+
 def pack(hashes: np.ndarray, width: int) -> bytes:
-    """Sorted hashes, cut to their first ``width`` bytes, as gaps of the fewest bytes that hold them all, behind a byte that tells how many."""
+    """Sorted hashes, cut to their first ``width`` bytes: how many, the first, and the gaps."""
     top = hashes >> np.uint64(64 - 8 * width)
-    gaps = np.diff(top, prepend=np.uint64(0))
-    first, gaps = gaps[:1], gaps[1:]
-    size = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
-    return bytes([size]) + first.astype("<u8").tobytes() + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+    return len(top).to_bytes(4, "little") + top[:1].astype("<u8").tobytes() + _planes(np.diff(top)) if len(top) else b""
 
 
 def unpack(data: bytes, width: int) -> np.ndarray:
-    size, head = data[0], np.frombuffer(data[1:9], "<u8")
-    rest = np.frombuffer(data[9:], np.uint8).reshape(-1, size)
-    gaps = np.zeros((len(rest), 8), np.uint8)
-    gaps[:, :size] = rest
-    return np.cumsum(np.concatenate([head, gaps.view("<u8").ravel()]), dtype=np.uint64) << np.uint64(64 - 8 * width)
+    if not data:
+        return np.zeros(0, np.uint64)
+    gaps = _unplaned(data[12:], int.from_bytes(data[:4], "little") - 1)
+    return np.cumsum(np.concatenate([np.frombuffer(data[4:12], "<u8"), gaps]), dtype=np.uint64) << np.uint64(64 - 8 * width)
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    """Counts in the smallest unsigned type that holds them, behind a byte with its size; ones alone are left out."""
-    most = int(counts.max()) if len(counts) else 0
-    if most <= 1 and (not len(counts) or counts.min() == 1):
+    """Counts; ones alone are left out."""
+    if not len(counts) or counts.min() == counts.max() == 1:
         return b""
-    size = next(s for s in (1, 2, 4, 8) if most < 1 << 8 * s)
-    return bytes([size]) + counts.astype(f"<u{size}").tobytes()
+    return _planes(counts)
 
 
 def unpack_counts(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data[1:], f"<u{data[0]}").astype(np.int64) if data else np.ones(n, np.int64)
+    return _unplaned(data, n).astype(np.int64) if data else np.ones(n, np.int64)
 
 
 SENT = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("block", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
@@ -173,7 +167,7 @@ def with_totals(blocks: DataFrame, ranges: int, items: Callable, finish: Callabl
                     for part, end in enumerate(ranges_of(hashes, parts).tolist()):
                         rows["kind"].append(kind)
                         rows["part"].append(part)
-                        rows["hashes"].append(pack(hashes[start:end], widths[kind]) if end > start else b"")
+                        rows["hashes"].append(pack(hashes[start:end], widths[kind]))
                         rows["counts"].append(pack_counts(counts[start:end]))
                         start = end
                 rows["block"] = [one.column("block")[0].as_py()] * len(rows["kind"])
@@ -182,7 +176,7 @@ def with_totals(blocks: DataFrame, ranges: int, items: Callable, finish: Callabl
     def opened(table):
         """Hashes and counts of packets of one kind."""
         width = widths[table.column("kind")[0].as_py()]
-        hashes = [unpack(x.as_buffer().to_pybytes(), width) if len(x.as_buffer()) else np.zeros(0, np.uint64) for x in table.column("hashes")]
+        hashes = [unpack(x.as_py(), width) for x in table.column("hashes")]
         return hashes, [unpack_counts(x.as_py(), len(h)) for x, h in zip(table.column("counts"), hashes)]
 
     def answer(table: pa.Table) -> pa.Table:
