@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words are brought to a canonical form: numbers, units and names become typed placeholders, all else is lower-cased without edge punctuation. A name is a capitalised word that doesn't begin a sentence. Windows of canonical words are hashed and joined with the windows of all benchmark items. A window of more slots than words is a template of nearly everything, so its words are hashed as they are, and it is found verbatim only; so is an item's first window, whose first word may be a name elsewhere. A match at a window says which item and where; matches of one item that keep their distance between document and item lie on one alignment. An alignment counts as a leak if it covers enough of the item's windows and the slots are consistent: within it, equal values of the item stand for equal values of the document and different ones for different ones. So a question asked again with other numbers or names is caught, and a text that merely shares its shape isn't.
+Words are brought to a canonical form: numbers, units and names become typed placeholders, all else is lower-cased without edge punctuation. Every capitalised word stands for a name, wherever it is: at the start of a sentence a name can't be told from another word, and so the form of a word depends on the word alone. Windows of canonical words are hashed and joined with the windows of all benchmark items. A window of more slots than words is a template of nearly everything, so its words are hashed as they are, and it is found verbatim only; that is the rule for items of many slots, such as series of numbers. A match at a window says which item and where; matches of one item that keep their distance between document and item lie on one alignment. An alignment counts as a leak if it covers enough of the item's windows and the slots are consistent: within it, equal values of the item stand for equal values of the document and different ones for different ones. So a question asked again with other numbers or names is caught, and a text that merely shares its shape isn't.
 """
 
 from __future__ import annotations
@@ -8,20 +8,21 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_of, pieces, settle, word_re
+from .common import Tables, docs_of, pieces, word_re
 from .exchange import GOLDEN, mix, word_hashes
 
 EDGES = ".,;:!?\"'()[]{}«»„“”‘’…"
 NUMBER = re.compile(r"[-+]?[$€£]?\d[\d.,:/]*%?")
 JOINED = re.compile(r"([-+]?[$€£]?\d[\d.,]*)([a-zA-Zµ°%]+)")
-#: Units of measure and money.
-UNITS = frozenset("mm cm m km g kg mg t lb lbs oz l ml s sec second seconds min minute minutes h hour hours day days week weeks month months year years inch inches ft foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms liter liters litre litres dollar dollars euro euros cent cents percent degree degrees kmh mph hz khz mhz ghz kb mb gb tb w kw v a".split())
+#: Units of measure and money. Units of one letter count only behind the digits of the same word.
+UNITS = frozenset("mm cm km kg mg lb lbs oz ml sec second seconds min minute minutes hour hours day days week weeks month months year years inch inches ft foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms liter liters litre litres dollar dollars euro euros cent cents percent degree degrees kmh mph hz khz mhz ghz kb mb gb tb kw".split())
 NUM, NAME, UNIT = "\x00num", "\x00name", "\x00unit"
 
 
@@ -35,8 +36,8 @@ class Limits:
     broadcast_windows: int = 2_000_000
 
 
-def canonical(word: str, starts: bool) -> tuple[str, str]:
-    """Canonical form and slot value (empty if it's no slot) of a word; ``starts``: it begins a sentence."""
+def canonical(word: str) -> tuple[str, str]:
+    """Canonical form and slot value (empty if it's no slot) of a word."""
     bare = word.strip(EDGES)
     if NUMBER.fullmatch(bare):
         return NUM, bare
@@ -45,7 +46,7 @@ def canonical(word: str, starts: bool) -> tuple[str, str]:
         return UNIT, low
     if m := JOINED.fullmatch(bare):
         return NUM, m[0].lower()
-    if not starts and bare[:1].isupper() and len(bare) > 1 and not bare.isupper():
+    if bare[:1].isupper() and len(bare) > 1 and not bare.isupper():
         return NAME, bare
     return low, ""
 
@@ -55,72 +56,77 @@ def raw(word: str) -> str:
 
 
 class Canon:
-    """Canonical and raw forms of words as hashes; a table of bounded size remembers them."""
+    """Canonical and raw forms of words (bytes) as hashes; a table of bounded size remembers them."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 200_000):
         self.limit = limit
         self._reset()
 
     def _reset(self) -> None:
-        self.seen: dict[str, int] = {}
-        self.hashes = np.zeros((1 << 12, 3), np.uint64)
-        self.flags = np.zeros((1 << 12, 3), bool)
+        self.seen: dict[bytes, int] = {}
+        self.hashes = np.zeros((2, 1 << 12), np.uint64)
+        self.slots = np.zeros(1 << 12, bool)
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
         n = len(self.seen)
-        while n + len(words) > len(self.flags):
-            self.hashes, self.flags = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hashes, self.flags))
-        for k, starts in enumerate((False, True)):
-            pairs = [canonical(w, starts) for w in words]
-            self.hashes[n : n + len(words), k] = mix(word_hashes([p[0] for p in pairs]))
-            self.flags[n : n + len(words), k] = [bool(p[1]) for p in pairs]
-        self.hashes[n : n + len(words), 2] = mix(word_hashes([raw(w) for w in words]))
-        self.flags[n : n + len(words), 2] = [w.rstrip("\"')»”’")[-1:] in (".", "!", "?", ":") for w in words]
+        while n + len(words) > len(self.slots):
+            self.hashes, self.slots = np.concatenate([self.hashes, np.zeros_like(self.hashes)], 1), np.concatenate([self.slots, np.zeros_like(self.slots)])
+        texts = [w.decode("utf-8", "surrogatepass") for w in words]
+        forms = [canonical(w) for w in texts]
+        at = slice(n, n + len(words))
+        self.hashes[0, at] = mix(word_hashes([f[0] for f in forms]))
+        self.hashes[1, at] = mix(word_hashes([raw(w) for w in texts]))
+        self.slots[at] = [bool(f[1]) for f in forms]
         self.seen.update((w, n + i) for i, w in enumerate(words))
 
-    def read(self, words: list[str], first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, slot flag and hash of the raw form of each word. first: whether it begins a text or line."""
+    def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, slot flag and hash of the raw form of each word."""
         if len(self.seen) > self.limit:
             self._reset()
-        if new := [w for w in dict.fromkeys(words) if w not in self.seen]:
+        if new := list(set(words).difference(self.seen)):
             self._learn(new)
         at = np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
-        starts = first.copy()
-        starts[1:] |= self.flags[at[:-1], 2]
-        k = starts.astype(np.int8)
-        return self.hashes[at, k], self.flags[at, k], self.hashes[at, 2]
+        return self.hashes[0, at], self.slots[at], self.hashes[1, at]
 
 
-
-
-def split(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Words of all texts, the text of each, and whether it stands first in its text."""
-    words = [word_re.findall(t) for t in texts]
+def split(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Words of all texts, the text of each, and the place of each text's first word."""
+    words = [t.split() for t in texts]  # bytes have white space of ASCII alone
     sizes = np.fromiter(map(len, words), np.int64, len(words))
-    doc = np.repeat(np.arange(len(texts)), sizes)
-    first = np.zeros(len(doc), bool)
-    first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
-    return [w for ws in words for w in ws], doc, first
+    return list(chain.from_iterable(words)), np.repeat(np.arange(len(texts)), sizes), np.cumsum(sizes) - sizes
 
 
 #: Windows of raw words have hashes of their own.
 RAW = np.uint64(1 << 32)
+#: What one step back in a polynomial hash multiplies with: the inverse of the step modulo 2 ** 64.
+BACK = np.uint64(pow(int(GOLDEN), -1, 1 << 64))
+
 
+class Rolled:
+    """Polynomial hashes of all windows of a size, by differences of running sums."""
 
-def windows(hashes: np.ndarray, slots: np.ndarray, raws: np.ndarray, doc: np.ndarray, size: int, fixed: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start and hash of each window within one text that has enough words that are no slots, then start and hash of the raw words of every window."""
-    n = max(0, len(hashes) - size + 1)
-    whole = doc[:n] == doc[size - 1 :][:n]
-    filled = np.concatenate([[0], np.cumsum(slots)])
-    at, every = np.flatnonzero(whole & (filled[size : size + n] - filled[:n] <= (1 - fixed) * size)), np.flatnonzero(whole)
-    return at, mix(_rolled(hashes, size, n)[at] + np.uint64(size)), every, mix(_rolled(raws, size, n)[every] + np.uint64(size) + RAW)
+    def __init__(self, hashes: np.ndarray):
+        n = len(hashes)
+        self.powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, GOLDEN)]), dtype=np.uint64)
+        back = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(0, n - 1), BACK)]), dtype=np.uint64)[:n]
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * back, dtype=np.uint64)])
 
+    def at(self, starts: np.ndarray, size: int) -> np.ndarray:
+        return (self.sums[starts + size] - self.sums[starts]) * self.powers[starts + size - 1]
 
-def _rolled(hashes: np.ndarray, size: int, n: int) -> np.ndarray:
-    rolled = np.zeros(n, np.uint64)
-    for j in range(size):
-        rolled = rolled * GOLDEN + hashes[j : j + n]
-    return rolled
+
+def windows(read: tuple[np.ndarray, np.ndarray, np.ndarray], doc: np.ndarray, sizes: list[int], fixed: float):
+    """For each size the starts and hashes of the windows within one text that have enough words that are no slots, and those of the raw words of all other windows."""
+    hashes, slots, raws = read
+    filled, own, plain = np.concatenate([[0], np.cumsum(slots)]), Rolled(hashes), None
+    for size in sizes:
+        n = max(0, len(hashes) - size + 1)
+        whole = doc[:n] == doc[size - 1 :][:n]
+        worded = filled[size : size + n] - filled[:n] <= (1 - fixed) * size
+        at, dense = np.flatnonzero(whole & worded), np.flatnonzero(whole & ~worded)
+        if len(dense) and plain is None:
+            plain = Rolled(raws)
+        yield size, at, mix(own.at(at, size) + np.uint64(size)), dense, mix(plain.at(dense, size) + np.uint64(size) + RAW) if len(dense) else np.zeros(0, np.uint64)
 
 
 def item_windows(benchmark: DataFrame, limits: Limits) -> DataFrame:
@@ -130,21 +136,20 @@ def item_windows(benchmark: DataFrame, limits: Limits) -> DataFrame:
         canon = Canon()
         for batch in batches:
             rows: dict[str, list] = {k: [] for k in ("size", "hash", "item_id", "at", "raw", "n_windows", "n_all")}
-            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words, doc, first = split([text])
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+                words, doc, _ = split([text])
                 size = min(limits.window, len(words))
                 if size < 3:
                     continue
-                at, hashes, every, raws = windows(*canon.read(words, first), doc, size, limits.fixed)
-                own = (every == 0) | ~np.isin(every, at)
-                places = np.concatenate([at, every[own]])
-                rows["size"] += [size] * len(places)
-                rows["hash"] += np.concatenate([hashes, raws[own]]).view(np.int64).tolist()
-                rows["item_id"] += [item] * len(places)
-                rows["at"] += places.tolist()
-                rows["raw"] += [False] * len(at) + [True] * int(own.sum())
-                rows["n_windows"] += [len(at)] * len(places)
-                rows["n_all"] += [len(every)] * len(places)
+                _, at, hashes, dense, raws = next(windows(canon.read(words), doc, [size], limits.fixed))
+                n = len(at) + len(dense)
+                rows["size"] += [size] * n
+                rows["hash"] += np.concatenate([hashes, raws]).view(np.int64).tolist()
+                rows["item_id"] += [item] * n
+                rows["at"] += [*at.tolist(), *dense.tolist()]
+                rows["raw"] += [False] * len(at) + [True] * len(dense)
+                rows["n_windows"] += [len(at)] * n
+                rows["n_all"] += [n] * n
             yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("size", pa.int32()), ("hash", pa.int64()), ("item_id", pa.int64()), ("at", pa.int32()), ("raw", pa.bool_()), ("n_windows", pa.int32()), ("n_all", pa.int32())]))
 
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -152,9 +157,9 @@ def item_windows(benchmark: DataFrame, limits: Limits) -> DataFrame:
 
 
 def window_hits(docs: DataFrame, items: DataFrame, limits: Limits) -> DataFrame:
-    """doc_id, row (a number for the text within its task, to tell repeated ids apart), place, item_id, at, raw, n_windows, n_all of each matching window."""
+    """doc_id, place, item_id, at, raw, n_windows, n_all of each matching window. A null or empty text has none."""
     n = items.count()
-    sizes = [r[0] for r in items.select("size").distinct().collect()]  # window sizes: at most limits.window of them
+    sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most limits.window of them
 
     def doc_windows(batches, known: np.ndarray | None):
         canon = Canon()
@@ -172,20 +177,16 @@ def window_hits(docs: DataFrame, items: DataFrame, limits: Limits) -> DataFrame:
             return at, found
 
         for piece in pieces(batches):
-            words, doc, first = split(piece.column(1).to_pylist())
-            read = canon.read(words, first)
+            words, doc, begin = split(piece.column(1).cast(pa.binary()).to_pylist())
             ids = piece.column(0)
-            for size in sizes:
-                at, found, every, raws = windows(*read, doc, size, limits.fixed)
-                at, found = (np.concatenate(x) for x in zip(sift(at, found), sift(every, raws)))
-                begin = np.flatnonzero(first)
-                local = at - begin[np.searchsorted(begin, at, "right") - 1] if len(at) else at
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[at])), pa.array(np.full(len(at), size, np.int32)), pa.array(found.view(np.int64)), pa.array(local.astype(np.int32))], names=["doc_id", "size", "hash", "place"])
+            for size, at, found, dense, raws in windows(canon.read(words), doc, sizes, limits.fixed):
+                at, found = (np.concatenate(x) for x in zip(sift(at, found), sift(dense, raws)))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[at])), pa.array(np.full(len(at), size, np.int32)), pa.array(found.view(np.int64)), pa.array((at - begin[doc[at]]).astype(np.int32))], names=["doc_id", "size", "hash", "place"])
 
     rows = docs_of(docs)
     known = None
-    if n <= limits.broadcast_windows:  # at most 16 MB
-        known = np.unique(np.array([r[0] for r in items.select("hash").distinct().collect()], np.int64).view(np.uint64))
+    if n <= limits.broadcast_windows:  # eight bytes each, in an Arrow table
+        known = np.unique(items.select("hash").distinct().toArrow().column(0).to_numpy().view(np.uint64))
         if not len(known):
             return rows.limit(0).select("doc_id", F.lit(0).alias("place"), F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("at"), F.lit(False).alias("raw"), F.lit(0).alias("n_windows"), F.lit(0).alias("n_all"))
     found = rows.mapInArrow(lambda batches: doc_windows(batches, known), "doc_id long, size int, hash long, place int")
@@ -195,9 +196,10 @@ def window_hits(docs: DataFrame, items: DataFrame, limits: Limits) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """doc_id, item_id, covered (windows of the item found on its alignment), n_windows, place (of the first), slots (how many were compared) for each item that a document leaks.
 
-    Null and empty texts leak nothing and items of fewer than three words are not looked for. An item is found by its templates alone, or else by all its windows. Rows with the same id are judged together. Of the alignments whose slots are consistent the one with most windows is told, of equal ones the earliest. Empty tables give no rows. Insertions move the alignment, so windows within two words of it count as on it.
+    Null and empty texts leak nothing and items of fewer than three words are not looked for. An item is found by its templates alone, or else by all its windows. Rows with the same id are judged together, null ids too. Other columns are left out. Of the alignments whose slots are consistent the one with most windows is told, of equal ones the earliest. Empty tables give no rows. Insertions move the alignment, so windows within two words of it count as on it.
     """
-    items = settle(item_windows(benchmark, limits), "item-windows")
+    tables = Tables(docs.sparkSession, "leaks")
+    items = tables.write(item_windows(benchmark, limits), "items")
     hits = window_hits(docs, items, limits)
     lines = hits.select("doc_id", "item_id", "n_windows", "n_all", "raw", "at", "place", (F.col("place") - F.col("at")).alias("shift")).distinct()
     # alignments within two words of each other fall into one of two overlapping bands
@@ -208,7 +210,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits()) -> D
     alike = F.col("alike") >= least("n_windows")
     enough = covered.filter(alike | (F.col("covered") >= least("n_all"))).select("doc_id", "item_id", "place", "found", F.when(alike, F.col("alike")).otherwise(F.col("covered")).alias("covered"), F.when(alike, F.col("n_windows")).otherwise(F.col("n_all")).alias("n_windows"))
     ways = enough.groupBy("doc_id", "item_id").agg(F.collect_list(F.struct("covered", "n_windows", "place", "found")).alias("ways"))
-    return consistent(settle(ways, "alignments"), docs, benchmark, limits)
+    return consistent(tables.write(ways, "alignments"), docs, benchmark, limits)
 
 
 def consistent(ways: DataFrame, docs: DataFrame, benchmark: DataFrame, limits: Limits) -> DataFrame:
@@ -251,22 +253,16 @@ def agreed(words: list[str], item: list[str], found: list[tuple[int, int]], size
     return None
 
 
-def slots_agree(text: str, item: str, shift: int) -> tuple[bool, int]:
-    """Whether item values map one to one to values of the text on the alignment, and how many slots were compared; a fifth of the slots may disagree."""
-    words, asked = word_re.findall(text), word_re.findall(item)
-    return compared(words, asked, [j + shift for j in range(len(asked))])
-
-
 def compared(words: list[str], asked: list[str], places: list[int]) -> tuple[bool, int]:
-    """The same for words of the item and their places in the text."""
+    """Whether values of the item's words map one to one to those of the text at their places, and how many slots were compared; a fifth of the slots may disagree."""
     there: dict[str, set] = defaultdict(set)
     back: dict[str, set] = defaultdict(set)
     n = 0
-    for j, (w, i) in enumerate(zip(asked, places)):
+    for w, i in zip(asked, places):
         if not 0 <= i < len(words):
             continue
-        kind, value = canonical(w, j == 0 or asked[j - 1][-1:] in ".!?:")
-        other, found = canonical(words[i], i == 0 or words[i - 1][-1:] in ".!?:")
+        kind, value = canonical(w)
+        other, found = canonical(words[i])
         if value and found and kind == other:
             n += 1
             there[kind + value].add(found)
