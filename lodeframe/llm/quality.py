@@ -1,6 +1,6 @@
 """Quality rules: how far a text's character classes and common words are from those of its language.
 
-References are learned from the corpus itself, over all documents of each language that has a word list: the median share of each character class and the mean share of each common word. The median keeps the reference clean while less than half of a language is junk. Digits are left out of the classes, for numbers and keys don't make a text bad. A document passes if, for at least one language, the Jensen-Shannon distance (base 2, from 0 to 1) of both histograms is within its threshold. That of the words also stays below the distance of a text without any common word to the reference, and a text has at least a part of the language's share of common words, so a text without them fails whatever its letters. Short texts have noisy histograms, so below a minimum length a test isn't applied.
+References are learned from the corpus itself, over all documents of each language that has a word list: the median share of each character class and the mean share of each common word. The median keeps the reference clean while less than half of a language is junk. Digits are left out of the classes, for numbers and keys don't make a text bad. A document passes if, for at least one language, the Jensen-Shannon distance (base 2, from 0 to 1) of both histograms is within its threshold. That of the words also stays below the distance of a text without any common word to the reference, and a text has at least a part of the language's share of common words, so a text without them fails whatever its letters. Short texts have noisy histograms, so a test isn't applied to a text with fewer counted characters, or fewer words, than its minimum; both minima lie above what the base rule asks for. A row of a language without a word list has no reference, so the base rule alone decides; one without a language may be of any. All sums behind the references are of integers, so they don't depend on the order of tasks.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ SYMBOLS = "#*$%&|<>"
 CLASSES = ("lower", "upper", "space", "stop", "mark", "symbol", "other", "digit")
 #: Of these, the histogram has all but the last. Shares are counted in so many steps of their square root.
 USED, STEPS = len(CLASSES) - 1, 1000
+#: Shares of common words are summed as whole numbers of this part.
+UNIT = 1 << 24
 EDGES = ".,;:!?\"'()[]{}#*$%&|<>"
 
 
@@ -40,8 +42,8 @@ class Limits:
     below: float = 0.95
     #: Least share of common words, as a part of the reference's.
     least_share: float = 0.25
-    least_chars: int = 100
-    least_words: int = 50
+    least_chars: int = 200
+    least_words: int = 70
     base_words: int = 50
     base_repeat: int = 50
 
@@ -134,8 +136,8 @@ def references(docs: DataFrame, limits: Limits = Limits(), text_col: str = "text
     m = len(vocabulary()) + 1
 
     def run(batches: Iterable[pa.RecordBatch]):
-        steps = {lang: np.zeros((USED, STEPS + 1)) for lang in COMMON}
-        shares = {lang: np.zeros(m) for lang in COMMON}
+        steps = {lang: np.zeros((USED, STEPS + 1), np.int64) for lang in COMMON}
+        shares = {lang: np.zeros(m, np.int64) for lang in COMMON}
         for piece in pieces(batches):
             f = Features(piece.column(0).to_pylist())
             langs = np.array(piece.column(1).to_pylist(), dtype=object)
@@ -144,7 +146,7 @@ def references(docs: DataFrame, limits: Limits = Limits(), text_col: str = "text
                 share = f.chars[on] / f.chars[on].sum(1, keepdims=True)
                 for c in range(USED):
                     steps[lang][c] += np.bincount(np.sqrt(share[:, c] * STEPS * STEPS).astype(int), minlength=STEPS + 1)
-                shares[lang] += (f.common[on] / f.common[on].sum(1, keepdims=True)).sum(0)
+                shares[lang] += np.rint(f.common[on] / f.common[on].sum(1, keepdims=True) * UNIT).astype(np.int64).sum(0)
         for lang in COMMON:
             values = np.concatenate([steps[lang].ravel(), shares[lang]])
             at = np.flatnonzero(values)
@@ -153,8 +155,8 @@ def references(docs: DataFrame, limits: Limits = Limits(), text_col: str = "text
 
     chosen = docs.select(F.coalesce(text_col, F.lit("")).alias("text"), F.col(lang_col).alias("lang")).filter(F.col("lang").isin(*COMMON))
     found: dict[str, np.ndarray] = {}
-    for r in chosen.mapInArrow(run, "lang string, bin int, value double").groupBy("lang", "bin").agg(F.sum("value").alias("value")).collect():
-        found.setdefault(r["lang"], np.zeros(USED * (STEPS + 1) + m))[r["bin"]] = r["value"]
+    for r in chosen.mapInArrow(run, "lang string, bin int, value long").groupBy("lang", "bin").agg(F.sum("value").alias("value")).collect():
+        found.setdefault(r["lang"], np.zeros(USED * (STEPS + 1) + m, np.int64))[r["bin"]] = r["value"]
     out = {}
     for lang, x in sorted(found.items()):
         steps, shares = x[:-m].reshape(USED, -1), x[-m:]
@@ -164,15 +166,17 @@ def references(docs: DataFrame, limits: Limits = Limits(), text_col: str = "text
     return out
 
 
-def judge(texts: list[str], refs: dict, limits: Limits) -> dict[str, np.ndarray]:
+def judge(texts: list[str], langs: list[str | None], refs: dict, limits: Limits) -> dict[str, np.ndarray]:
+    """The verdict on each text with its figures. A distance that isn't applied is 0; without references, or for a language that has none, the base rule decides."""
     f = Features(texts)
     repeat = f.repeats()
     failed = (f.n_words < limits.base_words) | (100 * repeat > limits.base_repeat * f.n_words)
-    near = np.full(len(texts), not refs)
-    chars, words = np.ones(len(texts)), np.ones(len(texts))
+    near = np.array([not refs or (lang is not None and lang not in COMMON) for lang in langs], bool)
+    chars, words = np.where(near, 0.0, 1.0), np.where(near, 0.0, 1.0)
+    counted = f.chars.sum(1)
     for p, q in refs.values():
         a, b = distance(f.chars, p), distance(f.common, q)
-        a[f.n_chars < limits.least_chars] = 0
+        a[counted < limits.least_chars] = 0
         short = f.n_words < limits.least_words
         b[short] = 0
         enough = short | (f.n_words - f.common[:, 0] >= limits.least_share * (1 - q[0]) * f.n_words)
@@ -191,26 +195,27 @@ VERDICT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 def verdicts(docs: DataFrame, limits: Limits = Limits(), refs: dict | None = None) -> DataFrame:
     """doc_id and the verdict with its figures for every row.
 
-    A null or empty text has no words and fails. Without any document in a language that has a word list, the base rules alone decide. Repeated rows stay; rows of other or null languages are judged against all references. An empty table gives no rows.
+    A null or empty text has no words and fails. Without any document in a language that has a word list, and for rows of a language without one, the base rules alone decide. Rows of a null language are judged against all references. Repeated rows and null ids stay. An empty table gives no rows.
     """
     refs = references(docs, limits) if refs is None else refs
 
     def run(batches):
         for piece in pieces(batches):
-            out = judge(piece.column(1).to_pylist(), refs, limits)
+            out = judge(piece.column(1).to_pylist(), piece.column(2).to_pylist(), refs, limits)
             yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(x) for x in out.values())], names=["doc_id", *out])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id long, {VERDICT}")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "lang").mapInArrow(run, f"doc_id long, {VERDICT}")
 
 
 def keep_good(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The rows whose documents are kept, as they are."""
+    """The rows whose documents are kept, as they are, with all their columns. Null and empty texts go; repeated rows and null ids are judged like any; an empty table gives no rows."""
     refs = references(docs, limits)
 
     def run(batches):
         for piece in pieces(batches):
             texts = [t or "" for t in piece.column(piece.schema.get_field_index("text")).to_pylist()]
-            yield piece.filter(pa.array(judge(texts, refs, limits)["kept"]))
+            langs = piece.column(piece.schema.get_field_index("lang")).to_pylist()
+            yield piece.filter(pa.array(judge(texts, langs, refs, limits)["kept"]))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -23,6 +23,8 @@ from .bpe import codec, file_tokenizer
 from .common import docs_of, pieces, scratch, text_volume
 
 NULL_ID = np.iinfo(np.int64).min
+#: Beyond so many parts they grow and not their number, which the driver reads.
+MOST_PARTS = 20_000
 
 
 def _store(path: str) -> tuple[pafs.FileSystem, str]:
@@ -36,7 +38,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
 
     Ids ascend over the whole table; rows with the same id stand in the order of their texts, null ids first. A null or empty text has only the end id. A part is written under a name of its own attempt and then moved, so repeated attempts leave the same files. An empty table gives no parts.
     """
-    n = max(1, -(-text_volume(docs, text_col)[1] // part_bytes))
+    volume = text_volume(docs, text_col)[1]
+    n = max(1, -(-volume // max(part_bytes, volume // MOST_PARTS)))
     wide = max(file_tokenizer(tokenizer_path).get_vocab_size(), end_id or 0) > 1 << 16
     kind = "<u4" if wide else "<u2"
 
@@ -83,7 +86,7 @@ def _mapped(store: pafs.FileSystem, path: str, kind: str) -> np.ndarray:
 
 
 def read_tokens(spark: SparkSession, folder: str, parts: list[tuple[int, int, str]]) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers) of a token table. parts: number, tokens, kind of each part in order; their prefix sums are the bases."""
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers) of a token table. parts: number, tokens, kind of each part in order; their prefix sums are the bases. Documents without a token of text have their end alone; null ids read as null; no parts give no rows."""
     bases = accumulate((t for _, t, _ in parts), initial=0)
     todo = [(int(p), int(b), k) for (p, _, k), b in zip(parts, bases)]
 
