@@ -63,20 +63,35 @@ def file_tokenizer(path: str):
 
 
 class Encoder:
-    """Encodes texts by chunks. The table of chunks starts anew beyond ``limit`` entries."""
+    """Encodes texts by chunks. Beyond ``limit`` entries the table of chunks keeps those that came up again, half the limit at most."""
 
-    def __init__(self, tokenizer, limit: int = 200_000):
+    def __init__(self, tokenizer, limit: int = 300_000):
         self.tokenizer, self.limit = tokenizer, limit
-        self._reset()
-
-    def _reset(self) -> None:
         self.first: dict[str, int] = {}
         self.rest: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.sizes = np.zeros(1 << 14, np.int32)
+        self.hits = np.zeros(1 << 14, np.int32)
         self.n = self.used = 0
 
+    def _trim(self) -> None:
+        again = np.flatnonzero(self.hits[: self.n] > 1)
+        if len(again) > self.limit // 2:
+            again = np.sort(again[np.argpartition(-self.hits[again], self.limit // 2)[: self.limit // 2]])
+        place = np.full(self.n, -1)
+        place[again] = np.arange(len(again))
+        for table in (self.first, self.rest):
+            kept = [(w, place[i]) for w, i in table.items() if place[i] >= 0]
+            table.clear()
+            table.update((w, int(i)) for w, i in kept)
+        sizes = self.sizes[again]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        self.n, self.used = len(again), int(ends[-1]) if len(again) else 0
+        self.flat[: self.used] = self.flat[np.repeat(self.starts[again] - (ends - sizes), sizes) + np.arange(self.used)]
+        self.starts[: self.n], self.sizes[: self.n] = ends - sizes, sizes
+        self.hits[:] = 0
+
     def _learn(self, table: dict[str, int], new: list[str], lead: str) -> None:
         for at in range(0, len(new), 5_000):
             some = new[at : at + 5_000]
@@ -86,7 +101,7 @@ class Encoder:
             while self.used + total > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             while self.n + len(ids) > len(self.starts):
-                self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+                self.starts, self.sizes, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes, self.hits))
             self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
             self.starts[self.n : self.n + len(ids)] = self.used + np.cumsum(sizes) - sizes
             self.sizes[self.n : self.n + len(ids)] = sizes
@@ -97,7 +112,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each text has."""
         if self.n > self.limit:
-            self._reset()
+            self._trim()
         firsts, rest, counts = [], [], np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
             if text:
@@ -119,6 +134,8 @@ class Encoder:
         is_rest[begins] = False
         entries[begins] = np.fromiter(map(self.first.__getitem__, firsts), np.int64, len(firsts))
         entries[is_rest] = np.fromiter(map(self.rest.__getitem__, rest), np.int64, len(rest))
+        seen = np.bincount(entries, minlength=1)
+        self.hits[: len(seen)] += seen.astype(np.int32)
         sizes = self.sizes[entries].astype(np.int64)
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
@@ -179,7 +196,7 @@ def encode(docs: DataFrame, path: str, pattern: str | None = None, id_col: str =
 
 
 def decode(tokens: DataFrame, path: str, pattern: str | None = None) -> DataFrame:
-    """doc_id, content (binary) of rows with doc_id and ids; a null list has no bytes."""
+    """doc_id, content (binary) of rows with doc_id and ids; a null or empty list has no bytes. Repeated rows and null ids stay; an empty table gives no rows."""
 
     def run(batches):
         _, decoder = codec(path, pattern)
@@ -189,8 +206,11 @@ def decode(tokens: DataFrame, path: str, pattern: str | None = None) -> DataFram
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, content binary")
 
 
-def digests(docs: DataFrame, path: str, pattern: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: encoded, and decoded from the ids, in one pass."""
+def digests(docs: DataFrame, path: str, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: encoded, and decoded from the ids, in one pass; and the ids, if wanted, behind n_tokens.
+
+    A null or empty text has no ids and no bytes. Repeated rows and null ids stay; other columns are left out. An empty table gives no rows.
+    """
     import hashlib
 
     def run(batches):
@@ -198,12 +218,14 @@ def digests(docs: DataFrame, path: str, pattern: str | None = None) -> DataFrame
         for piece in pieces(batches):
             ids, counts = encoder.encode(piece.column(1).to_pylist())
             parts = np.split(ids.astype("<u4"), np.cumsum(counts)[:-1])
-            yield pa.RecordBatch.from_arrays(
-                [piece.column(0), pa.array(counts), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in parts]), pa.array([hashlib.sha256(decoder.decode(x)).hexdigest() for x in parts])],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return docs_of(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            out = {"doc_id": piece.column(0), "n_tokens": pa.array(counts)}
+            if with_ids:
+                out["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids.astype(np.int32)))
+            out["ids_sha256"] = pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in parts])
+            out["decoded_sha256"] = pa.array([hashlib.sha256(decoder.decode(x)).hexdigest() for x in parts])
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+
+    return docs_of(docs).mapInArrow(run, "doc_id long, n_tokens long, " + "ids array<int>, " * with_ids + "ids_sha256 string, decoded_sha256 string")
 
 
 def op10_bpe(spark, sf_dir):
