@@ -210,7 +210,8 @@ def test_decontamination(spark, empty):
     bench = spark.createDataFrame([(7, item), (8, None), (9, "two words")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(table, bench).collect()}
     assert got == {(0, 7), (1, 7)}
-    assert not decontaminate.slots_agree(mixed.replace("Anna", "Tom"), item.replace("Miller", "Sam"), 0)[0]
+    words = mixed.replace("Anna", "Tom").split()
+    assert not decontaminate.compared(words, item.replace("Miller", "Sam").split(), range(len(words)))[0]
     assert decontaminate.leaks(empty, bench).count() == 0 and decontaminate.leaks(table, bench.limit(0)).count() == 0
     shuffled = decontaminate.leaks(table, bench, decontaminate.Limits(broadcast_windows=0))
     assert {(r.doc_id, r.item_id) for r in shuffled.collect()} == got
@@ -262,3 +263,191 @@ def test_exchange_of_two_levels(docs):
     one = lmscore.score(docs, F.col("doc_id") % 4 != 2)
     assert sorted(map(tuple, lmscore.score(docs, F.col("doc_id") % 4 != 2, **small).collect()), key=str) == sorted(map(tuple, one.collect()), key=str)
     assert sorted(map(tuple, neardup.near_duplicates(docs, **small).collect())) == sorted(map(tuple, neardup.near_duplicates(docs).collect()))
+
+
+# -- decontamination: planted questions, asked again in several forms -----------
+QUESTIONS = (
+    "Tom has {a} cats and Ann has {b} cats. Tom buys {c} more cats in March. How many cats do Tom and Ann have together after that?",
+    "A train leaves Boston at {a} km per hour and travels {b} hours without a stop. Then it slows down to {c} km per hour for the rest of the way. How far has the train from Boston travelled?",
+    "Maria reads {a} pages on Monday and {b} pages on Tuesday. Her brother Paul reads {c} pages on each day of the week. Who of Maria and Paul has read more pages at the end of the week?",
+    "The farmer sells {a} kg of apples for {b} dollars and keeps {c} kg for his family. What does one kg of apples cost if every kg costs the same?",
+    "Peter and Lucy share {a} sweets so that Peter gets {b} more than Lucy does. Their friend Oscar brings {c} sweets on top. How many sweets does Lucy hold at the end?",
+    "In a class of {a} children there are {b} who play chess and {c} who play football, and some who play both of them. Nobody sits at home. How many children play both chess and football?",
+)
+SWAPS = {"Tom": "Jim", "Ann": "Zoe", "March": "June", "Boston": "Denver", "Maria": "Helen", "Paul": "Frank", "Monday": "Friday", "Tuesday": "Sunday", "Peter": "Simon", "Lucy": "Nora", "Oscar": "Victor"}
+PROSE = "the old mill by the river had been shut for years and nobody in the village could say when the wheel had last turned or who had owned the narrow fields behind it".split()
+
+
+def _other_names(text):
+    return re.sub(r"[A-Z][a-z]+", lambda m: SWAPS.get(m[0], m[0]), text)
+
+
+def _leaking():
+    """Documents of the planted questions in several forms: verbatim, other numbers, other names, both, within other text, with a changed word, with an inserted word, in capitals at the start or not."""
+    r = random.Random(11)
+    items, found = [], []
+    for i, q in enumerate(QUESTIONS):
+        a, b, c = r.sample(range(3, 90), 3)
+        x, y, z = r.sample(range(100, 900), 3)
+        item, other = q.format(a=a, b=b, c=c), q.format(a=x, b=y, c=z)
+        items.append(item)
+        around = lambda t: " ".join(r.choices(PROSE, k=60)).capitalize() + ". " + t + " " + " ".join(r.choices(PROSE, k=60))
+        found += [(i, t) for t in (item, other, _other_names(item), _other_names(other), around(other), around(_other_names(other)), item.replace(" and ", " plus ", 1), item.replace(" more ", " many more ", 1), "question: " + _other_names(other) + "\nanswer: 12", _other_names(other).replace(". ", ".\n"))]
+    dense = "Continue: 2, 4, 8, 16, 32, 64, 128, 256, 512 and say why"
+    return [*items, dense], [*found, (len(items), "Now this: " + dense)]
+
+
+def _clean():
+    r = random.Random(12)
+    names, made = ["Ida", "Max", "Rob", "Eva"], []
+    for _ in range(40):
+        n = r.sample(names, 2)
+        made.append(f"{n[0]} went to the market with {r.randint(2, 90)} coins and came home with {r.randint(2, 90)} eggs, while {n[1]} stayed and fed the hens. " + " ".join(r.choices(PROSE, k=r.randint(5, 80))))
+    return [*made, "Continue: 3, 9, 27, 81, 243, 729, 2187, 6561, 19683 and say why", "How many cats are there? Nobody knows, for they never stand still."]
+
+
+def test_decontamination_recall(spark):
+    items, found = _leaking()
+    clean = _clean()
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([t for _, t in found] + clean)], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()}
+    want = {(k, i) for k, (i, _) in enumerate(found)}
+    assert len(got & want) >= 0.9 * len(want), sorted(want - got)
+    assert not {d for d, _ in got} & set(range(len(found), len(found) + len(clean)))
+    assert got == _leaks_by_rule([t for _, t in found] + clean, items)
+
+
+def _leaks_by_rule(texts, items, limits=decontaminate.Limits()):
+    """The same pairs from every window of every text, compared as tuples and not as hashes."""
+    out = set()
+    for i, item in enumerate(items):
+        asked = W.findall(item)
+        size = min(limits.window, len(asked))
+        parts = [asked[j : j + size] for j in range(len(asked) - size + 1)]
+
+        def key(window):
+            forms = [decontaminate.canonical(w) for w in window]
+            return ("raw", *map(decontaminate.raw, window)) if sum(bool(f[1]) for f in forms) > (1 - limits.fixed) * size else ("like", *(f[0] for f in forms))
+
+        keys = [key(p) for p in parts]
+        n_like = sum(k[0] == "like" for k in keys)
+        for d, text in enumerate(texts):
+            words = W.findall(text)
+            hits = collections.defaultdict(set)
+            for p in range(len(words) - size + 1):
+                k = key(words[p : p + size])
+                for j, own in enumerate(keys):
+                    if k == own:
+                        for band in ((p - j) // 8 * 2, (p - j + 4) // 8 * 2 + 1):
+                            hits[band].add((j, p - j))
+            for some in hits.values():
+                like = len({j for j, _ in some if keys[j][0] == "like"})
+                enough = like >= max(1, math.ceil(n_like * limits.cover)) or len({j for j, _ in some}) >= max(1, math.ceil(len(keys) * limits.cover))
+                if enough and decontaminate.agreed(words, asked, list(some), size) is not None:
+                    out.add((d, i))
+    return out
+
+
+# -- quality: the method's verdict ----------------------------------------------
+def _js(p, q):
+    p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+    part = lambda a, b: sum(x * math.log2(x / ((x + y) / 2)) for x, y in zip(a, b) if x)
+    return math.sqrt(max(0, (part(p, q) + part(q, p)) / 2))
+
+
+def test_quality_verdict(spark):
+    """The distances, the guards and the verdict, recomputed for each text from the references."""
+    r = random.Random(4)
+    common = {k: v for k, v in quality.COMMON.items()}
+    prose = lambda lang, n: " ".join(r.choice(common[lang]) if r.random() < 0.5 else "".join(r.choices("aeioulmnrst", k=r.randint(3, 9))) for _ in range(n)).capitalize() + "."
+    texts = [(prose(lang, r.randint(52, 200)), lang) for lang in ("en", "fr") for _ in range(25)]
+    texts += [(" ".join("".join(r.choices("qwxzkj", k=6)) for _ in range(90)), "en"), (" ".join(["| -- |", prose("en", 3)] * 30), "en"), (prose("en", 60).upper(), "en"), (" ".join("".join(r.choices("qwxzkj", k=6)) for _ in range(90)), "it"), (" ".join("".join(r.choices("qwxzkj", k=2)) for _ in range(60)), None), (prose("fr", 80), None), ("", "en"), (None, None)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(texts)], "doc_id long, text string, lang string")
+    limits, refs = quality.Limits(), quality.references(docs)
+    assert set(refs) == {"en", "fr"} and quality.references(docs.repartition(5))["en"][1].tolist() == refs["en"][1].tolist()
+    vocabulary = quality.vocabulary()
+    kept = set()
+    for row in quality.verdicts(docs).collect():
+        text, lang = texts[row.doc_id][0] or "", texts[row.doc_id][1]
+        words = W.findall(text)
+        bins = collections.Counter(vocabulary.get(w.lower().strip(quality.EDGES), 0) for w in words)
+        classes = collections.Counter(quality.CLASSES[quality.class_table()[min(ord(c), 0x10000)]] for c in text)
+        near = lang not in (None, *common)
+        for p, q in refs.values():
+            counted = [classes[c] for c in quality.CLASSES[: quality.USED]]
+            a = _js(counted, p) if sum(counted) >= limits.least_chars else 0
+            long = len(words) >= limits.least_words
+            b = _js([bins[k] for k in range(len(vocabulary) + 1)], q) if long else 0
+            enough = not long or len(words) - bins[0] >= limits.least_share * (1 - q[0]) * len(words)
+            near |= a <= limits.chars and b <= min(limits.words, limits.below * quality.without_common(q)) and enough
+        assert row.kept == (near and not row.base_failed), row
+        kept |= {row.doc_id} if row.kept else set()
+    assert kept >= set(range(50)) and not kept & {50, 51, 52, 56, 57} and {53, 54, 55} <= kept
+    assert [x.doc_id for x in quality.keep_good(docs).collect()] == sorted(kept)
+
+
+# -- secrets --------------------------------------------------------------------
+def _secret_texts():
+    """Ordinary text around secrets in forms that the training lines don't make, and ordinary text without any."""
+    r = random.Random(21)
+    pick = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
+    letters = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789"
+    prose = lambda n: " ".join(r.choices(PROSE, k=n))
+    planted = []
+    for _ in range(60):
+        value = r.choice((lambda: pick(letters, 40), lambda: "ghp_" + pick(letters, 36), lambda: pick("0123456789abcdef", 40), lambda: "AKIA" + pick("ABCDEFGHIJKLMNOP234567", 16), lambda: "sk-" + pick(letters, 48), lambda: pick(letters, 16)))()
+        line = r.choice(("export API_TOKEN={}", 'client_secret: "{}"', "the password = {} works", "curl -H 'Authorization: Bearer {}' now", "token={}"))
+        planted.append((f"{prose(30).capitalize()}. {line.format(value)} {prose(20)}", value))
+    clean = [f"{prose(40).capitalize()}. In {r.randint(1900, 2020)} they paid {r.randint(2, 900)} coins, see https://example.org/{pick('abcdefgh', 6)} or write to {pick('abcdefgh', 5)}@example.org; tel. +49-{r.randint(100, 999)}-{r.randint(10000, 99999)}. {prose(30)}" for _ in range(60)]
+    return planted, clean
+
+
+def test_secrets_recall(spark):
+    planted, clean = _secret_texts()
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([t for t, _ in planted] + clean)], "doc_id long, text string")
+    hit = false = 0
+    for row in secrets.scan(docs).collect():
+        spans = [(int(a), int(b)) for _, a, b in (x.split(":") for x in row.spans.split(","))] if row.spans else []
+        if row.doc_id < len(planted):
+            text, value = planted[row.doc_id]
+            at = text.index(value)
+            hit += any(a <= at and at + len(value) <= b + 1 for a, b in spans)
+        else:
+            false += bool(spans)
+    assert hit >= 0.9 * len(planted) and false <= 0.05 * len(clean), (hit, false)
+
+
+def test_secrets_whole_decoding(texts):
+    """Decoding only the runs that can be other than outside gives what Viterbi over the whole text gives, and base spans are those of a rescan from every place."""
+    field = secrets.trained()
+    planted, clean = _secret_texts()
+    some = [t or "" for t in texts] + [t for t, _ in planted[:30]] + clean[:10]
+    for text, tagged in zip(some, secrets.Tagger(field).tag(some)):
+        words = W.findall(text)
+        tags = field.viterbi(field.emissions(words, secrets.file_features(text))) if words else []
+        want, before = [], secrets.O
+        for i, t in enumerate(tags):
+            if t == secrets.I and before != secrets.O:
+                want[-1] = (want[-1][0], i)
+            elif t != secrets.O:
+                want.append((i, i))
+            before = t
+        assert tagged == want, text
+        assert secrets.base_spans(text) == _rescan(text)
+
+
+def _rescan(text):
+    """Leftmost matches found by trying each place in turn."""
+    out = []
+    for kind, (pattern, least, group) in enumerate(((r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8, 2), ("AKIA[A-Z0-9]+", 16, 0), ("[0-9a-f]+", 32, 0))):
+        at, regex = 0, re.compile(pattern)
+        while at < len(text):
+            m = regex.match(text, at)
+            if m:
+                if len(m[group]) >= least:
+                    out.append((m.start(), kind, m.end()))
+                at = m.end()
+            else:
+                at += 1
+    return sorted(out)
