@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Callable
 from itertools import chain, count
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -150,19 +151,31 @@ def n_ranges(volume: int, range_bytes: int = RANGE_BYTES) -> int:
     return max(16, -(-volume // range_bytes))
 
 
-def with_totals(blocks: DataFrame, ranges: int, items: Callable, finish: Callable, schema: str, widths: tuple[int, ...] = (8,), fan: int = FAN, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Rows of ``finish(block, totals, sums, distinct)`` for each block row of a written table.
+class Found(NamedTuple):
+    """Of one kind: the corpus-wide counts in the order of a block's hashes, and the corpus-wide sum of counts and number of hashes with a count."""
 
-    ``items(block: pa.Table)`` gives for each kind a pair of arrays: sorted distinct hashes and how often to count each. ``totals`` has for each kind the corpus-wide counts in the order of the block's hashes; ``sums`` and ``distinct`` are the corpus-wide sum of counts and number of hashes with a count, for each kind. ``widths`` has for each kind the bytes of a hash that count: hashes that agree in these are counted as one.
+    totals: np.ndarray
+    total: int
+    distinct: int
+
+    def row(self, block: int, kind: int) -> tuple:
+        """As a row of ``ANSWERED``, for an exchange that goes on from here."""
+        return block, 0, kind, len(self.totals), pack_counts(self.totals), self.total, self.distinct
+
+
+def with_totals(blocks: DataFrame, ranges: int, items: Callable, finish: Callable, schema: str, widths: dict[int, int], known: DataFrame | None = None, fan: int = FAN, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Rows of ``finish(block, found)`` for each block row of a written table.
+
+    ``items(block: pa.Table)`` gives for each kind, a number, a pair of arrays: sorted distinct hashes and how often to count each. ``found`` has for each kind what :class:`Found` says, and that of the rows of ``known``, a table like ``ANSWERED`` from an exchange before. ``widths`` has for each kind the bytes of a hash that count: hashes that agree in these are counted as one.
     """
-    parts, kinds = min(ranges, fan), len(widths)
+    parts = min(ranges, fan)
 
     def send(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 one = pa.Table.from_batches([batch.slice(i, 1)])
                 rows: dict[str, list] = {"kind": [], "part": [], "hashes": [], "counts": []}
-                for kind, (hashes, counts) in enumerate(items(one)):
+                for kind, (hashes, counts) in items(one).items():
                     start = 0
                     for part, end in enumerate(ranges_of(hashes, parts).tolist()):
                         rows["kind"].append(kind)
@@ -187,18 +200,19 @@ def with_totals(blocks: DataFrame, ranges: int, items: Callable, finish: Callabl
 
     def end(block: pa.Table, answers: pa.Table) -> pa.Table:
         if not block.num_rows:
-            return finish(block, [], [], [])
-        by_kind: list[list] = [[] for _ in range(kinds)]
+            return finish(block, {})
+        by_kind: dict[int, list] = defaultdict(list)
         for row in sorted(answers.drop(["block"]).to_pylist(), key=lambda r: (r["kind"], r["part"])):
             by_kind[row["kind"]].append(row)
-        totals = [np.concatenate([unpack_counts(r["totals"], r["n"]) for r in rows]) for rows in by_kind]
-        return finish(block, totals, [sum(r["total"] for r in rows) for rows in by_kind], [sum(r["distinct"] for r in rows) for rows in by_kind])
+        return finish(block, {kind: Found(np.concatenate([unpack_counts(r["totals"], r["n"]) for r in rows]), sum(r["total"] for r in rows), sum(r["distinct"] for r in rows)) for kind, rows in by_kind.items()})
 
     sent = blocks.mapInArrow(send, ddl(SENT))
     if ranges <= fan:
         answered = sent.groupBy("part", "kind").applyInArrow(answer, ddl(ANSWERED))
     else:
         answered = _two_levels(sent, -(-ranges // fan), parts, opened, chunk_bytes)
+    if known is not None:
+        answered = answered.unionByName(known)
     return blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(end, schema)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Tables, docs_of, text_volume
-from .exchange import BLOCK, BLOCK_ARROW, BLOCK_BYTES, GOLDEN, Words, mix, n_ranges, pack_counts, read_block, unpack_counts, with_totals, word_blocks, word_hashes
+from .exchange import ANSWERED, BLOCK_BYTES, GOLDEN, Words, ddl, mix, n_ranges, read_block, with_totals, word_blocks, word_hashes
 
 #: Stand-ins for the start and the end of a text; no word has white space.
 START, END = "\n<", "\n>"
@@ -91,24 +91,8 @@ def traverse(arcs: list[list], fails: list[list], known: list[bool], start: int,
 
 #: Bytes of the hashes of single words, and of longer n-grams: of a billion of these one in about 300,000 shares its hash with another.
 WIDE, NARROW = 8, 6
-COUNTED = BLOCK + ", totals array<binary>, stats array<long>"
-COUNTED_ARROW = pa.schema([*BLOCK_ARROW, ("totals", pa.list_(pa.binary())), ("stats", pa.list_(pa.int64()))])
-
-
-class Counts:
-    """What is known of a block: the totals of its n-grams of the first orders, and of the whole corpus the training tokens, distinct words, training texts and distinct n-grams of each order."""
-
-    def __init__(self, totals: list[np.ndarray], tokens: int, words: int, texts: int, distinct: list[int]):
-        self.totals, self.tokens, self.words, self.texts, self.distinct = totals, tokens, words, texts, distinct
-
-    def stats(self) -> list[int]:
-        return [self.tokens, self.words, self.texts, *self.distinct]
-
-    def contexts(self, mark: int) -> list[np.ndarray]:
-        """Totals in which the start mark counts as often as there are texts: it is a context, but not a token."""
-        first = self.totals[0].copy()
-        first[mark] = self.texts
-        return [first, *self.totals[1:]]
+#: Kinds of the exchange: n-grams by their order, and the starts of training texts.
+STARTS = 0
 
 
 def score(docs: DataFrame, train: F.Column, order: int = 3, strengths: tuple[float, ...] | None = None, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", **exchange) -> DataFrame:
@@ -116,7 +100,7 @@ def score(docs: DataFrame, train: F.Column, order: int = 3, strengths: tuple[flo
 
     ``train`` tells which rows the model learns from; where it is null, the row is held out. ``strengths`` are those of the orders from 2 on; without them each is the mean number of distinct words that follow a context of its length in the training texts. A null or empty text is its end token alone. With no training rows every token has the share 1 / (0 + 0 + 1). Repeated rows count as often as they stand, null ids stay null and other columns are left out. An empty table gives no rows.
 
-    Words and pairs are counted in one exchange and each further order in one of its own, so that the packets of one go before the next begins. An n-gram of held-out texts alone is left out where a part of it has no count.
+    Words and pairs are counted in one exchange and each further order in one of its own, so that the packets of one go before the next begins; between them only the totals are kept.
     """
     spark = docs.sparkSession
     rows = docs_of(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("chosen")), "doc_id", "text", "chosen")
@@ -124,65 +108,34 @@ def score(docs: DataFrame, train: F.Column, order: int = 3, strengths: tuple[flo
     blocks = tables.write(word_blocks(rows, block_bytes), "blocks")
     ranges = n_ranges(text_volume(rows)[1])
 
-    def read(table: pa.Table, k: int):
-        words, ids, chosen = read_block(table)
-        chosen = np.array(chosen, bool)
-        grams = Grams(words, k)
-        return grams, ids, chosen, grams.counts(chosen)
-
-    def first_items(table: pa.Table):
-        grams, _, chosen, counts = read(table, min(order, 2))
-        counts[0][grams.mark] = 0
-        return [*zip(grams.hashes, counts), (START_HASH, np.array([chosen.sum()]))]
-
-    def known(table: pa.Table, grams: Grams) -> Counts:
-        totals, stats = table.column("totals")[0].as_py(), table.column("stats")[0].as_py()
-        return Counts([unpack_counts(t, len(h)) for t, h in zip(totals, grams.hashes)], *stats[:3], stats[3:])
-
-    def asked(table: pa.Table, k: int):
-        """The n-grams of order k, their local counts, and which of them may occur in the training texts."""
-        grams, ids, chosen, counts = read(table, k)
-        before = known(table, grams)
-        contexts = before.contexts(grams.mark)[k - 2]
-        at = np.zeros(len(grams.hashes[k - 1]), np.int64)
-        on = np.flatnonzero(grams.places[k - 1] >= 0)
-        at[grams.places[k - 1][on]] = on  # a place of each
-        most = np.minimum(contexts[grams.places[k - 2][at - 1]], contexts[grams.places[k - 2][at]]) if len(at) else at
-        return grams, ids, chosen, counts[k - 1], before, (counts[k - 1] > 0) | (most > 0)
-
-    def later_items(k: int):
+    def items_of(first: int, last: int):
         def items(table: pa.Table):
-            grams, _, _, counts, _, ask = asked(table, k)
-            return [(grams.hashes[k - 1][ask], counts[ask])]
+            words, _, chosen = read_block(table)
+            chosen = np.array(chosen, bool)
+            grams = Grams(words, last)
+            counts = grams.counts(chosen)
+            counts[0][grams.mark] = 0  # a context, but not a token: counted as a kind of its own
+            out = {k: (grams.hashes[k - 1], counts[k - 1]) for k in range(first, last + 1)}
+            return out | {STARTS: (mix(word_hashes([START])), np.array([chosen.sum()]))} if first == 1 else out
 
         return items
 
-    def after(k: int):
-        """Totals of the orders up to k, or the scores if that is the last."""
-
-        def finish(table: pa.Table, totals: list, sums: list, distinct: list) -> pa.Table:
-            if not table.num_rows:
-                return (OUT if k == order else COUNTED_ARROW).empty_table()
-            if k <= 2:
-                grams, ids, chosen, _ = read(table, k)
-                counts = Counts(totals[:-1], sums[0], distinct[0], sums[-1], distinct[:-1])
-            else:
-                grams, ids, chosen, own, counts, ask = asked(table, k)
-                own = own.copy()
-                own[ask] = totals[0]
-                counts.totals.append(own)
-                counts.distinct.append(distinct[0])
-            if k == order:
-                return scored(grams, ids, chosen, counts)
-            row = table.select(BLOCK_ARROW.names)
-            return row.append_column("totals", pa.array([[pack_counts(t) for t in counts.totals]], pa.list_(pa.binary()))).append_column("stats", pa.array([counts.stats()], pa.list_(pa.int64())))
-
-        return finish
-
-    def scored(grams: Grams, ids: list, chosen: np.ndarray, counts: Counts) -> pa.Table:
-        single, n, v = counts.totals[0], counts.tokens, counts.words
-        weights = strengths or [max(1.0, b / max(1, a)) for a, b in zip(counts.distinct, counts.distinct[1:])]
-        arcs, fails = automaton(grams, counts.contexts(grams.mark), n, v, weights)
+    def keep(table: pa.Table, found: dict) -> pa.Table:
+        if not table.num_rows:
+            return ANSWERED.empty_table()
+        block = table.column("block")[0].as_py()
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*(f.row(block, kind) for kind, f in sorted(found.items()))), ANSWERED.types)], schema=ANSWERED)
+
+    def finish(table: pa.Table, found: dict) -> pa.Table:
+        if not table.num_rows:
+            return OUT.empty_table()
+        words, ids, chosen = read_block(table)
+        grams, chosen = Grams(words, order), np.array(chosen, bool)
+        single, n, v = found[1].totals, found[1].total, found[1].distinct
+        contexts = [single.copy(), *(found[k].totals for k in range(2, order + 1))]
+        contexts[0][grams.mark] = found[STARTS].total
+        weights = strengths or [max(1.0, found[k].distinct / max(1, found[k - 1].distinct)) for k in range(2, order + 1)]
+        arcs, fails = automaton(grams, contexts, n, v, weights)
         seen = (single[grams.places[0]] > 0) & grams.is_token
         moves, ends = seen.tolist(), np.cumsum(grams.sizes + 1)
         scores = [traverse(arcs, fails, moves, int(e - s), int(e)) for s, e in zip(grams.sizes, ends)]
@@ -193,17 +146,18 @@ def score(docs: DataFrame, train: F.Column, order: int = 3, strengths: tuple[flo
             pa.array(np.full(rows, n, np.int64)), pa.array(np.bincount(grams.doc, base, rows)), pa.array(np.array(scores, float)),
         ], schema=OUT)
 
-    first = min(order, 2)
-    done = with_totals(blocks, ranges, first_items, after(first), SCORED if first == order else COUNTED, (WIDE, *[NARROW] * (first - 1), WIDE), **exchange)
-    for k in range(3, order + 1):
-        blocks = tables.write(done, "counted")
-        tables.drop("blocks")
-        done = with_totals(blocks, ranges, later_items(k), after(k), SCORED if k == order else COUNTED, (NARROW,), **exchange)
-    return done
+    known, first, last = None, 1, min(order, 2)
+    while True:
+        widths = {k: NARROW if k > 1 else WIDE for k in range(first if first > 1 else 0, last + 1)}
+        ends = last == order
+        done = with_totals(blocks, ranges, items_of(first, last), finish if ends else keep, SCORED if ends else ddl(ANSWERED), widths, known, **exchange)
+        if ends:
+            return done
+        known = tables.write(done, "known")
+        first = last = last + 1
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-START_HASH = mix(word_hashes([START]))
 OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 

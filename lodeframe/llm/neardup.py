@@ -63,14 +63,14 @@ def prefixes(docs: DataFrame, tables: Tables, percent: int = 75, width: int = 5,
     blocks = tables.write(word_blocks(rows, block_bytes), "blocks")
 
     def items(table: pa.Table):
-        return [Shingles(read_block(table)[0], width).frequencies()]
+        return {0: Shingles(read_block(table)[0], width).frequencies()}
 
-    def finish(table: pa.Table, totals: list, *_):
+    def finish(table: pa.Table, found: dict):
         if not table.num_rows:
             return OUT.empty_table()
         words, ids, _ = read_block(table)
         s = Shingles(words, width)
-        df = np.minimum(totals[0], (1 << 32) - 1)[np.unique(s.hash, return_inverse=True)[1]]
+        df = np.minimum(found[0].totals, (1 << 32) - 1)[np.unique(s.hash, return_inverse=True)[1]]
         by_doc = np.argsort(s.doc, kind="stable")  # ascending hashes for each document
         rare = np.argsort(df, kind="stable")
         rare = rare[np.argsort(s.doc[rare], kind="stable")]
@@ -99,7 +99,7 @@ def prefixes(docs: DataFrame, tables: Tables, percent: int = 75, width: int = 5,
                     rows[x].append(None)
         return pa.Table.from_pydict({"doc_id": ids, "n_shingles": s.sizes, **rows}, schema=OUT)
 
-    return with_totals(blocks, n_ranges(text_volume(rows)[1]), items, finish, SCHEMA, widths=(6,), **exchange)
+    return with_totals(blocks, n_ranges(text_volume(rows)[1]), items, finish, SCHEMA, {0: 6}, **exchange)
 
 
 #: About so many partners of one set are verified in one task.
