@@ -1,6 +1,6 @@
 """Quality rules: how far a text's character classes and common words are from those of its language.
 
-References are learned from the corpus itself, over all documents of each language that has a word list: the median share of each character class and the mean share of each common word. The median keeps the reference clean while less than half of a language is junk. Digits are left out of the classes, for numbers and keys don't make a text bad. A document passes if, for at least one language, the Jensen-Shannon distance (base 2, from 0 to 1) of both histograms is within its threshold. That of the words also stays below the distance of a text without any common word to the reference, and a text has at least a part of the language's share of common words, so a text without them fails whatever its letters. Short texts have noisy histograms, so a test isn't applied to a text with fewer counted characters, or fewer words, than its minimum; both minima lie above what the base rule asks for. A row of a language without a word list has no reference, so the base rule alone decides; one without a language may be of any. All sums behind the references are of integers, so they don't depend on the order of tasks.
+References are learned from the corpus itself, over all documents of each language that has a word list: the median share of each character class and the mean share of each common word. The median keeps the reference clean while less than half of a language is junk. Digits are left out of the classes, for numbers and keys don't make a text bad. A document passes if, for at least one language, the Jensen-Shannon distance (base 2, from 0 to 1) of both histograms is within its threshold. That of the words also stays below the distance of a text without any common word to the reference, and a text has at least a part of the language's share of common words, so a text without them fails whatever its letters. Short texts have noisy histograms, so a test isn't applied to a text with fewer characters, or fewer words, than its minimum; that of words lies above what the base rule asks for. A row of a language without a word list has no reference, so the base rule alone decides; one without a language may be of any. All sums behind the references are of integers, so they don't depend on the order of tasks.
 """
 
 from __future__ import annotations
@@ -173,10 +173,9 @@ def judge(texts: list[str], langs: list[str | None], refs: dict, limits: Limits)
     failed = (f.n_words < limits.base_words) | (100 * repeat > limits.base_repeat * f.n_words)
     near = np.array([not refs or (lang is not None and lang not in COMMON) for lang in langs], bool)
     chars, words = np.where(near, 0.0, 1.0), np.where(near, 0.0, 1.0)
-    counted = f.chars.sum(1)
     for p, q in refs.values():
         a, b = distance(f.chars, p), distance(f.common, q)
-        a[counted < limits.least_chars] = 0
+        a[f.n_chars < limits.least_chars] = 0
         short = f.n_words < limits.least_words
         b[short] = 0
         enough = short | (f.n_words - f.common[:, 0] >= limits.least_share * (1 - q[0]) * f.n_words)

@@ -376,7 +376,7 @@ def test_quality_verdict(spark):
         near = lang not in (None, *common)
         for p, q in refs.values():
             counted = [classes[c] for c in quality.CLASSES[: quality.USED]]
-            a = _js(counted, p) if sum(counted) >= limits.least_chars else 0
+            a = _js(counted, p) if len(text) >= limits.least_chars else 0
             long = len(words) >= limits.least_words
             b = _js([bins[k] for k in range(len(vocabulary) + 1)], q) if long else 0
             enough = not long or len(words) - bins[0] >= limits.least_share * (1 - q[0]) * len(words)
