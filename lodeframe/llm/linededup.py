@@ -66,22 +66,24 @@ def near_lines(docs: DataFrame, lines: DataFrame, tables: Tables, id_col: str =
     close = half.join(shared, "half", "left_semi").select("key").distinct()
     firsts = tables.write(distinct.join(close, "key", "left_semi").select("key", "first"), "firsts")
     some = tables.write(words_of(docs, firsts, id_col, text_col), "some")
-    variants = tables.write(neighbourhood(some), "variants")
+    # eight bytes name a line here; should two lines share them, the words still decide below
+    variants = tables.write(neighbourhood(some.select(F.xxhash64("key").alias("id"), "first", "words")), "variants")
     # the earliest line for each variant and place; a line meets the earliest of its own place (a replaced word) and the line that is the variant (a deleted word), which meets the earliest of all places
-    lead = variants.groupBy("variant", "gone").agg(F.min(F.struct("first", "key")).alias("lead"), F.count(F.lit(1)).alias("c"))
+    lead = variants.groupBy("variant", "gone").agg(F.min(F.struct("first", "id")).alias("lead"), F.count(F.lit(1)).alias("c"))
     by_variant = lead.groupBy("variant").agg(F.sum("c").alias("c"), F.min(F.when(F.col("gone") == -1, F.col("lead"))).alias("whole"), F.min(F.when(F.col("gone") != -1, F.col("lead"))).alias("less")).filter("c > 1")
     met = variants.join(by_variant, "variant")
-    same_place = variants.join(lead.filter("c > 1 and gone <> -1"), ["variant", "gone"]).select("key", "first", F.col("lead").alias("other"))
-    inserted = met.select("key", "first", F.when(F.col("gone") == -1, F.col("less")).otherwise(F.col("whole")).alias("other"))
-    pairs = tables.write(same_place.unionByName(inserted).filter(F.col("other.first") < F.col("first")).select("key", F.col("other.key").alias("other")).distinct(), "pairs")
+    same_place = variants.join(lead.filter("c > 1 and gone <> -1"), ["variant", "gone"]).select("id", "first", F.col("lead").alias("other"))
+    inserted = met.select("id", "first", F.when(F.col("gone") == -1, F.col("less")).otherwise(F.col("whole")).alias("other"))
+    pairs = tables.write(same_place.unionByName(inserted).filter(F.col("other.first") < F.col("first")).select("id", F.col("other.id").alias("other")).distinct(), "pairs")
     tables.drop("firsts", "variants")
-    side = lambda k, w: some.select(F.col("key").alias(k), F.col("words").alias(w))
-    verified = pairs.join(side("key", "x"), "key").join(side("other", "y"), "other").filter(within_one_edit(F.col("x"), F.col("y"))).select("key").distinct()
+    side = lambda k, w: some.select(F.xxhash64("key").alias(k), F.struct("key", "first", "words").alias(w))
+    met = pairs.join(side("id", "x"), "id").join(side("other", "y"), "other").filter(F.col("y.first") < F.col("x.first"))
+    verified = met.filter(within_one_edit(F.col("x.words"), F.col("y.words"))).select("x.key").distinct()
     return distinct.select("key", "first", "n").join(verified.withColumn("near", F.lit(True)), "key", "left").select("key", "first", "n", F.coalesce("near", F.lit(False)).alias("drop"))
 
 
 def neighbourhood(lines: DataFrame) -> DataFrame:
-    """key, first, gone, variant: a digest of each line (gone -1) and of each variant without one word.
+    """id, first, gone, variant: a digest of each line (gone -1) and of each variant without one word.
 
     The digest of words is the XOR of the hashes of each word and its place, so that of a variant is made of two running XORs: over the words before the deleted one, and over those behind it, moved by one place.
     """
@@ -89,17 +91,17 @@ def neighbourhood(lines: DataFrame) -> DataFrame:
     none = F.array(F.lit(0).cast("long"))
     short = lines.filter(F.size("words") <= IN_ROW).withColumn("n", F.size("words"))
     running = lambda hashes: F.aggregate(hashes, none, lambda sums, h: F.concat(sums, F.array(F.element_at(sums, -1).bitwiseXOR(h))))
-    short = short.select("key", "first", "n", running(F.transform("words", lambda w, i: F.xxhash64(w, i))).alias("before"), running(F.reverse(F.transform("words", lambda w, i: F.xxhash64(w, i - 1)))).alias("behind"))
+    short = short.select("id", "first", "n", running(F.transform("words", lambda w, i: F.xxhash64(w, i))).alias("before"), running(F.reverse(F.transform("words", lambda w, i: F.xxhash64(w, i - 1)))).alias("behind"))
     made = F.transform(F.sequence(F.lit(-1), F.col("n") - 1), lambda i: F.struct(i.alias("gone"), F.when(i < 0, digest(F.element_at("before", -1), F.col("n"))).otherwise(digest(F.element_at("before", F.greatest(i, F.lit(0)) + 1).bitwiseXOR(F.element_at("behind", F.col("n") - F.greatest(i, F.lit(0)))), F.col("n") - 1)).alias("variant")))
-    in_row = short.select("key", "first", F.explode(made).alias("v")).select("key", "first", "v.*")
+    in_row = short.select("id", "first", F.explode(made).alias("v")).select("id", "first", "v.*")
 
-    words = lines.filter(F.size("words") > IN_ROW).select("key", "first", F.size("words").alias("n"), F.posexplode("words").alias("gone", "w")).select("key", "first", "n", "gone", F.xxhash64("w", "gone").alias("here"), F.xxhash64("w", F.col("gone") - 1).alias("moved"))
-    whole = Window.partitionBy("key")
+    words = lines.filter(F.size("words") > IN_ROW).select("id", "first", F.size("words").alias("n"), F.posexplode("words").alias("gone", "w")).select("id", "first", "n", "gone", F.xxhash64("w", "gone").alias("here"), F.xxhash64("w", F.col("gone") - 1).alias("moved"))
+    whole = Window.partitionBy("id", "first")
     upto = whole.orderBy("gone").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = F.bit_xor("here").over(upto).bitwiseXOR(F.col("here"))
     after = F.bit_xor("moved").over(whole).bitwiseXOR(F.bit_xor("moved").over(upto))
-    less = words.select("key", "first", "gone", digest(before.bitwiseXOR(after), F.col("n") - 1).alias("variant"))
-    full = words.groupBy("key", "first", "n").agg(F.bit_xor("here").alias("x")).select("key", "first", F.lit(-1).alias("gone"), digest(F.col("x"), F.col("n")).alias("variant"))
+    less = words.select("id", "first", "gone", digest(before.bitwiseXOR(after), F.col("n") - 1).alias("variant"))
+    full = words.groupBy("id", "first", "n").agg(F.bit_xor("here").alias("x")).select("id", "first", F.lit(-1).alias("gone"), digest(F.col("x"), F.col("n")).alias("variant"))
     return in_row.unionByName(less).unionByName(full)
 
 
@@ -135,7 +137,7 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "
     dropped = tables.write(gone.groupBy(F.col("doc_id").alias("d")).agg(F.collect_set("at").alias("gone")), "dropped")
     tables.drop("lines", "distinct", "some", "pairs", "verdicts")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried")] if carry else []))
-    joined = rows.join(dropped, F.col("doc_id").eqNullSafe(F.col("d")), "left")
+    joined = rows.join(dropped.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")), "left")  # one plan at every size
     all_lines = F.split("text", "\n")
     stay = F.filter(all_lines, lambda _, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
     return joined.select("doc_id", F.coalesce(F.size(all_lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), F.array_join(stay, "\n").alias("text"), *(["carried"] if carry else []))
