@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words are brought to a canonical form: numbers, units and names become typed placeholders, all else is lower-cased without edge punctuation. Every capitalised word stands for a name, wherever it is: at the start of a sentence a name can't be told from another word, and so the form of a word depends on the word alone. Windows of canonical words are hashed and joined with the windows of all benchmark items. A window of more slots than words is a template of nearly everything, so its words are hashed as they are, and it is found verbatim only; that is the rule for items of many slots, such as series of numbers. A match at a window says which item and where; matches of one item that keep their distance between document and item lie on one alignment. An alignment counts as a leak if it covers enough of the item's windows and the slots are consistent: within it, equal values of the item stand for equal values of the document and different ones for different ones. So a question asked again with other numbers or names is caught, and a text that merely shares its shape isn't.
+Words are brought to a canonical form: numbers, units and names become typed placeholders, all else is lower-cased without edge punctuation. Every capitalised word stands for a name, wherever it is: at the start of a sentence a name can't be told from another word, and so the form of a word depends on the word alone. Windows of canonical words are hashed and joined with the windows of all benchmark items. A window of more slots than words is a template of nearly everything, so its words are hashed as they are, in lower case, and it is found verbatim only; that is the rule for items of many slots, such as series of numbers. The same holds for windows of words in capitals, where names don't show. A match at a window says which item and where; matches of one item that keep their distance between document and item lie on one alignment. An alignment counts as a leak if it covers enough of the item's windows and the slots are consistent: within it, equal values of the item stand for equal values of the document and different ones for different ones. So a question asked again with other numbers or names is caught, and a text that merely shares its shape isn't.
 """
 
 from __future__ import annotations
@@ -55,6 +55,12 @@ def raw(word: str) -> str:
     return word.strip(EDGES).lower() or word
 
 
+def loud(word: str) -> bool:
+    """Whether a word stands in capitals."""
+    bare = word.strip(EDGES)
+    return len(bare) > 1 and bare.isupper()
+
+
 class Canon:
     """Canonical and raw forms of words (bytes) as hashes; a table of bounded size remembers them."""
 
@@ -65,28 +71,29 @@ class Canon:
     def _reset(self) -> None:
         self.seen: dict[bytes, int] = {}
         self.hashes = np.zeros((2, 1 << 12), np.uint64)
-        self.slots = np.zeros(1 << 12, bool)
+        self.flags = np.zeros((2, 1 << 12), bool)
 
     def _learn(self, words: list[bytes]) -> None:
         n = len(self.seen)
-        while n + len(words) > len(self.slots):
-            self.hashes, self.slots = np.concatenate([self.hashes, np.zeros_like(self.hashes)], 1), np.concatenate([self.slots, np.zeros_like(self.slots)])
+        while n + len(words) > self.flags.shape[1]:
+            self.hashes, self.flags = (np.concatenate([x, np.zeros_like(x)], 1) for x in (self.hashes, self.flags))
         texts = [w.decode("utf-8", "surrogatepass") for w in words]
         forms = [canonical(w) for w in texts]
         at = slice(n, n + len(words))
         self.hashes[0, at] = mix(word_hashes([f[0] for f in forms]))
         self.hashes[1, at] = mix(word_hashes([raw(w) for w in texts]))
-        self.slots[at] = [bool(f[1]) for f in forms]
+        self.flags[0, at] = [bool(f[1]) for f in forms]
+        self.flags[1, at] = [loud(w) for w in texts]
         self.seen.update((w, n + i) for i, w in enumerate(words))
 
-    def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, slot flag and hash of the raw form of each word."""
+    def read(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Hash, slot flag, hash of the raw form and flag for capitals of each word."""
         if len(self.seen) > self.limit:
             self._reset()
         if new := list(set(words).difference(self.seen)):
             self._learn(new)
         at = np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
-        return self.hashes[0, at], self.slots[at], self.hashes[1, at]
+        return self.hashes[0, at], self.flags[0, at], self.hashes[1, at], self.flags[1, at]
 
 
 def split(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -115,18 +122,23 @@ class Rolled:
         return (self.sums[starts + size] - self.sums[starts]) * self.powers[starts + size - 1]
 
 
-def windows(read: tuple[np.ndarray, np.ndarray, np.ndarray], doc: np.ndarray, sizes: list[int], fixed: float):
-    """For each size the starts and hashes of the windows within one text that have enough words that are no slots, and those of the raw words of all other windows."""
-    hashes, slots, raws = read
-    filled, own, plain = np.concatenate([[0], np.cumsum(slots)]), Rolled(hashes), None
+def windows(read: tuple[np.ndarray, ...], doc: np.ndarray, sizes: list[int], fixed: float, every: bool = False):
+    """For each size the starts and hashes of the windows within one text that have enough words that are no slots, and those of the raw words of all others, of windows half of which stand in capitals, or of every window."""
+    hashes, slots, raws, capitals = read
+    sums = lambda flags: np.concatenate([[0], np.cumsum(flags, dtype=np.int32)])
+    filled, shouted = sums(slots), sums(capitals) if capitals.any() else None
+    own, plain = Rolled(hashes), None
     for size in sizes:
         n = max(0, len(hashes) - size + 1)
         whole = doc[:n] == doc[size - 1 :][:n]
         worded = filled[size : size + n] - filled[:n] <= (1 - fixed) * size
-        at, dense = np.flatnonzero(whole & worded), np.flatnonzero(whole & ~worded)
-        if len(dense) and plain is None:
+        also = ~worded | every
+        if shouted is not None:
+            also |= 2 * (shouted[size : size + n] - shouted[:n]) >= size
+        at, raw_at = np.flatnonzero(whole & worded), np.flatnonzero(whole & also)
+        if len(raw_at) and plain is None:
             plain = Rolled(raws)
-        yield size, at, mix(own.at(at, size) + np.uint64(size)), dense, mix(plain.at(dense, size) + np.uint64(size) + RAW) if len(dense) else np.zeros(0, np.uint64)
+        yield size, at, mix(own.at(at, size) + np.uint64(size)), raw_at, mix(plain.at(raw_at, size) + np.uint64(size) + RAW) if len(raw_at) else np.zeros(0, np.uint64)
 
 
 def item_windows(benchmark: DataFrame, limits: Limits) -> DataFrame:
@@ -141,15 +153,15 @@ def item_windows(benchmark: DataFrame, limits: Limits) -> DataFrame:
                 size = min(limits.window, len(words))
                 if size < 3:
                     continue
-                _, at, hashes, dense, raws = next(windows(canon.read(words), doc, [size], limits.fixed))
-                n = len(at) + len(dense)
+                _, at, hashes, every, raws = next(windows(canon.read(words), doc, [size], limits.fixed, True))
+                n = len(at) + len(every)
                 rows["size"] += [size] * n
                 rows["hash"] += np.concatenate([hashes, raws]).view(np.int64).tolist()
                 rows["item_id"] += [item] * n
-                rows["at"] += [*at.tolist(), *dense.tolist()]
-                rows["raw"] += [False] * len(at) + [True] * len(dense)
+                rows["at"] += [*at.tolist(), *every.tolist()]
+                rows["raw"] += [False] * len(at) + [True] * len(every)
                 rows["n_windows"] += [len(at)] * n
-                rows["n_all"] += [n] * n
+                rows["n_all"] += [len(every)] * n
             yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("size", pa.int32()), ("hash", pa.int64()), ("item_id", pa.int64()), ("at", pa.int32()), ("raw", pa.bool_()), ("n_windows", pa.int32()), ("n_all", pa.int32())]))
 
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -179,8 +191,8 @@ def window_hits(docs: DataFrame, items: DataFrame, limits: Limits) -> DataFrame:
         for piece in pieces(batches):
             words, doc, begin = split(piece.column(1).cast(pa.binary()).to_pylist())
             ids = piece.column(0)
-            for size, at, found, dense, raws in windows(canon.read(words), doc, sizes, limits.fixed):
-                at, found = (np.concatenate(x) for x in zip(sift(at, found), sift(dense, raws)))
+            for size, at, found, raw_at, raws in windows(canon.read(words), doc, sizes, limits.fixed):
+                at, found = (np.concatenate(x) for x in zip(sift(at, found), sift(raw_at, raws)))
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[at])), pa.array(np.full(len(at), size, np.int32)), pa.array(found.view(np.int64)), pa.array((at - begin[doc[at]]).astype(np.int32))], names=["doc_id", "size", "hash", "place"])
 
     rows = docs_of(docs)

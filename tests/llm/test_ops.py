@@ -292,7 +292,7 @@ def _leaking():
         item, other = q.format(a=a, b=b, c=c), q.format(a=x, b=y, c=z)
         items.append(item)
         around = lambda t: " ".join(r.choices(PROSE, k=60)).capitalize() + ". " + t + " " + " ".join(r.choices(PROSE, k=60))
-        found += [(i, t) for t in (item, other, _other_names(item), _other_names(other), around(other), around(_other_names(other)), item.replace(" and ", " plus ", 1), item.replace(" more ", " many more ", 1), "question: " + _other_names(other) + "\nanswer: 12", _other_names(other).replace(". ", ".\n"))]
+        found += [(i, t) for t in (item, other, _other_names(item), _other_names(other), around(other), around(_other_names(other)), item.replace(" and ", " plus ", 1), item.replace(" more ", " many more ", 1), "LOUD WORDS " + item.upper(), "question: " + _other_names(other) + "\nanswer: 12", _other_names(other).replace(". ", ".\n"))]
     dense = "Continue: 2, 4, 8, 16, 32, 64, 128, 256, 512 and say why"
     return [*items, dense], [*found, (len(items), "Now this: " + dense)]
 
@@ -326,25 +326,27 @@ def _leaks_by_rule(texts, items, limits=decontaminate.Limits()):
         size = min(limits.window, len(asked))
         parts = [asked[j : j + size] for j in range(len(asked) - size + 1)]
 
-        def key(window):
+        def keys_of(window, every):
             forms = [decontaminate.canonical(w) for w in window]
-            return ("raw", *map(decontaminate.raw, window)) if sum(bool(f[1]) for f in forms) > (1 - limits.fixed) * size else ("like", *(f[0] for f in forms))
+            worded = sum(bool(f[1]) for f in forms) <= (1 - limits.fixed) * size
+            out = {("like", *(f[0] for f in forms))} if worded else set()
+            return out | ({("raw", *map(decontaminate.raw, window))} if every or not worded or 2 * sum(map(decontaminate.loud, window)) >= size else set())
 
-        keys = [key(p) for p in parts]
-        n_like = sum(k[0] == "like" for k in keys)
+        keys = [keys_of(p, True) for p in parts]
+        n_like = sum(any(k[0] == "like" for k in ks) for ks in keys)
         for d, text in enumerate(texts):
             words = W.findall(text)
             hits = collections.defaultdict(set)
             for p in range(len(words) - size + 1):
-                k = key(words[p : p + size])
+                mine = keys_of(words[p : p + size], False)
                 for j, own in enumerate(keys):
-                    if k == own:
+                    for k in mine & own:
                         for band in ((p - j) // 8 * 2, (p - j + 4) // 8 * 2 + 1):
-                            hits[band].add((j, p - j))
+                            hits[band].add((j, p - j, k[0]))
             for some in hits.values():
-                like = len({j for j, _ in some if keys[j][0] == "like"})
-                enough = like >= max(1, math.ceil(n_like * limits.cover)) or len({j for j, _ in some}) >= max(1, math.ceil(len(keys) * limits.cover))
-                if enough and decontaminate.agreed(words, asked, list(some), size) is not None:
+                like = len({j for j, _, k in some if k == "like"})
+                enough = like >= max(1, math.ceil(n_like * limits.cover)) or len({j for j, *_ in some}) >= max(1, math.ceil(len(keys) * limits.cover))
+                if enough and decontaminate.agreed(words, asked, list({(j, s) for j, s, _ in some}), size) is not None:
                     out.add((d, i))
     return out
 
