@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import EngineError
+
 
 def _one(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
@@ -49,5 +51,17 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows, kept in the shared checkpoint folder, without the plan that made them."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints/lodeframe")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise EngineError("INVALID_CONFIG", "spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or f"{tempfile.gettempdir()}/checkpoints/lodeframe")
     return df.checkpoint()
+
+
+def batches(df: DataFrame, order: str, size: int) -> DataFrame:
+    """df with batch: the number of the group of ``size`` rows in the order. Rows are counted within range partitions first, so no task sees them all."""
+    sorted_ = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
+    placed = cut(sorted_.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(order))))
+    sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # one row for each partition
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return placed.join(F.broadcast(before.select("_p", "_before")), "_p").withColumn("batch", F.floor((F.col("_before") + F.col("_i") - 1) / size)).drop("_p", "_i", "_before")

@@ -147,51 +147,40 @@ def evidence_slice(facts: DataFrame, anchor: Anchor, direction: str = "both", in
 
 
 def flow(edges: DataFrame, start: Anchor, target: Anchor | None = None, direction: str = "forward", include: tuple[str, ...] = (), max_depth: int | None = None, max_nodes: int | None = None, time_budget_ms: int | None = None) -> tuple[list[dict], dict]:
-    """Segments of a breadth-first trace and its summary. edges: derived facts.
+    """Segments of a trace in breadth-first order and its summary. edges: derived facts.
 
-    Each step asks for the edges of one node with the node as a literal, so that filters reach the scan; the trace ends at the target, at the depth in segments, or at the number of nodes, all of which are capped.
+    A level is one query: the edges of all nodes of the frontier, ranked by their node's turn and then by their far end, as many as there is room for. So a trace takes as many queries as it has levels, and no more rows than the depth reach the driver: the depth bounds all segments, not a path. The frontier stands in the query as literals, so that it reaches the scan.
     """
-    depth, nodes = limit("depth", max_depth), limit("nodes", max_nodes)
+    room, nodes = limit("depth", max_depth), limit("nodes", max_nodes)
     until = None if time_budget_ms is None else time.monotonic() + limit("time_ms", time_budget_ms) / 1000
     known = [i for i in include if i in FLOW_INCLUDE]
-    limits = ["unsupported-include"] if len(known) < len(include) else []
     kinds = [k for i in known or FLOW_INCLUDE for k in FLOW_INCLUDE[i]]
-    usable = edges.filter(F.col("kind").isin(*kinds))
-    back = direction == "backward"
-    here, there = ("to", "from") if back else ("from", "to")
-    queue, visited, seen, segments = [(start.key, 0)], set(), set(), []
-    status = None
-    while queue and status is None:
-        at, level = queue.pop(0)
-        if level >= depth or at in visited:
-            continue
-        if len(visited) >= nodes or until is not None and time.monotonic() > until:
-            limits.append("budget")
+    here, there = ("to", "from") if direction == "backward" else ("from", "to")
+    usable = edges.filter(F.col("kind").isin(*kinds)).select("derived_fact_id", "kind", "path", "confidence", F.col(f"{here}_id").alias("here"), F.col(f"{there}_id").alias("there"), F.col(f"{there}_kind").alias("end_kind"), F.col(f"{there}_label").alias("end_label"))
+    segments: list[dict] = []
+    met, frontier, asked, status = {start.key}, [start.key], 0, None
+    while frontier and status is None:
+        turns = frontier[: nodes - asked]
+        if not turns or until is not None and time.monotonic() > until:
             status = "truncated"
             break
-        visited.add(at)
-        # a node's edges beyond those that the depth lets in can't matter: at most seen + depth of them are read
-        step = usable.filter(F.col(f"{here}_id") == at).orderBy(f"{there}_kind", f"{there}_label", "path", f"{there}_id", "derived_fact_id").limit(len(seen) + depth + 1).collect()
-        for e in step:
-            if e["derived_fact_id"] in seen:
-                continue
-            seen.add(e["derived_fact_id"])
-            segments.append({"seq": len(segments), "from_id": at, "to_id": e[f"{there}_id"], "kind": e["kind"], "path": e["path"], "confidence": e["confidence"], "edge_id": e["derived_fact_id"]})
-            if target is not None and e[f"{there}_id"] == target.key:
-                status = "complete"
-                break
-            if len(segments) >= depth or len(visited) >= nodes:
-                limits.append("budget")
-                status = "truncated"
-                break
-            if e[f"{there}_id"] not in visited:
-                queue.append((e[f"{there}_id"], level + 1))
-    if not segments:
-        limits.append("no-match")
-    if not include:
-        limits.append("coverage")
-    if status is None:
-        status = "ambiguous" if target is not None and segments else "partial"
+        turn = F.array_position(F.array(*map(F.lit, turns)), F.col("here"))
+        level = usable.filter(F.col("here").isin(*turns)).dropDuplicates(["derived_fact_id"]).withColumn("turn", turn)
+        rows = level.orderBy("turn", "end_kind", "end_label", "path", "there", "derived_fact_id").limit(room - len(segments)).collect()
+        if asked + len(frontier) >= nodes:  # the last node that may be asked gives one segment, and the trace ends there
+            last = [i for i, r in enumerate(rows) if r["turn"] == nodes - asked]
+            rows, status = (rows[: last[0] + 1], "truncated") if last else (rows, "truncated" if len(frontier) > len(turns) else None)
+        hits = [i for i, r in enumerate(rows) if target is not None and r["there"] == target.key]
+        if hits:
+            rows, status = rows[: hits[0] + 1], "complete"
+        segments += [{"seq": len(segments) + i, "from_id": r["here"], "to_id": r["there"], "kind": r["kind"], "path": r["path"], "confidence": r["confidence"], "edge_id": r["derived_fact_id"]} for i, r in enumerate(rows)]
+        if status is None and len(segments) >= room:
+            status = "truncated"
+        asked += len(turns)
+        frontier = [x for x in dict.fromkeys(r["there"] for r in rows) if x not in met]
+        met.update(frontier)
+    limits = ["unsupported-include"] * (len(known) < len(include)) + ["budget"] * (status == "truncated") + ["no-match"] * (not segments) + ["coverage"] * (not include)
+    status = status or ("ambiguous" if target is not None and segments else "partial")
     confidence = round(min([1.0, *(s["confidence"] for s in segments)]), 6) if segments else 0.0
     return segments, {"completeness": status, "confidence": confidence, "limitations": limits, "end": segments[-1]["to_id"] if segments else (target.key if target else None)}
 
@@ -208,23 +197,51 @@ def reachable(edges: DataFrame, start: str, depth: int = 4) -> DataFrame:
     return reduce(DataFrame.unionByName, rounds)
 
 
-def symbol_detail(symbols: DataFrame, facts: DataFrame, derived: DataFrame, path: str, name: str) -> dict[str, DataFrame]:
-    """The symbol and its relations: callers (edges out of it) and callees (edges into it) as the contract names them, exports, imports, references, contexts."""
+#: The payload key that labels each kind of context.
+CONTEXT_LABELS = {"symbol_export": "exportedName", "file_import": "specifier", "workflow": "workflowName", "workspace_task": "taskName", "quality_gate": "tool", "config_artifact": "artifactName"}
+REPOSITORY = ("workflow", "workspace_task", "quality_gate", "config_artifact")
+
+
+def contexts(facts: DataFrame, kinds: tuple[str, ...], name: str) -> DataFrame:
+    """fact_id, kind, path, evidence_id, label of the facts of some kinds with any payload value equal to the name; the label falls back to the kind."""
+    labels = F.create_map(*[F.lit(x) for kv in CONTEXT_LABELS.items() for x in kv])
+    hit = facts.filter(F.col("kind").isin(*kinds) & F.array_contains(F.map_values("payload"), name))
+    return hit.select("fact_id", "kind", "path", "evidence_id", F.coalesce(F.try_element_at("payload", F.try_element_at(labels, F.col("kind"))), F.col("kind")).alias("label"))
+
+
+def graph_contexts(nodes: DataFrame, name: str) -> DataFrame:
+    """Nodes of symbols and tasks that carry the name."""
+    return nodes.filter(F.col("kind").isin("Symbol", "Task") & (F.col("label") == name))
+
+
+def matching_symbols(symbols: DataFrame, path: str, name: str) -> DataFrame:
+    """Symbols of one path with exactly this name, with their confidence, in order of rank."""
     rows = symbols.filter((F.col("path") == path) & (F.col("name") == name)).withColumn("confidence", F.when(F.col("signature").isNotNull(), 0.95).otherwise(0.75))
-    top = rows.orderBy(F.desc("confidence"), "start_line").limit(2).collect()
+    return rows.orderBy(F.desc("confidence"), "start_line", "evidence_id")
+
+
+def relations(derived: DataFrame, key: str, end: str, kinds: tuple[str, ...] = CALLS) -> DataFrame:
+    """Derived facts of some kinds with the symbol at one end: from (callers, as the contract names edges out of it) or to (callees)."""
+    return derived.filter(F.col("kind").isin(*kinds) & (F.col(f"{end}_id") == key))
+
+
+def symbol_detail(symbols: DataFrame, facts: DataFrame, derived: DataFrame, path: str, name: str, nodes: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The symbol, its callers and callees, exports, imports, references, repository contexts and, with graph nodes, its tests. Two symbols of equal confidence are ambiguous."""
+    rows = matching_symbols(symbols, path, name)
+    top = rows.limit(2).collect()
     if not top:
         raise EngineError("SYMBOL_NOT_FOUND", f"no symbol {name} in {path}")
     if len(top) > 1 and top[0]["confidence"] == top[1]["confidence"]:
         raise EngineError("AMBIGUOUS_SYMBOL", f"several symbols {name} in {path}")
     key = top[0]["evidence_id"]
-    by_name = lambda kind: facts.filter((F.col("kind") == kind) & F.array_contains(F.map_values("payload"), name))
-    best = facts.filter((F.col("kind") == "symbol_definition") & (payload("name") == name)).agg(F.max("confidence").alias("c"))
-    return {
-        "symbol": rows.filter(F.col("evidence_id") == key).crossJoin(best).withColumn("confidence", F.greatest("confidence", "c")).drop("c"),
-        "callers": derived.filter(F.col("kind").isin(*CALLS) & (F.col("from_id") == key)),
-        "callees": derived.filter(F.col("kind").isin(*CALLS) & (F.col("to_id") == key)),
-        "references": derived.filter(F.col("kind").isin(*REFERENCES) & (F.col("from_id") == key)),
-        "exports": by_name("symbol_export"),
-        "imports": by_name("file_import"),
-        "contexts": facts.filter(F.col("kind").isin("workflow", "workspace_task", "quality_gate", "config_artifact") & F.array_contains(F.map_values("payload"), name)),
+    best = facts.filter((F.col("kind") == "symbol_definition") & (payload("name") == name)).agg(F.max("confidence").alias("c"))  # one row
+    out = {
+        "symbol": rows.filter(F.col("evidence_id") == key).join(F.broadcast(best)).withColumn("confidence", F.greatest("confidence", "c")).drop("c"),
+        "callers": relations(derived, key, "from"),
+        "callees": relations(derived, key, "to"),
+        "references": relations(derived, key, "from", REFERENCES),
+        "exports": contexts(facts, ("symbol_export",), name),
+        "imports": contexts(facts, ("file_import",), name),
+        "contexts": contexts(facts, REPOSITORY, name),
     }
+    return out if nodes is None else out | {"tests": graph_contexts(nodes, name)}

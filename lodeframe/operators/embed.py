@@ -20,8 +20,8 @@ def fit(vector: Column, dims: int) -> Column:
     return F.slice(F.concat(vector, F.array_repeat(F.lit(0.0), dims)), 1, dims)
 
 
-def embed_with(chunks: DataFrame, model: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = 16) -> DataFrame:
-    """chunks with embedding from a model that each task makes once."""
+def embed_with(chunks: DataFrame, model: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = 16, dims: int | None = None) -> DataFrame:
+    """chunks with embedding from a model that each task makes once and asks for so many texts at a time; vectors are fitted to ``dims`` if given."""
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = model()
@@ -29,7 +29,9 @@ def embed_with(chunks: DataFrame, model: Callable[[], Callable[[list[str]], list
             texts = part.tolist()
             yield pd.Series([v for i in range(0, len(texts), batch) for v in encode(texts[i : i + batch])])
 
-    return chunks.withColumn("embedding", F.pandas_udf(run, "array<double>")("content"))
+    vector = F.pandas_udf(run, "array<double>")("content")
+    out = chunks.withColumn("embedding", vector)
+    return out if dims is None else out.withColumn("embedding", fit(F.col("embedding"), dims))
 
 
 def attach(chunks: DataFrame, vectors: DataFrame) -> DataFrame:

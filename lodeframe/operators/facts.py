@@ -99,8 +99,13 @@ def _ends(a_id, a_kind, b_id, b_kind) -> dict:
     return {"from_id": lit(a_id), "from_kind": lit(a_kind), "from_label": lit(a_id), "to_id": lit(b_id), "to_kind": lit(b_kind), "to_label": lit(b_id)}
 
 
+def crowded(symbols: DataFrame, most: int) -> DataFrame:
+    """path and n of files with more than ``most`` symbols, whose pairs would be too many."""
+    return symbols.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
+
+
 def symbol_pairs(symbols: DataFrame) -> DataFrame:
-    """All ordered pairs of distinct symbols of a file as reference candidates, and those of two functions as call candidates too. The contract is all pairs within a file; files bound it."""
+    """All ordered pairs of distinct symbols of a file as reference candidates, and those of two functions as call candidates too. The contract is all pairs within a file; :func:`crowded` tells the files that are too large for it."""
     a = symbols.select("path", F.col("evidence_id").alias("a"), F.col("name").alias("an"), F.col("kind").alias("ak"))
     b = symbols.select("path", F.col("evidence_id").alias("b"), F.col("name").alias("bn"), F.col("kind").alias("bk"))
     pairs = a.join(b, "path").filter("a <> b")
@@ -119,7 +124,7 @@ def derive(facts: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
     run = F.when(p("command").rlike(NPM_RUN), F.regexp_extract(p("command"), NPM_RUN, 1))
     imports = of("file_import")
     package = p("isPackage") == "true"
-    jobs = steps.unionByName(steps).transform(lambda _: steps.withColumn("_job", F.explode(F.array(F.lit(True), F.lit(False)))))
+    jobs = steps.withColumn("_job", F.explode(F.array(F.lit(True), F.lit(False))))
     parts = [
         derived(of("symbol_definition"), "symbol-defined-in-file", **_ends(p("name"), "Symbol", F.col("path"), "File")),
         derived(of("symbol_export"), "symbol-exported-from-file", **_ends(p("exportedName"), "Symbol", F.col("path"), "File")),
@@ -139,3 +144,8 @@ def derive(facts: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
     if symbols is not None:
         every = every.unionByName(symbol_pairs(symbols))
     return every.dropDuplicates(["derived_fact_id"])
+
+
+def kind_counts(derived: DataFrame) -> DataFrame:
+    """kind, n, paths, total (of the confidence) of each kind of derived fact."""
+    return derived.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("path").alias("paths"), F.round(F.sum("confidence"), 3).alias("total"))

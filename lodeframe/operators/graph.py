@@ -76,6 +76,11 @@ def edges_by_node(edges: DataFrame, node: str) -> DataFrame:
     return edges.filter((F.col("from_node_id") == node) | (F.col("to_node_id") == node))
 
 
+def by_path(rows: DataFrame, path: str) -> DataFrame:
+    """Nodes or edges of one path."""
+    return rows.filter(F.col("path") == path)
+
+
 def edges_by_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges that touch any of a table of nodes: two equality joins, an edge once."""
     some = nodes.select(F.col("node_id").alias("_n")).distinct()

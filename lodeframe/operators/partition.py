@@ -60,8 +60,13 @@ def partition_documents(docs: DataFrame) -> DataFrame:
     index = F.row_number().over(Window.partitionBy("path").orderBy("place", "a")) - 1
     docs_cut = slices.withColumn("index", index).select("path", "index", "content", none.alias("start_line"), none.alias("end_line"), F.when(F.char_length("part") <= F.col("limit"), F.col("place")).otherwise(F.col("index")).alias("doc_offset"), section_title(F.col("part")).alias("section"), F.lit(True).alias("cut"))
     every = small.unionByName(code).unionByName(docs_cut)
+    if "parse_error" in docs.columns:  # a file that could not be parsed is searched by its text alone
+        bad = docs.filter(F.col("parse_error").isNotNull()).select("path", F.lit(True).alias("bad"))
+        every = every.join(bad, "path", "left")
+    else:
+        every = every.withColumn("bad", F.lit(None).cast("boolean"))
     total = F.count(F.lit(1)).over(Window.partitionBy("path"))
-    return every.withColumn("total", total).withColumn("status", F.when(F.col("cut") & (F.col("index") == 0), "partial").otherwise("complete")).withColumn("partition_id", F.concat_ws(":", "path", F.col("index").cast("string"))).drop("cut")
+    return every.withColumn("total", total).withColumn("status", F.when(F.col("bad"), "degraded").when(F.col("cut") & (F.col("index") == 0), "partial").otherwise("complete")).withColumn("partition_id", F.concat_ws(":", "path", F.col("index").cast("string"))).drop("cut", "bad")
 
 
 #: Precedence of partition states.
@@ -72,3 +77,11 @@ def status_rollup(partitions: DataFrame) -> DataFrame:
     """path and the state that takes precedence among its partitions."""
     rank = F.array_position(F.array(*map(F.lit, STATUS_ORDER)), F.col("status"))
     return partitions.groupBy("path").agg(F.min_by("status", rank).alias("status"))
+
+
+def merge_parsed(parts: DataFrame, arrays: tuple[str, ...], firsts: tuple[str, ...] = ("language", "package_name")) -> DataFrame:
+    """One row per path from the parsed partitions of it (path, index, arrays and values): arrays one after another in the order of partitions, of each value the first that isn't null."""
+    ordered = F.sort_array(F.collect_list(F.struct("index", *(F.col(c) for c in (*arrays, *firsts)))))
+    whole = parts.groupBy("path").agg(ordered.alias("p"))
+    known = lambda c: F.transform(F.filter("p", lambda x: x[c].isNotNull()), lambda x: x[c])
+    return whole.select("path", *(F.flatten(known(c)).alias(c) for c in arrays), *(F.try_element_at(known(c), F.lit(1)).alias(c) for c in firsts))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,26 +23,34 @@ def score(distance: Column) -> Column:
     return F.when(distance.isNull() | F.isnan(distance) | (distance < 0), 0.0).otherwise(1.0 / (1.0 + distance))
 
 
-def search(chunks: DataFrame, query: list[float], k: int = DEFAULT_K) -> DataFrame:
-    """The k nearest chunks with distance and score; ties go to context artifacts, then to the lesser chunk_key. Only k rows per partition are shuffled."""
+def search(chunks: DataFrame, query: list[float] | None, k: int = DEFAULT_K, embed: Callable[[], list[float]] | None = None) -> DataFrame:
+    """The k nearest chunks with distance and score, ties to the lesser chunk_key, then in order of rank: score, context artifacts first, chunk_key. Only k rows of a partition are shuffled. Without a vector ``embed`` is asked for one, unless k lets nothing through."""
     if k <= 0:
         return chunks.limit(0).withColumns({"distance": F.lit(0.0), "score": F.lit(0.0)})
-    vector = F.array(*[F.lit(float(x)) for x in query])
+    vector = F.array(*[F.lit(float(x)) for x in (embed() if query is None else query)])
     near = chunks.withColumn("distance", squared_distance(F.col("embedding"), vector)).withColumn("score", score(F.col("distance")))
-    return near.orderBy(*ranking()).limit(k)
+    return near.orderBy(*nearest()).limit(k).orderBy(*ranking())
+
+
+def nearest() -> list[Column]:
+    return [F.desc("score"), F.asc("chunk_key")]
 
 
 def ranking() -> list[Column]:
     return [F.desc("score"), F.desc(F.col("artifact_kind").isin(*CONTEXT_KINDS)), F.asc("chunk_key")]
 
 
-def search_each(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_K, most_queries: int = 100_000) -> DataFrame:
-    """query_id, rank and the k nearest chunks for a stated set of queries (query_id, vector) of checked size; the rank limit cuts each partition before the shuffle."""
-    if queries.count() > most_queries:
-        raise EngineError("INVALID_INPUT", f"more than {most_queries} queries")
-    pairs = chunks.crossJoin(F.broadcast(queries)).withColumn("distance", squared_distance(F.col("embedding"), F.col("vector"))).withColumn("score", score(F.col("distance"))).drop("vector", "embedding")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*ranking()))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
+def search_each(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_K, block_bytes: int = 16 << 20) -> DataFrame:
+    """query_id, rank and the k nearest chunks for a stated set of queries (query_id, vector). Queries are taken in blocks of so many bytes, each broadcast by itself; the rank limit cuts each partition before the shuffle."""
+    n, dims = queries.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    blocks = max(1, -(-(n * (8 * (dims or 0) + 64)) // block_bytes))
+    found = []
+    for i in range(blocks):
+        some = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        pairs = chunks.crossJoin(F.broadcast(some)).withColumn("distance", squared_distance(F.col("embedding"), F.col("vector"))).withColumn("score", score(F.col("distance"))).drop("vector", "embedding")
+        near = F.row_number().over(Window.partitionBy("query_id").orderBy(*nearest()))
+        found.append(pairs.withColumn("rank", near).filter(F.col("rank") <= k))
+    return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*ranking())))
 
 
 def validate(query: str, k: int | None) -> tuple[str, int]:

@@ -76,3 +76,9 @@ def ranked(symbols: DataFrame, query: str | None = None, kind: str | None = None
     points = 1000 * same("name", query) + 100 * same("path", path) + 10 * same("kind", kind)
     out = out.withColumn("confidence", sure).withColumn("score", points + F.col("confidence"))
     return out.orderBy(F.desc("score"), F.desc("confidence"), "path", "start_line", "kind", "name")
+
+
+def ambiguous(symbols: DataFrame) -> DataFrame:
+    """path, name, n, ambiguous: how many symbols of a file share a name."""
+    n = F.count(F.lit(1))
+    return symbols.groupBy("path", "name").agg(n.alias("n"), (n > 1).alias("ambiguous"))

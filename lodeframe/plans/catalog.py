@@ -10,6 +10,7 @@ from ..operators import analysis, chunk, embed, facts, graph, parse, partition,
 from ..operators.analysis import Anchor
 from ..sources import scan
 from ..streaming import watch
+from ..streaming.state import State
 from .corpus import duck_with, view
 
 _QUERIES: dict = {}
@@ -28,10 +29,13 @@ def query(sql: str | None = None, *views: str, name: str | None = None):
 
 
 def queries() -> dict:
+    from . import inventory  # noqa: F401 - registers its queries here
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -148,10 +152,18 @@ def json_props(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query(PKG + " SELECT path, 'package-script' AS tool, b AS name, 'eslint' AS command FROM f")
+FLOWS = """, fl AS (SELECT '.github/workflows/' || s_suppkey || '.yml' AS path, 'test ' || s_nationkey AS name, 'npm run test:' || s_suppkey AS command, 'test:' || s_suppkey AS script_name FROM supplier UNION ALL SELECT '.github/workflows/' || s_suppkey || '.yml', 'make all', 'make all', NULL FROM supplier)"""
+
+
+def _flow_steps(spark, d):
+    s = table(spark, d, "supplier")
+    text_ = F.concat(F.lit("jobs:\n  - name: test "), F.col("s_nationkey"), F.lit("\n    run: npm run test:"), F.col("s_suppkey"), F.lit("\r\n    run: make all\n"))
+    return parse.workflow_steps(parse.document_lines(s.select(F.concat(F.lit(".github/workflows/"), F.col("s_suppkey"), F.lit(".yml")).alias("path"), text_.alias("content"))))
+
+
+@query(PKG + FLOWS + " SELECT path, 'package-script' AS tool, b AS name, 'eslint' AS command FROM f UNION ALL SELECT path, 'workflow-step', name, command FROM fl")
 def quality_gate_filter(spark, d):
-    scripts = parse.package_scripts(_packages(spark, d))
-    return parse.quality_gates(scripts, parse.workflow_steps(parse.document_lines(_packages(spark, d).limit(0)))).select("path", "tool", "name", "command")
+    return parse.quality_gates(parse.package_scripts(_packages(spark, d)), _flow_steps(spark, d)).select("path", "tool", "name", "command")
 
 
 def _flow_lines(spark, d):
@@ -201,9 +213,10 @@ def chunk_partition_range_join(spark, d):
     many = docs.join(parts.select("path").distinct(), "path", "left_semi")
     n = F.size(F.split("content", "\n"))
     spans = many.select("path", n.alias("n"), F.explode(F.sequence(F.lit(1), n, F.lit(7))).alias("start_line")).select("path", "start_line", F.least(F.col("start_line") + 2, F.col("n")).alias("end_line"))
-    fits = parts.select("path", F.col("index").alias("i"), F.col("start_line").alias("a"), F.col("end_line").alias("b"))
-    hit = spans.join(fits, (spans.path == fits.path) & (spans.start_line >= fits.a) & (spans.end_line <= fits.b), "left").select(spans.path, "start_line", "end_line", "i")
-    return hit.groupBy("path", "start_line", "end_line").agg(F.coalesce(F.min("i"), F.lit(-1)).cast("long").alias("partition_index")).select("path", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "partition_index")
+    none = F.lit(None)
+    pieces = spans.withColumns({"chunk_key": F.concat_ws(":", "path", F.col("start_line").cast("string")), "doc_offset": none.cast("int"), "section": none.cast("string")})
+    hit = chunk.attribute(pieces, partition.partition_documents(docs))
+    return hit.select("path", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.coalesce("partition_index", F.lit(-1)).cast("long").alias("partition_index"))
 
 
 @query("SELECT doc_id, i::BIGINT AS i, round(CAST('0x' || substr(sha256(text), 2 * i + 1, 2) AS INTEGER) / 255.0, 6)::DOUBLE AS x FROM documents, range(16) r(i)")
@@ -212,11 +225,11 @@ def embed_deterministic(spark, d):
     return docs.select("doc_id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
-@query("SELECT vec_id, i::BIGINT AS i, round(CASE WHEN i <= 64 THEN embedding[i] ELSE 0 END::DOUBLE, 5) AS x FROM embeddings, range(1, 81) r(i) WHERE vec_id % 2 = 0 UNION ALL SELECT vec_id, i, round(embedding[i]::DOUBLE, 5) FROM embeddings, range(1, 33) r(i) WHERE vec_id % 2 = 1")
+@query("SELECT vec_id, i::BIGINT AS i, round(CASE WHEN i <= 64 THEN embedding[i] ELSE 0 END::DOUBLE, 5) + 0.0 AS x FROM embeddings, range(1, 81) r(i) WHERE vec_id % 2 = 0 UNION ALL SELECT vec_id, i, round(embedding[i]::DOUBLE, 5) + 0.0 FROM embeddings, range(1, 33) r(i) WHERE vec_id % 2 = 1")
 def embed_dim_fit(spark, d):
     e = table(spark, d, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
     fitted = F.when(F.col("vec_id") % 2 == 0, embed.fit(F.col("v"), 80)).otherwise(embed.fit(F.col("v"), 32))
-    return e.select("vec_id", F.posexplode(fitted).alias("i", "x")).select("vec_id", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 5).alias("x"))
+    return e.select("vec_id", F.posexplode(fitted).alias("i", "x")).select("vec_id", (F.col("i") + 1).cast("long").alias("i"), (F.round("x", 5) + 0.0).alias("x"))  # no negative zero
 
 
 @query("SELECT l.doc_id AS evidence_id, coalesce(len(e.embedding), 0)::BIGINT AS dims FROM labels l LEFT JOIN embeddings e ON l.doc_id = e.vec_id AND e.label < 5")
@@ -236,12 +249,12 @@ def _vector(spark, d):
     return [float(x) for x in table(spark, d, "embeddings").filter("vec_id = 0").first()["embedding"]]
 
 
-@query(KNN + " SELECT chunk_key, round(distance, 6) AS distance FROM t ORDER BY score DESC, ctx DESC, chunk_key LIMIT 10", "v_chunks")
+@query(KNN + " SELECT chunk_key, round(distance, 6) AS distance FROM t ORDER BY score DESC, chunk_key LIMIT 10", "v_chunks")
 def knn_topk(spark, d):
     return retrieve.search(view(spark, d, "v_chunks"), _vector(spark, d), 10).select("chunk_key", F.round("distance", 6).alias("distance"))
 
 
-@query(KNN + " SELECT chunk_key, path, artifact_kind, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, ctx DESC, chunk_key)::BIGINT AS place FROM t ORDER BY score DESC, ctx DESC, chunk_key LIMIT 50", "v_chunks")
+@query(KNN + " SELECT chunk_key, path, artifact_kind, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, ctx DESC, chunk_key)::BIGINT AS place FROM (SELECT * FROM t ORDER BY score DESC, chunk_key LIMIT 50)", "v_chunks")
 def knn_scored_reranked(spark, d):
     from pyspark.sql import Window
 
@@ -250,7 +263,7 @@ def knn_scored_reranked(spark, d):
     return top.select("chunk_key", "path", "artifact_kind", F.round("score", 6).alias("score"), place.alias("place"))
 
 
-@query(f"+ q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT v.*, query_id, {DIST} AS distance FROM v_chunks v, q), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY 1 / (1 + distance) DESC, {CTX} DESC, chunk_key) AS rank FROM s) SELECT query_id, chunk_key, rank::BIGINT AS rank FROM t WHERE rank <= 10", "v_chunks")
+@query(f"+ q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT v.*, query_id, {DIST} AS distance FROM v_chunks v, q), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY 1 / (1 + distance) DESC, chunk_key) AS near FROM s) SELECT query_id, chunk_key, row_number() OVER (PARTITION BY query_id ORDER BY 1 / (1 + distance) DESC, {CTX} DESC, chunk_key)::BIGINT AS rank FROM t WHERE near <= 10", "v_chunks")
 def knn_batch_queries(spark, d):
     q = table(spark, d, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return retrieve.search_each(view(spark, d, "v_chunks"), q, 10).select("query_id", "chunk_key", F.col("rank").cast("long").alias("rank"))
@@ -317,8 +330,7 @@ def symbols_filtered(spark, d):
 
 @query(" SELECT path, name, count(*)::BIGINT AS n, (count(*) > 1)::BOOLEAN AS ambiguous FROM v_symbols GROUP BY path, name", "v_symbols")
 def symbol_ambiguous(spark, d):
-    n = F.count(F.lit(1))
-    return view(spark, d, "v_symbols").groupBy("path", "name").agg(n.alias("n"), (n > 1).alias("ambiguous"))
+    return symbols.ambiguous(view(spark, d, "v_symbols"))
 
 
 # -- facts ------------------------------------------------------------------
@@ -344,7 +356,7 @@ def fact_file_import(spark, d):
 def _pkg_facts(spark, d):
     docs = _packages(spark, d)
     scripts = parse.package_scripts(docs)
-    gates = parse.quality_gates(scripts, parse.workflow_steps(parse.document_lines(docs.limit(0))))
+    gates = parse.quality_gates(scripts, _flow_steps(spark, d))
     return facts.settle_facts(facts.package_dependencies(parse.package_dependencies(docs)), facts.package_scripts(scripts), facts.workspace_tasks(scripts), facts.quality_gates(gates))
 
 
@@ -358,7 +370,7 @@ def fact_package_script(spark, d):
     return _pkg_facts(spark, d).filter("kind = 'package_script'").select("fact_id", "path", facts.payload("scriptName").alias("name"), facts.payload("command").alias("command"))
 
 
-@query(PKG + " SELECT sha256(path || ':quality_gate:package-script:eslint') AS fact_id, path, 'eslint' AS command, b AS script FROM f")
+@query(PKG + FLOWS + " SELECT sha256(path || ':quality_gate:package-script:eslint') AS fact_id, path, 'eslint' AS command, b AS script FROM f UNION ALL SELECT sha256(path || ':quality_gate:workflow-step:' || command), path, command, script_name FROM fl")
 def fact_quality_gate(spark, d):
     return _pkg_facts(spark, d).filter("kind = 'quality_gate'").select("fact_id", "path", facts.payload("command").alias("command"), facts.payload("scriptName").alias("script"))
 
@@ -384,11 +396,12 @@ def derived_imports(spark, d):
     return facts.derive(facts.settle_facts(facts.file_imports(_links(spark, d)))).select("derived_fact_id", "kind", "from_id", "to_id")
 
 
-DERIVED_PKG = PKG + f""", e AS (
+DERIVED_PKG = PKG + FLOWS + f""", e AS (
   SELECT path, 'package-depends-on-package' AS kind, package_name AS a, 'Package' AS ak, 'd' || split_part(b, ':', 2) AS b, 'Package' AS bk FROM f UNION ALL SELECT path, 'package-depends-on-package', package_name, 'Package', 'e' || (c_custkey % 3), 'Package' FROM f
   UNION ALL SELECT path, 'task-runs-command', a, 'Task', 'npm run ' || b, 'Command' FROM f UNION ALL SELECT path, 'task-runs-command', b, 'Task', 'eslint', 'Command' FROM f
   UNION ALL SELECT path, 'quality-gate-runs-command', 'package-script', 'QualityGate', 'eslint', 'Command' FROM f UNION ALL SELECT path, 'quality-gate-runs-script-candidate', 'package-script', 'QualityGate', b, 'PackageScript' FROM f
-  UNION ALL SELECT path, 'quality-gate-runs-script-candidate', a, 'PackageScript', b, 'PackageScript' FROM f)
+  UNION ALL SELECT path, 'quality-gate-runs-script-candidate', a, 'PackageScript', b, 'PackageScript' FROM f
+  UNION ALL SELECT path, 'quality-gate-runs-command', 'workflow-step', 'QualityGate', command, 'Command' FROM fl UNION ALL SELECT path, 'quality-gate-runs-script-candidate', 'workflow-step', 'QualityGate', script_name, 'PackageScript' FROM fl WHERE script_name IS NOT NULL)
   SELECT sha256(path || ':' || kind || ':' || {JSON}) AS derived_fact_id, kind, path, a AS from_id, b AS to_id FROM e"""
 
 
@@ -399,7 +412,7 @@ def derived_package_facts(spark, d):
 
 @query(" SELECT kind, count(*)::BIGINT AS n, count(DISTINCT path)::BIGINT AS paths, round(sum(confidence), 3)::DOUBLE AS total FROM v_facts GROUP BY kind", "v_facts")
 def derived_kind_counts(spark, d):
-    return view(spark, d, "v_facts").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("path").alias("paths"), F.round(F.sum("confidence"), 3).alias("total"))
+    return facts.kind_counts(view(spark, d, "v_facts"))
 
 
 # -- sets -------------------------------------------------------------------
@@ -417,17 +430,17 @@ for _s in ("unchanged", "changed", "new", "stale"):
     query(DIFF + f"'{_s}'", "v_manifest_now", "v_manifest_old", name=f"manifest_{_s}")(_diff(_s))
 
 
-@query("+ n AS (SELECT path, fingerprint FROM v_manifest_now WHERE doc_id % 3 = 0) SELECT path, fingerprint FROM v_manifest_old WHERE path NOT IN (SELECT path FROM n) UNION ALL SELECT * FROM n", "v_manifest_now", "v_manifest_old")
+@query("+ n AS (SELECT path, fingerprint FROM v_manifest_now) SELECT path, fingerprint FROM v_manifest_old WHERE path NOT IN (SELECT path FROM n) UNION ALL SELECT * FROM n", "v_manifest_now", "v_manifest_old")
 def upsert_by_path(spark, d):
-    new = view(spark, d, "v_manifest_now").filter("doc_id % 3 = 0").select("path", "fingerprint")
+    new = view(spark, d, "v_manifest_now").select("path", "fingerprint")
     return rows.replace_by_path(view(spark, d, "v_manifest_old").select("path", "fingerprint"), new)
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'M' ELSE o_orderstatus END AS status FROM orders WHERE o_orderkey % 4 = 0 OR o_orderkey % 2 = 1")
+@query("SELECT coalesce(n.k, o.k) AS k, coalesce(n.v, o.v) AS v FROM (SELECT o_orderkey AS k, o_orderstatus AS v FROM orders) o FULL JOIN (SELECT o_orderkey + 1000 AS k, 'M' AS v FROM orders) n ON o.k = n.k")
 def merge_by_key(spark, d):
     o = table(spark, d, "orders")
-    old = o.filter("o_orderkey % 2 = 1 OR o_orderkey % 8 = 0").select("o_orderkey", F.col("o_orderstatus").alias("status"))
-    return rows.merge_by_key(old, o.filter("o_orderkey % 4 = 0").select("o_orderkey", F.lit("M").alias("status")), "o_orderkey")
+    old, new = o.select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v")), o.select((F.col("o_orderkey") + 1000).alias("k"), F.lit("M").alias("v"))
+    return rows.merge_by_key(old, new, "k")
 
 
 # -- graph ------------------------------------------------------------------
@@ -460,7 +473,7 @@ def edges_by_node(spark, d):
 
 @query(EDGE + " SELECT * FROM g WHERE path = 'src/s.ts'", "v_facts")
 def graph_by_path(spark, d):
-    return _edges(spark, d).filter("path = 'src/s.ts'")
+    return graph.by_path(_edges(spark, d), "src/s.ts")
 
 
 OVER = "+ o AS (SELECT CASE kind WHEN 'caller-callee-candidate' THEN 'cfg' WHEN 'symbol-references-symbol-candidate' THEN 'data_flow' ELSE 'pdg_lite' END AS overlay, CASE kind WHEN 'caller-callee-candidate' THEN 'cfg-next' WHEN 'symbol-references-symbol-candidate' THEN 'data-flow' ELSE kind END AS k, * FROM v_facts WHERE kind IN ('caller-callee-candidate', 'symbol-references-symbol-candidate', 'file-imports-file', 'file-imports-package', 'workflow-runs-package-script-candidate', 'quality-gate-runs-script-candidate', 'config-selects-entrypoint-candidate'))"
@@ -532,7 +545,7 @@ query((SLICE + SLICED + "m WHERE side = 'to' ORDER BY derived_fact_id LIMIT 40")
 query((SLICE + ", t AS (SELECT path FROM m GROUP BY path ORDER BY min(derived_fact_id), path LIMIT 5), s AS (SELECT * FROM m WHERE path IN (SELECT path FROM t) ORDER BY derived_fact_id LIMIT 40)" + SLICED + "s").format(a="N3"), "v_facts", name="slice_max_files")(_slice("N3", max_files=5))
 
 
-ENTRY = PKG + """, s AS (SELECT path, a AS name FROM f UNION ALL SELECT path, b FROM f), e AS (SELECT path, name, 'script' AS kind, 1.0 AS c, sha256(path || ':package_script:' || name) AS o FROM s UNION ALL SELECT path, name, 'worker', 0.9, sha256(path || ':workspace_task:' || name) FROM s UNION ALL SELECT path, b, 'test', 0.95, sha256(path || ':quality_gate:package-script:eslint') FROM f),
+ENTRY = PKG + FLOWS + """, s AS (SELECT path, a AS name FROM f UNION ALL SELECT path, b FROM f), e AS (SELECT path, name, 'script' AS kind, 1.0 AS c, sha256(path || ':package_script:' || name) AS o FROM s UNION ALL SELECT path, name, 'worker', 0.9, sha256(path || ':workspace_task:' || name) FROM s UNION ALL SELECT path, b, 'test', 0.95, sha256(path || ':quality_gate:package-script:eslint') FROM f UNION ALL SELECT path, coalesce(script_name, 'workflow-step'), 'test', 0.95, sha256(path || ':quality_gate:workflow-step:' || command) FROM fl),
   k AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY kind, path, name ORDER BY o) = 1)"""
 
 
@@ -547,7 +560,7 @@ def entrypoints_filtered(spark, d):
 
 
 def _flow(spark, d, *args, **options):
-    segments, summary = analysis.flow(view(spark, d, "v_facts").persist(), *args, **options)
+    segments, summary = analysis.flow(view(spark, d, "v_facts"), *args, **options)
     rows_ = [(int(s["seq"]), s["from_id"], s["to_id"], s["kind"], float(s["confidence"])) for s in segments]
     return spark.createDataFrame(rows_, "seq long, from_id string, to_id string, kind string, confidence double"), summary
 
@@ -570,11 +583,12 @@ def flow_target(spark, d):
     return _flow(spark, d, Anchor("package", "?", id="N3"), Anchor("package", "?", id=f"R{region}"), include=("config", "imports"))[0]
 
 
-@query("SELECT 'complete' AS completeness, 1.0::DOUBLE AS confidence")
+@query("+ f AS (SELECT * FROM v_facts WHERE from_id = 'O5' AND kind IN ('caller-callee-candidate', 'symbol-exported-from-file')) SELECT CASE WHEN (SELECT count(*) FROM f) = 0 THEN 'partial' ELSE 'truncated' END AS completeness, coalesce((SELECT round(min(confidence), 6) FROM (SELECT confidence FROM f LIMIT 4)), 0)::DOUBLE AS confidence UNION ALL SELECT 'complete', round(min(confidence), 6)::DOUBLE FROM v_facts WHERE from_id = 'N3' AND kind = 'package-depends-on-package'", "v_facts")
 def flow_confidence(spark, d):
     region = table(spark, d, "nation").filter("n_nationkey = 3").first()["n_regionkey"]
     summary = _flow(spark, d, Anchor("package", "?", id="N3"), Anchor("package", "?", id=f"R{region}"), include=("config",))[1]
-    return spark.createDataFrame([(summary["completeness"], float(summary["confidence"]))], "completeness string, confidence double")
+    other = _flow(spark, d, Anchor("symbol", "?", id="O5"), include=("calls", "exports"))[1]
+    return spark.createDataFrame([(x["completeness"], float(x["confidence"])) for x in (summary, other)], "completeness string, confidence double")
 
 
 @query("+ e AS MATERIALIZED (SELECT DISTINCT from_id, to_id FROM v_facts), r AS (WITH RECURSIVE w AS (SELECT 'O5' AS node, 0 AS depth UNION SELECT f.to_id, depth + 1 FROM w JOIN e f ON f.from_id = w.node WHERE depth < 4) SELECT node, min(depth)::BIGINT AS depth FROM w GROUP BY node) SELECT * FROM r", "v_facts")
@@ -589,7 +603,8 @@ LAST = "SELECT user_id, max_by(event_type, (ts, event_id)) AS state, max_by(even
 @query(f"WITH l AS ({LAST}) SELECT user_id, state, state IN ('error', 'purchase') AS needs_reindex FROM l")
 def status_needs_reindex(spark, d):
     last = table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"))
-    return last.select("user_id", "state", F.col("state").isin("error", "purchase").alias("needs_reindex"))
+    none = F.lit(False)
+    return last.select("user_id", "state", State.needs_reindex(F.col("state") == "purchase", none, F.col("state"), none).alias("needs_reindex"))
 
 
 @query("+ x AS (SELECT n.path AS a, o.path AS b, n.fingerprint = o.fingerprint AS same FROM v_manifest_now n FULL JOIN v_manifest_old o ON n.path = o.path) SELECT count(a)::BIGINT AS files_total, count(*) FILTER (a IS NOT NULL AND NOT coalesce(same, false))::BIGINT AS files_indexed, count(*) FILTER (a IS NULL)::BIGINT AS purged FROM x", "v_manifest_now", "v_manifest_old")
@@ -619,5 +634,4 @@ def debounce_followups(spark, d):
 
 @query("SELECT user_id, count(*)::BIGINT AS changes, count(*) > 0 AS pending_changes FROM events WHERE event_type IN ('view', 'error') GROUP BY user_id")
 def change_pending_flags(spark, d):
-    e = table(spark, d, "events").filter(F.col("event_type").isin("view", "error"))
-    return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("changes")).withColumn("pending_changes", F.col("changes") > 0)
+    return watch.pending_flags(table(spark, d, "events").filter(F.col("event_type").isin("view", "error")), "user_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,15 +83,111 @@ def classify(files: DataFrame, patterns: tuple[str, ...] = (), max_bytes: int |
     return typed.withColumn("skip_reason", reason)
 
 
-def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """path (relative), size_bytes, content of every file below a root, hidden ones too."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = re.sub(r"^file:/*", "/", root).rstrip("/")
-    whole = F.regexp_replace("path", "^file:/*", "/")
-    return files.select(F.substring(whole, F.lit(len(base) + 2), F.length("path")).alias("path"), F.col("length").alias("size_bytes"), F.decode(F.col("content"), "UTF-8").alias("content")).filter("path <> ''")
+def _fs(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def scan(spark: SparkSession, root: str, **options) -> tuple[DataFrame, DataFrame]:
-    """Candidates and skipped paths of a tree."""
-    seen = classify(read_tree(spark, root), **options)
-    return seen.filter("skip_reason IS NULL").drop("skip_reason"), seen.filter("skip_reason IS NOT NULL").select("path", F.col("skip_reason").alias("reason"))
+def _read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file on the driver; Spark's own sources leave out names that begin with a dot."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def ignore_lines(spark: SparkSession, root: str, names: tuple[str, ...] = (".gitignore",)) -> tuple[str, ...]:
+    """The patterns of the ignore files at the root, in order; a missing file has none."""
+    texts = (_read_text(spark, f"{root.rstrip('/')}/{name}") or "" for name in names)
+    return tuple(x.strip() for t in texts for x in t.splitlines() if x.strip())
+
+
+def top_level(spark: SparkSession, root: str, patterns: tuple[str, ...] = ()) -> tuple[list[str], list[str]]:
+    """Children of the root to read, and names of the folders there that are ignored as a whole: these are neither listed nor read. With a pattern that takes paths back, only the folders ignored in any project are left out."""
+    lines = [*INTERNAL_IGNORES, *(p for p in patterns if p.strip() and not p.startswith("#"))]
+    if any(p.startswith("!") for p in lines):
+        lines = list(INTERNAL_IGNORES)
+    known = [re.compile(f"^(?:{ignore_regex(p)})$") for p in lines if not p.startswith("*.")]
+    fs, base = _fs(spark, root)
+    read, left = [], []
+    for s in fs.listStatus(base) if fs.exists(base) else ():
+        name = s.getPath().getName()
+        gone = s.isDirectory() and any(k.match(f"{name}/x") and k.match(f"{name}/x/y") for k in known)
+        (left if gone else read).append(name if gone else s.getPath().toString())
+    return read, left
+
+
+HIDDEN = re.compile(r"(?:^|/)[._]")
+
+
+def _hidden(spark: SparkSession, root: str, paths: list[str]) -> list[str]:
+    """Paths of the files that Spark's sources leave out because a name on the way begins with a dot or an underscore. Names alone are listed, on the driver, as Spark does for the others."""
+    found = []
+    for path in paths:
+        fs, p = _fs(spark, path)
+        listed = spark._jvm.org.apache.spark.deploy.SparkHadoopUtil.get().listLeafStatuses(fs, p).mkString("\n")
+        found += re.findall(r"path=([^;\n]+); isDirectory=false", listed)
+    base = _plain(root)
+    return [x for x in found if HIDDEN.search(_plain(x)[len(base) + 1 :])]
+
+
+def _plain(path: str) -> str:
+    return re.sub(r"^file:/*", "/", path).rstrip("/")
+
+
+def _read_files(batches):
+    """Content of files by their paths, for names that Spark's sources don't read."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    for batch in batches:
+        contents = []
+        for path in batch.column(0).to_pylist():
+            store, at = (fs.LocalFileSystem(), _plain(path)) if "://" not in path or path.startswith("file:") else fs.FileSystem.from_uri(path)
+            with store.open_input_file(at) as f:
+                contents.append(f.read())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(c) for c in contents], pa.int64()), pa.array(contents, pa.binary())], names=["path", "length", "content"])
+
+
+def read_tree(spark: SparkSession, root: str, patterns: tuple[str, ...] = ()) -> DataFrame:
+    """path (relative), size_bytes, content of every file below a root, hidden ones too, but for folders at the root that are ignored as a whole. Bytes that are no UTF-8 read as the replacement character; ``binary`` tells. Without a selected content only names and sizes are read."""
+    paths, _ = top_level(spark, root, patterns)
+    if not paths:
+        return spark.createDataFrame([], "path string, size_bytes long, content string, binary boolean")
+    parts = []
+    if shown := [p for p in paths if not HIDDEN.search(p.rsplit("/", 1)[1])]:
+        parts.append(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(shown).select("path", "length", "content"))
+    if hidden := _hidden(spark, root, paths):
+        listed = spark.createDataFrame([(p,) for p in hidden], "path string").repartition(max(1, min(200, len(hidden) // 100)))
+        parts.append(listed.mapInArrow(_read_files, "path string, length long, content binary"))
+    if not parts:
+        return spark.createDataFrame([], "path string, size_bytes long, content string, binary boolean")
+    files = reduce(DataFrame.unionByName, parts)
+    whole, text = F.regexp_replace("path", "^file:/*", "/"), F.col("content").cast("string")
+    return files.select(F.substring(whole, F.lit(len(_plain(root)) + 2), F.length("path")).alias("path"), F.col("length").alias("size_bytes"), F.make_valid_utf8(text).alias("content"), (~F.is_valid_utf8(text)).alias("binary")).filter("path <> ''")
+
+
+def directories(files: DataFrame) -> DataFrame:
+    """path of every folder that holds a file, at any depth."""
+    parts = F.split("path", "/")
+    return files.select(F.explode(F.transform(F.slice(F.sequence(F.lit(0), F.size(parts) - 1), 2, F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("path")).filter("path <> ''").distinct()
+
+
+def scan(spark: SparkSession, root: str, ignore_files: tuple[str, ...] = (".gitignore",), patterns: tuple[str, ...] = (), **options) -> tuple[DataFrame, DataFrame]:
+    """Candidates and skipped paths of a tree. The ignore files of the tree come first, then the patterns given."""
+    lines = (*ignore_lines(spark, root, ignore_files), *patterns)
+    seen = classify(read_tree(spark, root, lines), patterns=lines, **options)
+    folders = directories(seen.select("path")).withColumn("reason", F.when(ignored(F.col("path"), lines), "ignored").otherwise("directory"))
+    whole = spark.createDataFrame([(x, "ignored") for x in top_level(spark, root, lines)[1]], "path string, reason string")
+    skipped = seen.filter("skip_reason IS NOT NULL").select("path", F.col("skip_reason").alias("reason"))
+    return seen.filter("skip_reason IS NULL").drop("skip_reason"), skipped.unionByName(folders).unionByName(whole)
+
+
+def in_order(candidates: DataFrame) -> DataFrame:
+    """Candidates by path, in binary order."""
+    return candidates.orderBy("path")

@@ -17,6 +17,18 @@ def table_name(project: str, scope: str) -> str:
     return re.sub(r"[^A-Za-z0-9._-]", "_", f"{project}/{scope}").strip().lower()
 
 
+def flatten_locations(rows: DataFrame) -> DataFrame:
+    """start_line, end_line, doc_offset and section without nulls, and has_code_location."""
+    return rows.withColumns({"has_code_location": F.col("start_line").isNotNull(), **{c: F.coalesce(c, F.lit(0)) for c in ("start_line", "end_line", "doc_offset")}, "section": F.coalesce("section", F.lit(""))})
+
+
+def restore_locations(rows: DataFrame) -> DataFrame:
+    """Back from flat columns. An offset of zero and an empty section read as absent."""
+    code = F.col("has_code_location")
+    lines = {c: F.when(code, F.col(c)) for c in ("start_line", "end_line")}
+    return rows.withColumns({**lines, "doc_offset": F.nullif("doc_offset", F.lit(0)), "section": F.nullif("section", F.lit(""))}).drop("has_code_location")
+
+
 class Store:
     """Parquet tables; a write makes a new version of a table beside the old one and then moves the pointer, so readers never see half of it."""
 
@@ -64,9 +76,17 @@ class Store:
             old = old.join(touched.select("path").distinct(), "path", "left_anti")
         self.replace(table, replace_by_path(old, rows))
 
+    def records(self, table: str, key: str) -> DataFrame | None:
+        """All rows in order of their key."""
+        df = self.read(table)
+        return None if df is None else df.orderBy(key)
+
     def merge(self, table: str, rows: DataFrame, key: str) -> None:
+        """Rows with a known key replace it, others are added. A table of other columns or types is dropped and made anew from the rows alone."""
         old = self.read(table)
-        self.replace(table, rows if old is None else merge_by_key(old, rows, key))
+        shape = lambda df: {f.name: f.dataType.simpleString() for f in df.schema}
+        drifted = old is None or shape(old) != shape(rows)
+        self.replace(table, rows if drifted else merge_by_key(old, rows, key))
 
     def delete_by_path(self, table: str, path: str) -> None:
         old = self.read(table)

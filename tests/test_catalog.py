@@ -1,13 +1,17 @@
 """Queries against their SQL on the smallest tables, and small cases of the operators."""
 
 import os
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodeframe.errors import EngineError
 from lodeframe.functions import rows
-from lodeframe.operators import chunk, facts, parse, partition, retrieve, symbols
+from lodeframe.operators import analysis, chunk, facts, observe, parse, partition, retrieve, symbols
+from lodeframe.operators.analysis import Anchor
+from lodeframe.operators.observe import Rule
 from lodeframe.operators.blocks import blocks_of
 from lodeframe.plans import catalog
 from lodeframe.sources.scan import classify, ignored
@@ -15,11 +19,10 @@ from lodeframe.streaming.state import State
 from tests.run_query import compare
 
 SF = "/root/testdata/sf0.001"
-SOME = ["scan_artifact_kind", "doc_partition_count", "chunk_identity", "knn_scored_reranked", "symbol_identity", "derived_package_facts", "graph_nodes_last_wins", "overlay_nodes", "impact_all", "slice_max_files", "entrypoints_ranked", "manifest_changed", "debounce_sessions"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_same_as_sql(spark, name):
     got, odd = compare(spark, SF, catalog.queries()[name], catalog.oracle_sql()[name])
     assert odd is None
@@ -53,6 +56,111 @@ def test_partitions(spark):
     assert got == [("a.md", 0, "partial", 0, "A"), ("a.md", 1, "complete", 1, "A"), ("a.md", 2, "complete", 1, "B"), ("b.ts", 0, "complete", None, None)]
 
 
+def _windows_by_rule(lines, most, overlap):
+    """Line windows taken one line at a time."""
+    out, at = [], 0
+    while at < len(lines):
+        end, size = at, 0
+        while end < len(lines) and (end == at or size + len(lines[end]) + 1 <= most):
+            size, end = size + len(lines[end]) + 1, end + 1
+        out.append((at + 1, end))
+        if end >= len(lines):
+            break
+        back, kept = end, 0
+        while overlap > 0 and back > 0 and (not kept or kept + len(lines[back - 1]) <= overlap):
+            back, kept = back - 1, kept + len(lines[back - 1])
+        at = max(at + 1, back)
+    return [(a, z) for a, z in out if "\n".join(lines[a - 1 : z]).strip()]
+
+
+def test_overlapped_windows():
+    r = random.Random(1)
+    for _ in range(500):
+        lines = ["x" * r.choice([0, 0, 1, 3, 9, 20]) for _ in range(r.randint(1, 12))]
+        b = chunk.Budget(r.choice([5, 10.5, 30]), r.choice([0, 2.5, 8]))
+        assert [(a, z) for _, a, z in chunk._by_lines(lines, b)] == _windows_by_rule(lines, b.max_chars, b.overlap_chars)
+
+
+def test_blocks_with_regex_and_templates():
+    text = 'const r = /["{]/;\nfunction f() { return `a ${ `b { ${1}` } }`; }\nclass A { m() { return a / b / c; } }\nexport const x = 1\ntype T = {\n  a: string;\n} | null;\n'
+    got = [(b["kind"], b["start_line"], b["end_line"]) for b in blocks_of(text)]
+    assert got == [("lexical_declaration", 1, 1), ("function_declaration", 2, 2), ("class_declaration", 3, 3), ("export_statement", 4, 4), ("type_alias_declaration", 5, 7)]
+    began = time.time()
+    assert len(blocks_of("function f() { return 1; }\n" * 20_000)) == 20_000 and time.time() - began < 10
+
+
+def _edges(spark, rows_):
+    return spark.createDataFrame([(f"f{i}", "caller-callee-candidate", c, "p.ts", a, "SymbolCandidate", a, b, "SymbolCandidate", b) for i, (a, b, c) in enumerate(rows_)], "derived_fact_id string, kind string, confidence double, path string, from_id string, from_kind string, from_label string, to_id string, to_kind string, to_label string")
+
+
+def _flow_by_rule(rows_, start, target, back, depth, nodes):
+    """A queue of nodes, each asked once, whose edges are taken one by one."""
+    queue, asked, out = [start], [], []
+    while queue:
+        at = queue.pop(0)
+        if at in asked:
+            continue
+        if len(asked) >= nodes:
+            return out, "truncated"
+        asked.append(at)
+        for i, (a, b, c) in sorted(enumerate(rows_), key=lambda e: (e[1][0 if back else 1], f"f{e[0]}")):
+            here, there = (b, a) if back else (a, b)
+            if here != at or f"f{i}" in [o[0] for o in out]:
+                continue
+            out.append((f"f{i}", here, there))
+            if there == target:
+                return out, "complete"
+            if len(out) >= depth or len(asked) >= nodes:
+                return out, "truncated"
+            queue.append(there)
+    return out, "ambiguous" if target and out else "partial"
+
+
+def test_flow_against_a_queue(spark):
+    r = random.Random(5)
+    for _ in range(12):
+        rows_ = [(r.choice("abcdefg"), r.choice("abcdefg"), r.choice([0.5, 0.7])) for _ in range(r.randint(0, 14))]
+        edges = _edges(spark, rows_)
+        depth, nodes, back, target = r.randint(1, 8), r.choice([1, 2, 3, 200]), r.random() < 0.3, r.choice([None, "g"])
+        segments, summary = analysis.flow(edges, Anchor("symbol", "?", id="a"), Anchor("symbol", "?", id=target) if target else None, "backward" if back else "forward", ("calls",), depth, nodes)
+        want, status = _flow_by_rule(rows_, "a", target, back, depth, nodes)
+        assert [(s["edge_id"], s["from_id"], s["to_id"]) for s in segments] == want and summary["completeness"] == status, (rows_, depth, nodes, back, target)
+
+
+def test_symbol_errors(spark):
+    s = spark.createDataFrame([("i1", "f", "p.ts", None, 1), ("i2", "f", "p.ts", None, 2), ("i3", "g", "p.ts", "sig", 3)], "evidence_id string, name string, path string, signature string, start_line int")
+    f = facts.settle_facts(facts.workflows(spark.createDataFrame([("w.yml", "g")], "path string, name string")))
+    d = _edges(spark, [("i3", "i1", 0.5)])
+    with pytest.raises(EngineError, match="SYMBOL_NOT_FOUND"):
+        analysis.symbol_detail(s, f, d, "p.ts", "h")
+    with pytest.raises(EngineError, match="AMBIGUOUS_SYMBOL"):
+        analysis.symbol_detail(s, f, d, "p.ts", "f")
+    found = analysis.symbol_detail(s, f, d, "p.ts", "g")
+    assert found["callers"].count() == 1 and found["callees"].count() == 0 and [r["label"] for r in found["contexts"].collect()] == ["g"]
+    s = s.withColumn("source_type", F.lit("code"))
+    with pytest.raises(EngineError, match="ANCHOR_NOT_FOUND"):
+        analysis.resolve(s, Anchor("symbol", "h"))
+    with pytest.raises(EngineError, match="AMBIGUOUS_ANCHOR"):
+        analysis.resolve(s, Anchor("symbol", "f"))
+    assert analysis.resolve(s, Anchor("symbol", "g")).key == "i3" and analysis.resolve(s, Anchor("file", "x")).key == "file:x"
+
+
+def test_rule_overrides(spark):
+    lines = spark.createDataFrame([("a.ts", 0, "export function f(x) { g(x); }"), ("b.rb", 0, "f(x)")], "path string, place int, line string")
+    own = {"rb": (Rule("rb.call", 0.5, "call", r"(\w+)\("),), "ts": ()}
+    assert {(r["path"], r["name"]) for r in observe.by_rules(lines, own).collect()} == {("b.rb", "f")}
+    assert {(r["kind"], r["name"]) for r in observe.by_rules(lines).collect() if r["kind"] != "reference"} == {("symbol_definition", "f"), ("call", "f"), ("call", "g")}
+
+
+def test_search_of_blocks(spark):
+    """Queries in blocks of bytes give what one block gives."""
+    chunks = spark.createDataFrame([(f"c{i}", [float(i), 1.0], "code") for i in range(20)], "chunk_key string, embedding array<double>, artifact_kind string")
+    queries = spark.createDataFrame([(i, [float(i), 0.5]) for i in range(7)], "query_id long, vector array<double>")
+    want = {tuple(r) for r in retrieve.search_each(chunks, queries, 3).select("query_id", "chunk_key", "rank").collect()}
+    assert len(want) == 21 and want == {tuple(r) for r in retrieve.search_each(chunks, queries, 3, block_bytes=100).select("query_id", "chunk_key", "rank").collect()}
+    assert retrieve.search(chunks, None, 0).count() == 0
+
+
 def test_chunk_split():
     b = chunk.budget(context=64, margin=16, max_tokens=16, overlap_tokens=8, depth=3)
     assert (b.max_chars, b.overlap_chars) == (40, 20)
