@@ -61,6 +61,14 @@ def settle(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A settled table has this many files, or as many as its rows or bytes ask for: a small one isn't scattered over as many as there are shuffle partitions.
+FEW, ROWS_A_FILE, BYTES_A_FILE = 24, 20_000, 16 << 20
+
+
+def files_for(rows: int = 0, volume: int = 0) -> int:
+    return max(FEW, rows // ROWS_A_FILE, volume // BYTES_A_FILE)
+
+
 class Tables:
     """Settled tables of one run by name. A name written again drops its table before, once the new one is whole."""
 
@@ -68,9 +76,10 @@ class Tables:
         self.spark, self.what = spark, what
         self.paths: dict[str, str] = {}
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+        """The table, in ``parts`` files at most."""
         path = scratch(self.spark, f"{self.what}-{name}")
-        out = settle(df, name, path)
+        out = settle(df.coalesce(parts) if parts else df, name, path)
         self.drop(name)
         self.paths[name] = path
         return out

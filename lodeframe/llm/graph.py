@@ -20,13 +20,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter(F.col("u") != F.col("v")).distinct()
 
 
-def components(edges: DataFrame, tables: Tables | None = None) -> DataFrame:
+def components(edges: DataFrame, tables: Tables | None = None, parts: int | None = None) -> DataFrame:
     """node, comp (its least reachable node) for every node of an edge (u, v); a node without edges has no row. The rounds go on until nothing changes, about the logarithm of the longest path. An empty table gives no rows; edges from a node to itself are left out."""
     tables = tables or Tables(edges.sparkSession, "components")
-    now = tables.write(edges.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    now = tables.write(edges.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", parts)
     sign = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
     last, found = None, sign(now)
     while found[0] and found != last:
-        now = tables.write(_star(_star(now, True), False), "edges")
+        now = tables.write(_star(_star(now, True), False), "edges", parts)
         last, found = found, sign(now)
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Tables
+from .common import Tables, files_for, text_volume
 
 #: Lines of so many words have a neighbourhood, and equal lines of so many words go too; blank lines and lines of one or two words are layout (breaks, headings, list marks).
 LEAST_WORDS, LEAST_EXACT = 8, 3
@@ -60,21 +60,22 @@ def words_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
 
 def near_lines(docs: DataFrame, lines: DataFrame, tables: Tables, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """key, first (doc_id, at of the earliest occurrence), n (how often it stands) of each distinct line of a line table, and drop: whether an earlier different line is within one edit."""
-    distinct = tables.write(lines.groupBy("key", "h1", "h2", "t1", "t2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
+    distinct = tables.write(lines.groupBy("key", "h1", "h2", "t1", "t2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")), "distinct", files_for(lines.count()))
+    parts = files_for(distinct.count())
     half = distinct.filter(F.col("h1").isNotNull()).select("key", F.explode(F.array_distinct(F.array("h1", "h2", "t1", "t2"))).alias("half"))
     shared = half.groupBy("half").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("half")
     close = half.join(shared, "half", "left_semi").select("key").distinct()
-    firsts = tables.write(distinct.join(close, "key", "left_semi").select("key", "first"), "firsts")
-    some = tables.write(words_of(docs, firsts, id_col, text_col), "some")
+    firsts = tables.write(distinct.join(close, "key", "left_semi").select("key", "first"), "firsts", parts)
+    some = tables.write(words_of(docs, firsts, id_col, text_col), "some", parts)
     # eight bytes name a line here; should two lines share them, the words still decide below
-    variants = tables.write(neighbourhood(some.select(F.xxhash64("key").alias("id"), "first", "words")), "variants")
+    variants = tables.write(neighbourhood(some.select(F.xxhash64("key").alias("id"), "first", "words")), "variants", parts)
     # the earliest line for each variant and place; a line meets the earliest of its own place (a replaced word) and the line that is the variant (a deleted word), which meets the earliest of all places
     lead = variants.groupBy("variant", "gone").agg(F.min(F.struct("first", "id")).alias("lead"), F.count(F.lit(1)).alias("c"))
     by_variant = lead.groupBy("variant").agg(F.sum("c").alias("c"), F.min(F.when(F.col("gone") == -1, F.col("lead"))).alias("whole"), F.min(F.when(F.col("gone") != -1, F.col("lead"))).alias("less")).filter("c > 1")
     met = variants.join(by_variant, "variant")
     same_place = variants.join(lead.filter("c > 1 and gone <> -1"), ["variant", "gone"]).select("id", "first", F.col("lead").alias("other"))
     inserted = met.select("id", "first", F.when(F.col("gone") == -1, F.col("less")).otherwise(F.col("whole")).alias("other"))
-    pairs = tables.write(same_place.unionByName(inserted).filter(F.col("other.first") < F.col("first")).select("id", F.col("other.id").alias("other")).distinct(), "pairs")
+    pairs = tables.write(same_place.unionByName(inserted).filter(F.col("other.first") < F.col("first")).select("id", F.col("other.id").alias("other")).distinct(), "pairs", parts)
     tables.drop("firsts", "variants")
     side = lambda k, w: some.select(F.xxhash64("key").alias(k), F.struct("key", "first", "words").alias(w))
     met = pairs.join(side("id", "x"), "id").join(side("other", "y"), "other").filter(F.col("y.first") < F.col("x.first"))
@@ -114,9 +115,9 @@ def within_one_edit(x: Column, y: Column) -> Column:
     return (F.abs(n - m) <= 1) & (before + behind >= F.greatest(n, m) - 1)
 
 
-def repeated(lines: DataFrame, verdicts: DataFrame, tables: Tables) -> DataFrame:
+def repeated(lines: DataFrame, verdicts: DataFrame, tables: Tables, parts: int) -> DataFrame:
     """doc_id, at of the lines of a line table that go: those that are dropped and those that stand earlier. Occurrences of a line meet its verdict by key and salt; the salts of all but hot lines are 0."""
-    some = tables.write(verdicts.filter(F.col("drop") | (F.col("n") > 1)), "verdicts")
+    some = tables.write(verdicts.filter(F.col("drop") | (F.col("n") > 1)), "verdicts", parts)
     total = some.agg(F.sum("n")).first()[0] or 0
     hot = some.filter(F.col("n") > max(HOT_ROWS, total // HOT_SHARE)).select("key", F.lit(HOT_SALTS).alias("salts"))
     salted = lambda df, salt: df.join(F.broadcast(hot), "key", "left").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("salt", salt)
@@ -132,9 +133,10 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "
     Lines are compared by their words; those with fewer than ``least_words`` go only if an equal line stands earlier, and those with fewer than ``least_exact`` always stay. A longer line goes if an equal line stands earlier in the corpus, or if the earliest equal line has an earlier one within one edit. A null text stays null with no lines, an empty one has one empty line that stays. Rows with the same id count as one place each: repeated rows keep the lines of all of them; null ids come first. An empty table gives no rows.
     """
     tables = Tables(docs.sparkSession, "lines")
-    lines = tables.write(line_table(docs, least_words, least_exact, id_col, text_col), "lines")
-    gone = repeated(lines, near_lines(docs, lines, tables, id_col, text_col), tables)
-    dropped = tables.write(gone.groupBy(F.col("doc_id").alias("d")).agg(F.collect_set("at").alias("gone")), "dropped")
+    lines = tables.write(line_table(docs, least_words, least_exact, id_col, text_col), "lines", files_for(volume=text_volume(docs, text_col)[1]))
+    parts = files_for(lines.count())
+    gone = repeated(lines, near_lines(docs, lines, tables, id_col, text_col), tables, parts)
+    dropped = tables.write(gone.groupBy(F.col("doc_id").alias("d")).agg(F.collect_set("at").alias("gone")), "dropped", parts)
     tables.drop("lines", "distinct", "some", "pairs", "verdicts")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried")] if carry else []))
     joined = rows.join(dropped.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")), "left")  # one plan at every size

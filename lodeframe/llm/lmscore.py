@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, docs_of, text_volume
+from .common import Tables, docs_of, files_for, text_volume
 from .exchange import ANSWERED, BLOCK_BYTES, GOLDEN, Words, ddl, mix, n_ranges, read_block, with_totals, word_blocks, word_hashes
 
 #: Stand-ins for the start and the end of a text; no word has white space.
@@ -105,8 +105,9 @@ def score(docs: DataFrame, train: F.Column, order: int = 3, strengths: tuple[flo
     spark = docs.sparkSession
     rows = docs_of(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("chosen")), "doc_id", "text", "chosen")
     tables = Tables(spark, "lm")
-    blocks = tables.write(word_blocks(rows, block_bytes), "blocks")
-    ranges = n_ranges(text_volume(rows)[1])
+    volume = text_volume(rows)[1]
+    parts, ranges = files_for(volume=volume), n_ranges(volume)
+    blocks = tables.write(word_blocks(rows, block_bytes), "blocks", parts)
 
     def items_of(first: int, last: int):
         def items(table: pa.Table):
@@ -153,7 +154,7 @@ def score(docs: DataFrame, train: F.Column, order: int = 3, strengths: tuple[flo
         done = with_totals(blocks, ranges, items_of(first, last), finish if ends else keep, SCORED if ends else ddl(ANSWERED), widths, known, **exchange)
         if ends:
             return done
-        known = tables.write(done, "known")
+        known = tables.write(done, "known", parts)
         first = last = last + 1
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, docs_of, text_volume
+from .common import Tables, docs_of, files_for, text_volume
 from .exchange import BLOCK_BYTES, GOLDEN, Words, mix, n_ranges, read_block, with_totals, word_blocks
 from .graph import components
 
@@ -60,7 +60,8 @@ class Shingles:
 def prefixes(docs: DataFrame, tables: Tables, percent: int = 75, width: int = 5, block_bytes: int = BLOCK_BYTES, **exchange) -> DataFrame:
     """For every row doc_id, n_shingles and gid, a digest of its set (null for an empty one). One row for each set and block that has shared shingles in its prefix also has tokens (those shingles), ranks (their places in the order), clean (share of shingles that other documents have) and shared (all shared shingles, packed and sorted)."""
     rows = docs_of(docs.select("doc_id", "text", F.lit(None).cast("boolean").alias("chosen")), "doc_id", "text", "chosen")
-    blocks = tables.write(word_blocks(rows, block_bytes), "blocks")
+    volume = text_volume(rows)[1]
+    blocks = tables.write(word_blocks(rows, block_bytes), "blocks", files_for(volume=volume))
 
     def items(table: pa.Table):
         return {0: Shingles(read_block(table)[0], width).frequencies()}
@@ -99,7 +100,7 @@ def prefixes(docs: DataFrame, tables: Tables, percent: int = 75, width: int = 5,
                     rows[x].append(None)
         return pa.Table.from_pydict({"doc_id": ids, "n_shingles": s.sizes, **rows}, schema=OUT)
 
-    return with_totals(blocks, n_ranges(text_volume(rows)[1]), items, finish, SCHEMA, {0: 6}, **exchange)
+    return with_totals(blocks, n_ranges(volume), items, finish, SCHEMA, {0: 6}, **exchange).coalesce(files_for(volume=volume))
 
 
 #: About so many partners of one set are verified in one task.
@@ -149,11 +150,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, rounds:
     tables = Tables(docs.sparkSession, "near")
     base = tables.write(prefixes(docs, tables, percent, width, **exchange), "base")
     tables.drop("blocks")
-    ids = tables.write(base.filter(F.col("gid").isNotNull()).groupBy("gid").agg(F.min("doc_id").alias("least")), "ids")
+    parts = files_for(base.count())
+    ids = tables.write(base.filter(F.col("gid").isNotNull()).groupBy("gid").agg(F.min("doc_id").alias("least")), "ids", parts)
     one = base.filter(F.col("tokens").isNotNull()).dropDuplicates(["gid"])  # rows of one set differ in their document alone
     named = one.join(ids, "gid").withColumn("node", _node())
-    sets = tables.write(named.select(F.col("node").alias("gid"), F.col("n_shingles").alias("n"), "clean", F.md5(F.concat_ws(",", F.col("tokens").cast("array<string>"), F.col("n_shingles")).cast("binary")).alias("pg"), "tokens", "ranks", "shared"), "sets")
+    sets = tables.write(named.select(F.col("node").alias("gid"), F.col("n_shingles").alias("n"), "clean", F.md5(F.concat_ws(",", F.col("tokens").cast("array<string>"), F.col("n_shingles")).cast("binary")).alias("pg"), "tokens", "ranks", "shared"), "sets", parts)
     n_sets = sets.count()
+    few = files_for(n_sets)
     links = None
     comp = sets.select("gid", F.col("gid").alias("comp"))
     for turn in range(rounds + 1):
@@ -180,14 +183,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, rounds:
             groups = groups.unionByName(span.filter("low <> high").select(F.col("pg").alias("x"), F.col("pg").alias("y")))
             side = lambda k, g: member.select(F.col("pg").alias(k), F.col("gid").alias(g), F.col("comp").alias(f"c{g}"))
             pairs = groups.join(side("x", "u"), "x").join(side("y", "v"), "y").filter("cu <> cv").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        pairs = tables.write(pairs.select("u", "v"), "pairs")
-        found = tables.write(_verified(pairs, sets, percent, n_sets), f"links-{turn}")
+        pairs = tables.write(pairs.select("u", "v"), "pairs", few)
+        found = tables.write(_verified(pairs, sets, percent, n_sets), f"links-{turn}", few)
         links = found if links is None else links.unionByName(found)
-        comp = tables.write(components(links, tables).withColumnRenamed("node", "gid"), "tied")
+        comp = tables.write(components(links, tables, few).withColumnRenamed("node", "gid"), "tied", few)
         if turn < rounds:
-            comp = tables.write(sets.select("gid").join(comp, "gid", "left").select("gid", F.coalesce("comp", "gid").alias("comp")), "comp")
+            comp = tables.write(sets.select("gid").join(comp, "gid", "left").select("gid", F.coalesce("comp", "gid").alias("comp")), "comp", few)
     found = comp.select(F.substring("gid", 9, 16).alias("gid"), F.nullif(_least(F.col("comp")), F.lit((1 << 63) - 1)).alias("found"))
-    names = tables.write(ids.join(found, "gid", "left").select("gid", F.coalesce("found", "least").alias("component_id")), "names")
+    names = tables.write(ids.join(found, "gid", "left").select("gid", F.coalesce("found", "least").alias("component_id")), "names", parts)
     tables.drop("ids", "sets", "pairs", "edges", "tied", "comp", *(f"links-{t}" for t in range(rounds + 1)))
     return base.select("doc_id", "n_shingles", "gid").join(names, "gid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
