@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeframe.llm import bpe, decontaminate, linededup, neardup, quality
-from lodeframe.llm.common import Tables
+from lodeframe.llm.common import Tables, files_for, text_volume
 
 #: Ids given to rows without one begin here, above those of documents, so a row that has an id is preferred.
 GIVEN = 1 << 62
@@ -37,13 +37,18 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.withColumn(key, _identity()).join(ids, F.col(key) == F.col(other), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+def _compact(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows in as many partitions as the texts they come from ask for, or fewer: a small corpus isn't scattered over hundreds of files."""
+    return out.coalesce(files_for(volume=text_volume(docs)[1]))
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(_identity().alias("doc_id"), "text")
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, as they are. Null and empty texts have no words and go; repeated rows are judged alike; a text of any length is judged whole."""
-    return quality.keep_good(docs)
+    return _compact(quality.keep_good(docs), docs)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,24 +58,24 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     done = linededup.dedup_lines(docs.withColumn(identity, _identity()), id_col=identity, carry=tuple(own))
     rest = done.filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     made = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
-    return rest.select(*((made[c] if c in made else F.col("carried").getField(c)).alias(c) for c in docs.columns))
+    return _compact(rest.select(*((made[c] if c in made else F.col("carried").getField(c)).alias(c) for c in docs.columns)), docs)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the least id, as it is. Null and empty texts are nobody's duplicate and stay."""
     found = neardup.near_duplicates(_texts(docs))
-    return _without(docs, found.filter("doc_id <> component_id").select("doc_id"))
+    return _compact(_without(docs, found.filter("doc_id <> component_id").select("doc_id")), docs)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak no benchmark item, as they are. Null and empty texts leak nothing and stay; without items all stay."""
     found = decontaminate.leaks(_texts(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.select("doc_id"))
+    return _compact(_without(docs, found.select("doc_id")), docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and the sha256 of ids and of the bytes decoded from them, of every row. A null or empty text has no ids; repeated rows and null ids stay."""
-    return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
+    return _compact(bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True), docs)
 
 
 STAGES = [
