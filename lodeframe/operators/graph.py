@@ -43,31 +43,28 @@ def project(symbols: DataFrame | None, facts: DataFrame | None, derived: DataFra
     """Nodes (node_id, kind, label, path) and edges (edge_id, from_node_id, kind, to_node_id, path, evidence_id, confidence); of rows with one id and path the last wins: symbols, then canonical, then derived facts, from before to."""
     nodes, edges = [], []
 
-    def node(df, seq, kind, name, label):
-        nodes.append(df.select(node_id(kind, name).alias("node_id"), kind.alias("kind"), label.alias("label"), "path", F.lit(seq).alias("seq"), F.col("_key").alias("tie")))
-
-    def edge(df, seq, a, kind, b, confidence):
-        edges.append(df.select(edge_id(a, kind, b).alias("edge_id"), a.alias("from_node_id"), kind.alias("kind"), b.alias("to_node_id"), "path", "evidence_id", confidence.cast("double").alias("confidence"), F.lit(seq).alias("seq"), F.col("_key").alias("tie")))
+    def add(df: DataFrame, ends: list[tuple], links: list[tuple]) -> None:
+        """ends: order, kind, name, label of nodes (a null name is none); links: order, from, kind, to, confidence. Each table is read once for all its nodes."""
+        made = F.array(*[F.struct(F.lit(seq).alias("seq"), kind.alias("kind"), name.alias("name"), label.alias("label")) for seq, kind, name, label in ends])
+        rows = df.select("path", F.col("_key").alias("tie"), F.explode(made).alias("n")).filter("n.name IS NOT NULL")
+        nodes.append(rows.select(node_id(F.col("n.kind"), F.col("n.name")).alias("node_id"), "n.kind", "n.label", "path", "n.seq", "tie"))
+        for seq, a, kind, b, confidence in links:
+            edges.append(df.select(edge_id(a, kind, b).alias("edge_id"), a.alias("from_node_id"), kind.alias("kind"), b.alias("to_node_id"), "path", "evidence_id", confidence.cast("double").alias("confidence"), F.lit(seq).alias("seq"), F.col("_key").alias("tie")).filter("edge_id IS NOT NULL AND to_node_id IS NOT NULL"))
 
     if symbols is not None:
         s = symbols.withColumn("_key", F.col("evidence_id"))
-        node(s, 0, F.lit("File"), F.col("path"), F.col("path"))
-        node(s, 1, F.lit("SymbolCandidate"), F.col("evidence_id"), F.col("name"))
-        edge(s, 0, node_id(F.lit("File"), F.col("path")), F.lit("DEFINES_CANDIDATE"), node_id(F.lit("SymbolCandidate"), F.col("evidence_id")), F.lit(1.0))
+        file, candidate = F.lit("File"), F.lit("SymbolCandidate")
+        add(s, [(0, file, F.col("path"), F.col("path")), (1, candidate, F.col("evidence_id"), F.col("name"))], [(0, node_id(file, F.col("path")), F.lit("DEFINES_CANDIDATE"), node_id(candidate, F.col("evidence_id")), F.lit(1.0))])
     if facts is not None:
         f = facts.withColumn("_key", F.col("fact_id")).withColumn("_d", descriptor())
         own = F.concat(F.lit("CanonicalFact:"), F.col("kind"))
-        node(f, 2, own, F.col("fact_id"), F.col("kind"))
-        known = f.filter("_d IS NOT NULL")
-        node(known, 3, F.col("_d.kind"), F.col("_d.id"), F.col("_d.id"))
-        edge(known, 1, node_id(own, F.col("fact_id")), F.lit("REPRESENTS"), node_id(F.col("_d.kind"), F.col("_d.id")), F.col("confidence"))
+        to = F.when(F.col("_d").isNotNull(), node_id(F.col("_d.kind"), F.col("_d.id")))
+        add(f, [(2, own, F.col("fact_id"), F.col("kind")), (3, F.col("_d.kind"), F.col("_d.id"), F.col("_d.id"))], [(1, node_id(own, F.col("fact_id")), F.lit("REPRESENTS"), to, F.col("confidence"))])
     if derived is not None:
         d = derived.withColumn("_key", F.col("derived_fact_id"))
         a_kind, b_kind = F.coalesce("from_kind", F.lit("Entity")), F.coalesce("to_kind", F.lit("Entity"))
         a_id, b_id = F.coalesce("from_id", "path"), F.coalesce("to_id", "derived_fact_id")
-        node(d, 4, a_kind, a_id, F.coalesce("from_label", a_id))
-        node(d, 5, b_kind, b_id, F.coalesce("to_label", b_id))
-        edge(d, 2, node_id(a_kind, a_id), F.col("kind"), node_id(b_kind, b_id), F.col("confidence"))
+        add(d, [(4, a_kind, a_id, F.coalesce("from_label", a_id)), (5, b_kind, b_id, F.coalesce("to_label", b_id))], [(2, node_id(a_kind, a_id), F.col("kind"), node_id(b_kind, b_id), F.col("confidence"))])
     one = lambda parts, key: last_wins(reduce(DataFrame.unionByName, parts), [key, "path"], "seq", "tie").drop("seq", "tie")
     return one(nodes, "node_id"), one(edges, "edge_id")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import line_count, trimmed
@@ -34,39 +34,62 @@ def greedy_starts(lines: Column, limit: Column | int) -> Column:
     return F.aggregate(lines, zero, step, lambda s: s["starts"])
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is named; lambdas would compute a plain expression again for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def window_array(text: Column, limit: Column | int) -> Column:
+    """Array of content, start_line, end_line of greedy line windows; blank windows are left out."""
+
+    def of(lines: Column) -> Column:
+        def spans(starts: Column) -> Column:
+            return F.transform(starts, lambda s, i: F.struct(s.alias("a"), F.coalesce(F.try_element_at(starts, i + 2), F.size(lines)).alias("b")))
+
+        made = F.transform(let(greedy_starts(lines, limit), spans), lambda x: F.struct(trimmed(F.array_join(F.slice(lines, x["a"] + 1, x["b"] - x["a"]), "\n")).alias("content"), (x["a"] + 1).alias("start_line"), x["b"].alias("end_line")))
+        return F.filter(made, lambda x: x["content"] != "")
+
+    return let(F.split(text, "\n"), of)
+
+
 def line_windows(df: DataFrame, text: str, limit: Column | int) -> DataFrame:
-    """df with window_index, content, start_line, end_line; blank windows are left out."""
-    cut = df.withColumn("_lines", F.split(F.col(text), "\n")).withColumn("_starts", greedy_starts(F.col("_lines"), limit))
-    spans = F.transform(F.col("_starts"), lambda s, i: F.struct(s.alias("a"), F.coalesce(F.try_element_at(F.col("_starts"), i + 2), F.size("_lines")).alias("b")))
-    out = cut.withColumn("_s", F.explode(spans)).withColumn("content", trimmed(F.array_join(F.slice("_lines", F.col("_s.a") + 1, F.col("_s.b") - F.col("_s.a")), "\n")))
-    out = out.filter("content <> ''").withColumn("start_line", F.col("_s.a") + 1).withColumn("end_line", F.col("_s.b"))
-    w = Window.partitionBy("path").orderBy("start_line")
-    return out.withColumn("window_index", F.row_number().over(w) - 1).drop("_lines", "_starts", "_s")
+    """df with window_index, content, start_line, end_line. Windows are made and numbered within their row."""
+    out = df.select("*", F.posexplode(window_array(F.col(text), limit)).alias("window_index", "_w"))
+    return out.select(*df.columns, "window_index", "_w.*")
 
 
-def partition_documents(docs: DataFrame) -> DataFrame:
-    """partition_id, path, index, total, status, content, start_line, end_line, doc_offset, section of each partition. docs: path, source_type, artifact_kind, content."""
-    limit = F.when(F.col("artifact_kind") == "lockfile", LOCKFILE_MAX).otherwise(DEFAULT_MAX)
-    base = docs.select("path", "source_type", "artifact_kind", F.regexp_replace("content", "\r\n", "\n").alias("text")).withColumn("limit", limit)
-    big = F.char_length("text") > F.col("limit")
+def _section_parts(text: Column, limit: Column) -> Column:
+    """Array of partitions of a long document: whole sections, and slices of those beyond the limit."""
     none = F.lit(None).cast("int")
-    small = base.filter(~big).select(
-        "path", F.lit(0).alias("index"), F.col("text").alias("content"), F.when(F.col("source_type") == "code", 1).alias("start_line"), F.when(F.col("source_type") == "code", line_count(F.col("text")).cast("int")).alias("end_line"), F.when(F.col("source_type") == "doc", 0).alias("doc_offset"), F.lit(None).cast("string").alias("section"), F.lit(False).alias("cut")
+
+    def piece(content: Column, place: Column, whole: bool, title: Column) -> Column:
+        return F.struct(content.alias("content"), none.alias("start_line"), none.alias("end_line"), place.alias("place"), F.lit(whole).alias("whole"), title.alias("section"))
+
+    def of(section: Column, place: Column) -> Column:
+        def titled(title: Column) -> Column:
+            slices = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.char_length(section) - 1), limit), lambda a: piece(trimmed(F.substring(section, a + 1, limit)), place, False, title))
+            return F.when(F.char_length(section) <= limit, F.array(piece(section, place, True, title))).otherwise(slices)
+
+        return let(section_title(section), titled)
+
+    return F.filter(F.flatten(F.transform(sections(text), of)), lambda x: x["content"] != "")
+
+
+def partition_documents(docs: DataFrame) -> DataFrame:
+    """partition_id, path, index, total, status, content, start_line, end_line, doc_offset, section of each partition. docs: path, source_type, artifact_kind, content, and parse_error if known. All partitions of a document are made within its row: one scan and no shuffle."""
+    limit, code = F.col("limit"), F.col("source_type") == "code"
+    bad = F.col("parse_error").isNotNull() if "parse_error" in docs.columns else F.lit(False)
+    base = docs.select("path", "source_type", F.regexp_replace("content", "\r\n", "\n").alias("text"), F.when(F.col("artifact_kind") == "lockfile", LOCKFILE_MAX).otherwise(DEFAULT_MAX).alias("limit"), bad.alias("bad")).withColumn("big", F.char_length("text") > limit)
+    none, no_title = F.lit(None).cast("int"), F.lit(None).cast("string")
+    whole = F.struct(F.col("text").alias("content"), F.when(code, F.lit(1)).alias("start_line"), F.when(code, line_count(F.col("text")).cast("int")).alias("end_line"), F.when(code, none).otherwise(0).alias("place"), F.lit(True).alias("whole"), no_title.alias("section"))
+    windows = F.transform(window_array(F.col("text"), limit), lambda x: F.struct(x["content"].alias("content"), x["start_line"].alias("start_line"), x["end_line"].alias("end_line"), none.alias("place"), F.lit(True).alias("whole"), no_title.alias("section")))
+    parts = F.when(~F.col("big"), F.array(whole)).when(code, windows).otherwise(_section_parts(F.col("text"), limit))
+    # the one-element generator makes the array an attribute that is not computed again
+    found = base.select("path", "bad", "big", F.explode(F.array(parts)).alias("p")).select("path", "bad", "big", F.size("p").cast("long").alias("total"), F.posexplode("p").alias("index", "x"))
+    status = F.when(F.col("bad"), "degraded").when(F.col("big") & (F.col("index") == 0), "partial").otherwise("complete")
+    return found.select(
+        "path", "index", "x.content", "x.start_line", "x.end_line", F.when(F.col("x.place").isNotNull(), F.when(F.col("x.whole"), F.col("x.place")).otherwise(F.col("index"))).alias("doc_offset"), "x.section", "total", status.alias("status"), F.concat_ws(":", "path", F.col("index").cast("string")).alias("partition_id"),
     )
-    code = line_windows(base.filter(big & (F.col("source_type") == "code")), "text", F.col("limit")).select("path", F.col("window_index").alias("index"), "content", "start_line", "end_line", none.alias("doc_offset"), F.lit(None).cast("string").alias("section"), F.lit(True).alias("cut"))
-    whole = base.filter(big & (F.col("source_type") == "doc")).select("path", "limit", F.posexplode(sections(F.col("text"))).alias("place", "part"))
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.char_length("part") - 1), F.col("limit"))
-    slices = whole.select("path", "limit", "place", "part", F.explode(starts).alias("a")).withColumn("content", trimmed(F.substring("part", F.col("a") + 1, F.col("limit")))).filter("content <> ''")
-    index = F.row_number().over(Window.partitionBy("path").orderBy("place", "a")) - 1
-    docs_cut = slices.withColumn("index", index).select("path", "index", "content", none.alias("start_line"), none.alias("end_line"), F.when(F.char_length("part") <= F.col("limit"), F.col("place")).otherwise(F.col("index")).alias("doc_offset"), section_title(F.col("part")).alias("section"), F.lit(True).alias("cut"))
-    every = small.unionByName(code).unionByName(docs_cut)
-    if "parse_error" in docs.columns:  # a file that could not be parsed is searched by its text alone
-        bad = docs.filter(F.col("parse_error").isNotNull()).select("path", F.lit(True).alias("bad"))
-        every = every.join(bad, "path", "left")
-    else:
-        every = every.withColumn("bad", F.lit(None).cast("boolean"))
-    total = F.count(F.lit(1)).over(Window.partitionBy("path"))
-    return every.withColumn("total", total).withColumn("status", F.when(F.col("bad"), "degraded").when(F.col("cut") & (F.col("index") == 0), "partial").otherwise("complete")).withColumn("partition_id", F.concat_ws(":", "path", F.col("index").cast("string"))).drop("cut", "bad")
 
 
 #: Precedence of partition states.
