@@ -87,7 +87,7 @@ def joined(segments: Column) -> Column:
 
 
 def parse(formatted: Column, template: Template = Template()) -> Column:
-    """The turns of a formatted conversation, as an array of role and text."""
+    """The turns of a formatted conversation, as an array of role and text, in their order, repeated ones too; null for null, and no turns for an empty text."""
 
     def turn(piece: Column) -> Column:
         body = F.substring(piece, F.lit(len(template.open) + 1), F.char_length(piece))
