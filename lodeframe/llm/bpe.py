@@ -168,11 +168,15 @@ def _maker(path: str, pattern: str | None):
     return file_tokenizer(path) if pattern is None else rank_tokenizer(path, pattern)
 
 
+#: Entries of the table of chunks for a rank file, whose worker also holds the ranks, and for a tokenizer file.
+RANK_CHUNKS, FILE_CHUNKS = 150_000, 300_000
+
+
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str | None = None) -> tuple[Encoder, Decoder]:
     """One encoder and decoder for each Python worker, so that its tasks share the table of chunks."""
     tokenizer = _maker(path, pattern)
-    return Encoder(tokenizer), Decoder(tokenizer)
+    return Encoder(tokenizer, FILE_CHUNKS if pattern is None else RANK_CHUNKS), Decoder(tokenizer)
 
 
 def encode(docs: DataFrame, path: str, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False) -> DataFrame:

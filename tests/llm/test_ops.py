@@ -219,6 +219,15 @@ def test_near_duplicates(docs, texts, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_without_ids(spark):
+    """Null ids take part; a group that has an id is named by it, one without stays without."""
+    text = " ".join(f"w{i}" for i in range(60))
+    near, other = text.replace("w3 ", "x3 "), " ".join(f"v{i}" for i in range(60))
+    table = spark.createDataFrame([(None, text), (-5, near), (2**62, text), (None, other), (None, other.replace("v9 ", "u9 ")), (7, ""), (None, None), (8, "a b"), (9, "a  B")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id) for r in neardup.near_duplicates(table).collect()), key=str)
+    assert got == sorted([(None, -5), (-5, -5), (2**62, -5), (None, None), (None, None), (7, 7), (None, None), (8, 8), (9, 8)], key=str)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "e"), ("x", "x"), ("c", "a")], "u string, v string")
     assert {(r.node, r.comp) for r in graph.components(edges).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "d")}
