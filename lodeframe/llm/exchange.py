@@ -7,6 +7,7 @@ A block is cut into ``FAN`` ranges at most, so the rows grow with the corpus and
 
 from __future__ import annotations
 
+import os
 from collections import defaultdict
 from collections.abc import Callable
 from itertools import chain, count
@@ -15,7 +16,6 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,14 +63,13 @@ class Words:
 
 
 def word_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Block rows of docs (doc_id, text without nulls, chosen): texts of about ``block_bytes`` each, one document at least."""
+    """Block rows of docs (doc_id, text without nulls, chosen): texts of about ``block_bytes`` each, one document at least. A block's name is drawn at random, so the table must be written before it is read twice; a task may run this over several partitions, so their numbers would not tell blocks apart."""
 
     def run(batches):
-        task = TaskContext.get().partitionId() << 32
-        for n, piece in enumerate(pieces(batches, block_bytes)):
+        for piece in pieces(batches, block_bytes):
             words = Words.of(piece.column(1).cast(pa.binary()).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x], t) for x, t in zip((task + n, piece.column(0).to_pylist(), piece.column(2).to_pylist(), words.sizes.astype(np.int32), words.hashes.astype("<u8").tobytes(), _planes(words.ids)), BLOCK_ARROW.types)],
+                [pa.array([x], t) for x, t in zip((int.from_bytes(os.urandom(8)) >> 1, piece.column(0).to_pylist(), piece.column(2).to_pylist(), words.sizes.astype(np.int32), words.hashes.astype("<u8").tobytes(), _planes(words.ids)), BLOCK_ARROW.types)],
                 schema=BLOCK_ARROW,
             )
 
@@ -201,6 +200,8 @@ def with_totals(blocks: DataFrame, ranges: int, items: Callable, finish: Callabl
     def end(block: pa.Table, answers: pa.Table) -> pa.Table:
         if not block.num_rows:
             return finish(block, {})
+        if block.num_rows > 1:
+            raise RuntimeError("two blocks have one name")
         by_kind: dict[int, list] = defaultdict(list)
         for row in sorted(answers.drop(["block"]).to_pylist(), key=lambda r: (r["kind"], r["part"])):
             by_kind[row["kind"]].append(row)

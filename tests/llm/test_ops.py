@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 from pyspark.sql import functions as F
 
 from lodeframe.llm import bpe, chat, decontaminate, exchange, graph, linededup, lmscore, neardup, quality, secrets, sharding, tokenfile
+from lodeframe.llm.common import files_for as exchange_files
 from lodeframe.llm.common import scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, block int, key string, n int"
@@ -291,6 +292,16 @@ def test_exchange_packets():
         assert exchange.unpack_counts(exchange.pack_counts(np.array(counts, np.int64)), len(counts)).tolist() == counts
 
 
+def test_exchange_of_many_partitions(docs):
+    """More partitions than a small table has files give the same results as few."""
+    many = docs.repartition(70)
+    assert many.rdd.getNumPartitions() > exchange_files()
+    one = lmscore.score(docs, F.col("doc_id") % 4 != 2)
+    assert sorted(map(tuple, lmscore.score(many, F.col("doc_id") % 4 != 2).collect()), key=str) == sorted(map(tuple, one.collect()), key=str)
+    assert sorted(map(tuple, neardup.near_duplicates(many).collect())) == sorted(map(tuple, neardup.near_duplicates(docs).collect()))
+    assert sorted(map(tuple, linededup.dedup_lines(many).collect())) == sorted(map(tuple, linededup.dedup_lines(docs).collect()))
+
+
 def test_exchange_of_two_levels(docs):
     """Few ranges in a level, small blocks and small chunks give the same results as one level."""
     small = {"block_bytes": 600, "fan": 3, "chunk_bytes": 1}
