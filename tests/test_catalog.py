@@ -161,6 +161,11 @@ def test_search_of_blocks(spark):
     assert retrieve.search(chunks, None, 0).count() == 0
 
 
+def test_status_precedence(spark):
+    states = spark.createDataFrame([("a", "complete"), ("a", "skipped"), ("b", "degraded"), ("b", "partial"), ("b", "failed"), ("c", "skipped"), ("c", "degraded")], "path string, status string")
+    assert {tuple(r) for r in partition.status_rollup(states).collect()} == {("a", "skipped"), ("b", "failed"), ("c", "degraded")}
+
+
 def test_chunk_split():
     b = chunk.budget(context=64, margin=16, max_tokens=16, overlap_tokens=8, depth=3)
     assert (b.max_chars, b.overlap_chars) == (40, 20)

@@ -54,6 +54,11 @@ def test_questions(engine):
         engine.search("  ")
 
 
+def test_store_filters(engine):
+    rows = engine.store.read("symbols", path="main.ts", kind="function", source_type=None).collect()
+    assert [r["name"] for r in rows] == ["greet"] and engine.store.read("symbols", path="none.ts").count() == 0 and engine.store.read("nothing") is None
+
+
 def test_incremental(engine, tree):
     again = engine.index()
     assert (again["files_total"], again["files_indexed"]) == (3, 0)
