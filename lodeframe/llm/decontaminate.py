@@ -61,10 +61,25 @@ def loud(word: str) -> bool:
     return len(bare) > 1 and bare.isupper()
 
 
+def forms(word: str) -> tuple[str, bool, str, bool]:
+    """What :func:`canonical`, :func:`raw` and :func:`loud` say of a word, with a short way for words of letters alone, which most are."""
+    bare = word.strip(EDGES)
+    if not bare.isalpha():
+        form, value = canonical(word)
+        return form, bool(value), raw(word), loud(word)
+    low, many = bare.lower(), len(bare) > 1
+    if low in UNITS:
+        return UNIT, True, low, many and bare.isupper()
+    if many and bare[0].isupper():
+        capitals = bare.isupper()
+        return (low, False, low, True) if capitals else (NAME, True, low, False)
+    return low, False, low, many and bare.isupper()
+
+
 class Canon:
     """Canonical and raw forms of words (bytes) as hashes; a table of bounded size remembers them."""
 
-    def __init__(self, limit: int = 200_000):
+    def __init__(self, limit: int = 300_000):
         self.limit = limit
         self._reset()
 
@@ -78,12 +93,11 @@ class Canon:
         while n + len(words) > self.flags.shape[1]:
             self.hashes, self.flags = (np.concatenate([x, np.zeros_like(x)], 1) for x in (self.hashes, self.flags))
         texts = [w.decode("utf-8", "surrogatepass") for w in words]
-        forms = [canonical(w) for w in texts]
+        form, slots, raws, capitals = zip(*map(forms, texts))
         at = slice(n, n + len(words))
-        self.hashes[0, at] = mix(word_hashes([f[0] for f in forms]))
-        self.hashes[1, at] = mix(word_hashes([raw(w) for w in texts]))
-        self.flags[0, at] = [bool(f[1]) for f in forms]
-        self.flags[1, at] = [loud(w) for w in texts]
+        self.hashes[0, at] = mix(word_hashes(form))
+        self.hashes[1, at] = mix(word_hashes(raws))
+        self.flags[0, at], self.flags[1, at] = slots, capitals
         self.seen.update((w, n + i) for i, w in enumerate(words))
 
     def read(self, words: list[bytes]) -> tuple[np.ndarray, ...]:

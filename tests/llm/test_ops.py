@@ -351,6 +351,12 @@ def _clean():
     return [*made, "Continue: 3, 9, 27, 81, 243, 729, 2187, 6561, 19683 and say why", "How many cats are there? Nobody knows, for they never stand still."]
 
 
+def test_forms_of_words():
+    for w in [*" ".join(QUESTIONS).split(), "KM", "km", "Km.", "A", "a", "ǅungla", "ÉTÉ", "été", "ß", "...", "3kg", "$5", "TOM!!", "McDonald", "o'Neil", "X1", "ⅷ", "中文", "İstanbul"]:
+        form, value = decontaminate.canonical(w)
+        assert decontaminate.forms(w) == (form, bool(value), decontaminate.raw(w), decontaminate.loud(w)), w
+
+
 def test_decontamination_recall(spark):
     items, found = _leaking()
     clean = _clean()
