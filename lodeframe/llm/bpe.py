@@ -1,6 +1,6 @@
 """Byte-level BPE with the tokenizers library, over Arrow batches.
 
-Byte-level BPE works on each match of its splitting pattern alone, and a match never reaches across a space that stands before a character that isn't white space. So a text falls into chunks there, each chunk seen is encoded once while a table of bounded size remembers it, and a text's ids are gathered from the table.
+Byte-level BPE works on each match of its splitting pattern alone, and a match never reaches across a space that stands before a character that isn't white space. So a text falls into chunks there, each chunk seen is encoded once while a table of bounded size remembers it, and a text's ids are gathered from the table. New chunks are encoded many at a time, as running texts, for a call for each costs more than the merges.
 """
 
 from __future__ import annotations
@@ -10,16 +10,17 @@ import os
 import re
 from collections.abc import Iterable
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import docs_of, pieces
 
 BOUNDARY = re.compile(r" (?=\S)")
-ODD_SPACE = re.compile(r" (?=\s)| \Z")
 
 
 def byte_alphabet() -> list[str]:
@@ -29,6 +30,10 @@ def byte_alphabet() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
+#: How a vocabulary shows a space.
+SPACE = byte_alphabet()[32]
+
+
 @lru_cache(maxsize=4)
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -74,6 +79,9 @@ class Encoder:
         self.sizes = np.zeros(1 << 14, np.int32)
         self.hits = np.zeros(1 << 14, np.int32)
         self.n = self.used = 0
+        vocab = tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.spaced[[i for token, i in vocab.items() if token.startswith(SPACE)]] = True
 
     def _trim(self) -> None:
         again = np.flatnonzero(self.hits[: self.n] > 1)
@@ -93,47 +101,92 @@ class Encoder:
         self.hits[:] = 0
 
     def _learn(self, table: dict[str, int], new: list[str], lead: str) -> None:
-        for at in range(0, len(new), 5_000):
-            some = new[at : at + 5_000]
+        """Enter chunks. Those that begin with a space and have no other are encoded as running texts, cut again where a token begins with a space."""
+        joined = [w for w in new if " " not in w] if lead else []
+        for at in range(0, len(joined), 20_000):
+            some = joined[at : at + 20_000]
+            runs = [lead + lead.join(some[i : i + 500]) for i in range(0, len(some), 500)]
+            ids = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)), np.int64)
+            begins = np.flatnonzero(self.spaced[ids])
+            if len(begins) != len(some):  # the tokenizer has other ways with spaces
+                joined = joined[:at]
+                break
+            self._enter(table, some, ids, np.diff(begins, append=len(ids)))
+        alone = [w for w in new if w not in table] if len(joined) < len(new) else []
+        for at in range(0, len(alone), 5_000):
+            some = alone[at : at + 5_000]
             ids = [e.ids for e in self.tokenizer.encode_batch_fast([lead + w for w in some], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int32, len(ids))
-            total = int(sizes.sum())
-            while self.used + total > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while self.n + len(ids) > len(self.starts):
-                self.starts, self.sizes, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes, self.hits))
-            self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-            self.starts[self.n : self.n + len(ids)] = self.used + np.cumsum(sizes) - sizes
-            self.sizes[self.n : self.n + len(ids)] = sizes
-            table.update(zip(some, range(self.n, self.n + len(some)), strict=True))
-            self.n += len(ids)
-            self.used += total
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            self._enter(table, some, np.fromiter(chain.from_iterable(ids), np.int64, int(sizes.sum())), sizes)
+
+    def _enter(self, table: dict[str, int], some: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        total = len(ids)
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.n + len(some) > len(self.starts):
+            self.starts, self.sizes, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes, self.hits))
+        at = slice(self.n, self.n + len(some))
+        self.flat[self.used : self.used + total] = ids
+        self.starts[at] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[at] = sizes
+        table.update(zip(some, range(self.n, self.n + len(some)), strict=True))
+        self.n += len(some)
+        self.used += total
+
+    def _places(self, table: dict[str, int], words: list[str], lead: str) -> np.ndarray:
+        """Where the table has each of the words."""
+        places = np.fromiter(map(table.get, words, repeat(-1)), np.int64, len(words))
+        if len(missing := np.flatnonzero(places < 0)):
+            new = [words[i] for i in missing]
+            self._learn(table, list(dict.fromkeys(new)), lead)
+            places[missing] = np.fromiter(map(table.__getitem__, new), np.int64, len(new))
+        return places
+
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each text has."""
         if self.n > self.limit:
             self._trim()
-        firsts, rest, counts = [], [], np.zeros(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            if text:
-                parts = BOUNDARY.split(text) if ODD_SPACE.search(text) else text.split(" ")
-                counts[k] = len(parts)
-                if not parts[0]:  # the text begins with the space of its first chunk
-                    counts[k] -= 1
-                    firsts.append(" " + parts[1])
-                    rest += parts[2:]
-                else:
-                    firsts.append(parts[0])
-                    rest += parts[1:]
-        for table, words, lead in ((self.first, firsts, ""), (self.rest, rest, " ")):
-            if new := [w for w in set(words) if w not in table]:
-                self._learn(table, new, lead)
+        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        if not len(column):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        # Most texts have spaces between words alone: they are cut at all of them, and each distinct word is looked up once.
+        cut = pc.split_pattern(column, " ")
+        counts = pc.list_value_length(cut).to_numpy().astype(np.int64)
+        begins = np.cumsum(counts) - counts
+        words = cut.flatten().dictionary_encode()
+        known, index = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy()
+        del cut, words
+        odd = np.fromiter((not w or w[0].isspace() for w in known), bool, len(known))[index]
+        empty = np.fromiter((not w for w in known), bool, len(known))[index[begins]]
+        odd[begins] = empty
+        odd_text = np.logical_or.reduceat(odd, begins)
+        rest = np.repeat(~odd_text, counts)
+        rest[begins] = False
+        rest = index[rest]
+        needed = np.flatnonzero(np.bincount(rest, minlength=len(known)))
+        place = np.zeros(len(known), np.int64)
+        place[needed] = self._places(self.rest, [known[i] for i in needed], " ")
+        rest = place[rest]
+        firsts = self._places(self.first, [known[i] for i in index[begins[~odd_text]]], "")
+        # The others are cut by the rule.
+        other_firsts, other_rest = [], []
+        for k in np.flatnonzero(odd_text):
+            text = column[int(k)].as_py()
+            parts = BOUNDARY.split(text) if text else []
+            if parts and not parts[0]:  # the text begins with the space of its first chunk
+                parts[:2] = [" " + parts[1]]
+            counts[k] = len(parts)
+            other_firsts += parts[:1]
+            other_rest += parts[1:]
         entries = np.empty(int(counts.sum()), np.int64)
         begins = (np.cumsum(counts) - counts)[counts > 0]
-        is_rest = np.ones(len(entries), bool)
-        is_rest[begins] = False
-        entries[begins] = np.fromiter(map(self.first.__getitem__, firsts), np.int64, len(firsts))
-        entries[is_rest] = np.fromiter(map(self.rest.__getitem__, rest), np.int64, len(rest))
+        odd_text = odd_text[counts > 0]
+        other = np.repeat(odd_text, counts[counts > 0])
+        inner = np.ones(len(entries), bool)
+        inner[begins] = False
+        entries[inner & ~other], entries[begins[~odd_text]] = rest, firsts
+        if len(other_firsts):
+            entries[inner & other], entries[begins[odd_text]] = self._places(self.rest, other_rest, " "), self._places(self.first, other_firsts, "")
         seen = np.bincount(entries, minlength=1)
         self.hits[: len(seen)] += seen.astype(np.int32)
         sizes = self.sizes[entries].astype(np.int64)
@@ -169,7 +222,7 @@ def _maker(path: str, pattern: str | None):
 
 
 #: Entries of the table of chunks for a rank file, whose worker also holds the ranks, and for a tokenizer file.
-RANK_CHUNKS, FILE_CHUNKS = 150_000, 300_000
+RANK_CHUNKS, FILE_CHUNKS = 150_000, 1_000_000
 
 
 @lru_cache(maxsize=2)
@@ -188,7 +241,7 @@ def encode(docs: DataFrame, path: str, pattern: str | None = None, id_col: str =
     def run(batches: Iterable[pa.RecordBatch]):
         encoder, decoder = codec(path, pattern)
         for piece in pieces(batches):
-            ids, counts = encoder.encode(piece.column(1).to_pylist())
+            ids, counts = encoder.encode(piece.column(1))
             bounds = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             out = [piece.column(0), pa.ListArray.from_arrays(bounds, pa.array(ids.astype(np.int32)))]
             if offsets:
@@ -220,7 +273,7 @@ def digests(docs: DataFrame, path: str, pattern: str | None = None, with_ids: bo
     def run(batches):
         encoder, decoder = codec(path, pattern)
         for piece in pieces(batches):
-            ids, counts = encoder.encode(piece.column(1).to_pylist())
+            ids, counts = encoder.encode(piece.column(1))
             parts = np.split(ids.astype("<u4"), np.cumsum(counts)[:-1])
             out = {"doc_id": piece.column(0), "n_tokens": pa.array(counts)}
             if with_ids:

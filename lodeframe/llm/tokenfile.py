@@ -52,8 +52,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
         trial = {x: f"{base}/_try-{context.taskAttemptId()}.{x}" for x in names}
         encoder, n_docs, n_tokens = codec(tokenizer_path)[0], 0, 0
         out = {x: store.open_output_stream(p) for x, p in trial.items()}
-        for piece in pieces(batches):
-            ids, counts = encoder.encode(piece.column(1).to_pylist())
+        for piece in pieces(batches, 4_000_000):
+            ids, counts = encoder.encode(piece.column(1))
             if end_id is not None:
                 ids = np.insert(ids, np.cumsum(counts), end_id)
                 counts = counts + 1

@@ -128,6 +128,34 @@ def test_chunk_table_is_trimmed():
     assert len(small.first) + len(small.rest) == small.n and len(large.rest) > 1000
 
 
+def test_new_chunks_are_encoded_as_running_texts():
+    """Learning a chunk takes no call's overhead of its own, and chunks with odd white space, which can't be joined, have the library's ids all the same."""
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.given = tokenizer, 0
+
+        def __getattr__(self, name):
+            return getattr(self.tokenizer, name)
+
+        def encode_batch_fast(self, texts, **more):
+            self.given += len(texts)
+            return self.tokenizer.encode_batch_fast(texts, **more)
+
+    r = random.Random(5)
+    tokenizer = Counted(bpe.file_tokenizer(P.path("byte_bpe_50k.json")))
+    words = ["".join(r.choices("abcdefghéß.,\n\t", k=r.randint(3, 9))) + "x" for _ in range(5000)]
+    some = [" ".join(words), "x " + " ".join(words[:9])]
+    ids, counts = bpe.Encoder(tokenizer).encode(some)
+    assert tokenizer.given < 1000  # of 5,000 distinct chunks; those with odd white space go alone
+    bits = ["a", "It's", " ", "  ", "\n", " \n", "\t", "\xa0", "\u3000", "\x1c", "\x85", "é.", "12", "<|endoftext|>", "\x00", "😀"]
+    odd = ["", " ", "  ", " a", "a ", "a  b", "a \nb c", *("".join(r.choices(bits, k=r.randint(1, 12))) + r.choice(["", " b", " b c"]) for _ in range(3000))]
+    for texts in (some, odd, odd[::-1], odd[:1], []):
+        ids, counts = bpe.Encoder(tokenizer).encode(texts)
+        want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == (want or [[]])
+
+
 def test_lines(docs, texts, empty):
     got = {r.doc_id: r for r in linededup.dedup_lines(docs).collect()}
     seen = []  # (words, doc, line) of earlier long lines
