@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import docs_of, pieces
+from .common import docs_of, pieces, tidied
 
 BOUNDARY = re.compile(r" (?=\S)")
 
@@ -232,6 +232,12 @@ def codec(path: str, pattern: str | None = None) -> tuple[Encoder, Decoder]:
     return Encoder(tokenizer, FILE_CHUNKS if pattern is None else RANK_CHUNKS), Decoder(tokenizer)
 
 
+def forget() -> None:
+    """Drop all that a worker remembers of tokenizers."""
+    for kept in (codec, rank_tokenizer, file_tokenizer, read_ranks):
+        kept.cache_clear()
+
+
 def encode(docs: DataFrame, path: str, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False) -> DataFrame:
     """doc_id, ids (array of int) and, if wanted, starts (array of int: the byte at which each token starts), for every row.
 
@@ -249,7 +255,7 @@ def encode(docs: DataFrame, path: str, pattern: str | None = None, id_col: str =
                 out.append(pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(parts).astype(np.int32))))
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "ids", "starts"][: len(out)])
 
-    return docs_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>" + ", starts array<int>" * offsets)
+    return docs_of(docs, id_col, text_col).mapInArrow(tidied(run, codecs=True), "doc_id long, ids array<int>" + ", starts array<int>" * offsets)
 
 
 def decode(tokens: DataFrame, path: str, pattern: str | None = None) -> DataFrame:
@@ -260,7 +266,7 @@ def decode(tokens: DataFrame, path: str, pattern: str | None = None) -> DataFram
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([decoder.decode(np.asarray(x or [], np.int64)) for x in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "content"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, content binary")
+    return tokens.select("doc_id", "ids").mapInArrow(tidied(run, codecs=True), "doc_id long, content binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -282,7 +288,7 @@ def digests(docs: DataFrame, path: str, pattern: str | None = None, with_ids: bo
             out["decoded_sha256"] = pa.array([hashlib.sha256(decoder.decode(x)).hexdigest() for x in parts])
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    return docs_of(docs).mapInArrow(run, "doc_id long, n_tokens long, " + "ids array<int>, " * with_ids + "ids_sha256 string, decoded_sha256 string")
+    return docs_of(docs).mapInArrow(tidied(run, codecs=True), "doc_id long, n_tokens long, " + "ids array<int>, " * with_ids + "ids_sha256 string, decoded_sha256 string")
 
 
 def op10_bpe(spark, sf_dir):

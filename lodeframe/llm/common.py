@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
+import sys
 import tempfile
 import uuid
 from contextlib import contextmanager
+from functools import lru_cache, wraps
+from inspect import signature
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,6 +107,56 @@ def text_volume(df: DataFrame, text_col: str = "text") -> tuple[int, int]:
     return n, size or 0
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    """glibc's call that returns freed memory to the system, or one that does nothing."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0) if sys.platform == "linux" else lambda pad: 0
+
+
+def give_back() -> None:
+    """Return what this process has freed to the system. A Python worker lives on between tasks and operators, and its allocators would keep it, beside a JVM that needs it."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def drop_codecs() -> None:
+    """Forget the tokenizers and tables of chunks that a worker remembers for tasks that encode."""
+    if bpe := sys.modules.get(f"{__package__}.bpe"):
+        bpe.forget()
+
+
+def tidied(run, codecs: bool = False):
+    """A function for mapInArrow whose worker keeps as little as can be once its task is done, and that holds no codecs of operators before it but where ``codecs`` says that it encodes."""
+
+    @wraps(run)
+    def whole(batches):
+        if not codecs:
+            drop_codecs()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
+def tidied_groups(run):
+    """The same for a function of applyInArrow, which is called for each group, with one table or two."""
+
+    def whole(*tables):
+        drop_codecs()
+        try:
+            return run(*tables)
+        finally:
+            give_back()
+
+    if len(signature(run).parameters) == 1:  # Spark looks at how many there are
+        return lambda table: whole(table)
+    return lambda left, right: whole(left, right)
+
+
 def pieces(batches, chars: int = 2_000_000):
     """Slices of Arrow batches whose text column ``text`` holds about so many bytes, and one row at least."""
     import numpy as np

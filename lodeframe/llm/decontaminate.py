@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, docs_of, pieces, word_re
+from .common import Tables, docs_of, pieces, tidied, word_re
 from .exchange import GOLDEN, mix, word_hashes
 
 EDGES = ".,;:!?\"'()[]{}«»„“”‘’…"
@@ -179,7 +179,7 @@ def item_windows(benchmark: DataFrame, limits: Limits) -> DataFrame:
             yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("size", pa.int32()), ("hash", pa.int64()), ("item_id", pa.int64()), ("at", pa.int32()), ("raw", pa.bool_()), ("n_windows", pa.int32()), ("n_all", pa.int32())]))
 
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return items.mapInArrow(run, "size int, hash long, item_id long, at int, raw boolean, n_windows int, n_all int")
+    return items.mapInArrow(tidied(run), "size int, hash long, item_id long, at int, raw boolean, n_windows int, n_all int")
 
 
 def window_hits(docs: DataFrame, items: DataFrame, limits: Limits) -> DataFrame:
@@ -215,7 +215,7 @@ def window_hits(docs: DataFrame, items: DataFrame, limits: Limits) -> DataFrame:
         known = np.unique(items.select("hash").distinct().toArrow().column(0).to_numpy().view(np.uint64))
         if not len(known):
             return rows.limit(0).select("doc_id", F.lit(0).alias("place"), F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("at"), F.lit(False).alias("raw"), F.lit(0).alias("n_windows"), F.lit(0).alias("n_all"))
-    found = rows.mapInArrow(lambda batches: doc_windows(batches, known), "doc_id long, size int, hash long, place int")
+    found = rows.mapInArrow(tidied(lambda batches: doc_windows(batches, known)), "doc_id long, size int, hash long, place int")
     return found.join(items, ["size", "hash"]).select("doc_id", "place", "item_id", "at", "raw", "n_windows", "n_all")
 
 
@@ -261,7 +261,7 @@ def consistent(ways: DataFrame, docs: DataFrame, benchmark: DataFrame, limits: L
                         break
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(schema.types)], schema=schema)
 
-    return pairs.mapInArrow(run, "doc_id long, item_id long, covered long, n_windows int, place int, slots long").dropDuplicates(["doc_id", "item_id"])
+    return pairs.mapInArrow(tidied(run), "doc_id long, item_id long, covered long, n_windows int, place int, slots long").dropDuplicates(["doc_id", "item_id"])
 
 
 def agreed(words: list[str], item: list[str], found: list[tuple[int, int]], size: int) -> int | None:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, tidied, tidied_groups
 
 #: Constants of the splitmix64 finaliser.
 M1, M2, GOLDEN = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -73,7 +73,7 @@ def word_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                 schema=BLOCK_ARROW,
             )
 
-    return docs.select("doc_id", "text", "chosen").mapInArrow(run, BLOCK)
+    return docs.select("doc_id", "text", "chosen").mapInArrow(tidied(run), BLOCK)
 
 
 def read_block(table: pa.Table) -> tuple[Words, list, list]:
@@ -207,14 +207,14 @@ def with_totals(blocks: DataFrame, ranges: int, items: Callable, finish: Callabl
             by_kind[row["kind"]].append(row)
         return finish(block, {kind: Found(np.concatenate([unpack_counts(r["totals"], r["n"]) for r in rows]), sum(r["total"] for r in rows), sum(r["distinct"] for r in rows)) for kind, rows in by_kind.items()})
 
-    sent = blocks.mapInArrow(send, ddl(SENT))
+    sent = blocks.mapInArrow(tidied(send), ddl(SENT))
     if ranges <= fan:
-        answered = sent.groupBy("part", "kind").applyInArrow(answer, ddl(ANSWERED))
+        answered = sent.groupBy("part", "kind").applyInArrow(tidied_groups(answer), ddl(ANSWERED))
     else:
         answered = _two_levels(sent, -(-ranges // fan), parts, opened, chunk_bytes)
     if known is not None:
         answered = answered.unionByName(known)
-    return blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(end, schema)
+    return blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(tidied_groups(end), schema)
 
 
 def _two_levels(sent: DataFrame, inner: int, parts: int, opened: Callable, chunk_bytes: int) -> DataFrame:
@@ -268,5 +268,5 @@ def _two_levels(sent: DataFrame, inner: int, parts: int, opened: Callable, chunk
         return pa.Table.from_pydict({"block": blocks, "part": [rows[0]["part"]] * n, "kind": [rows[0]["kind"]] * n, "n": [len(x) for x in whole], "totals": [pack_counts(x) for x in whole], "total": [sum(r["total"] for r in rows)] * n, "distinct": [sum(r["distinct"] for r in rows)] * n}, schema=ANSWERED)
 
     dealt = sent.repartition(F.col("kind"), F.col("part"), F.pmod(F.xxhash64("block"), F.lit(inner))).sortWithinPartitions("kind", "part", "block")
-    counted = dealt.mapInArrow(deal, ddl(CHUNK)).groupBy("kind", "part", "sub").applyInArrow(tally, ddl(COUNTED))
-    return counted.groupBy("kind", "part", "chunk").applyInArrow(gather, ddl(ANSWERED))
+    counted = dealt.mapInArrow(tidied(deal), ddl(CHUNK)).groupBy("kind", "part", "sub").applyInArrow(tidied_groups(tally), ddl(COUNTED))
+    return counted.groupBy("kind", "part", "chunk").applyInArrow(tidied_groups(gather), ddl(ANSWERED))

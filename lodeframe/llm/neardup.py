@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, docs_of, files_for, text_volume
+from .common import Tables, docs_of, files_for, text_volume, tidied
 from .exchange import BLOCK_BYTES, GOLDEN, Words, mix, n_ranges, read_block, with_totals, word_blocks
 from .graph import components
 
@@ -123,7 +123,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, n_sets: int) -> D
             ok = 100 * same >= percent * (nu.to_numpy() + nv.to_numpy() - same)
             yield pa.RecordBatch.from_arrays([u.filter(pa.array(ok)), v.filter(pa.array(ok))], names=["u", "v"])
 
-    return with_set(with_set(pairs, "u", "v"), "v", "u").select("u", "v", "nu", "nv", "su", "sv").mapInArrow(run, "u binary, v binary")
+    return with_set(with_set(pairs, "u", "v"), "v", "u").select("u", "v", "nu", "nv", "su", "sv").mapInArrow(tidied(run), "u binary, v binary")
 
 
 def _possible(a: str, b: str, percent: int):

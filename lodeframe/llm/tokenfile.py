@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import codec, file_tokenizer
-from .common import docs_of, pieces, scratch, text_volume
+from .common import docs_of, pieces, scratch, text_volume, tidied
 
 NULL_ID = np.iinfo(np.int64).min
 #: Beyond so many parts they grow and not their number, which the driver reads.
@@ -75,7 +75,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
 
     rows = docs_of(docs, id_col, text_col)
     ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(run, "part int, documents long, tokens long, kind string")
+    return ordered.mapInArrow(tidied(run, codecs=True), "part int, documents long, tokens long, kind string")
 
 
 def _mapped(store: pafs.FileSystem, path: str, kind: str) -> np.ndarray:

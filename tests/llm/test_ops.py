@@ -156,6 +156,28 @@ def test_new_chunks_are_encoded_as_running_texts():
         assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == (want or [[]])
 
 
+def test_workers_give_memory_back(docs, monkeypatch):
+    """What a worker remembers for tasks that encode goes when another operator's task comes, and freed memory goes back to the system behind each task."""
+    from lodeframe.llm import common
+
+    given, calls, own = [], [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: given.append(f) or own(self, f, schema))
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    quality.verdicts(docs, refs={})
+    quality.keep_good(docs.limit(0))
+    exchange.word_blocks(docs.withColumn("chosen", F.lit(True)))
+    bpe.digests(docs, path, P.PATTERN)
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    assert len(given) == 5  # two of them of keep_good
+    for i, f in enumerate(given):
+        bpe.codec(path, P.PATTERN)
+        assert list(f(iter([]))) == [] and calls.pop()
+        assert bool(bpe.codec.cache_info().currsize) == (i == 4)
+    blocks = common.tidied_groups(lambda left, right: (left, right))
+    assert blocks(1, 2) == (1, 2) and common.tidied_groups(lambda table: table)(3) == 3 and len(calls) == 2
+    bpe.forget()
+
+
 def test_lines(docs, texts, empty):
     got = {r.doc_id: r for r in linededup.dedup_lines(docs).collect()}
     seen = []  # (words, doc, line) of earlier long lines
