@@ -202,7 +202,7 @@ def window_hits(docs: DataFrame, items: DataFrame, limits: Limits) -> DataFrame:
                 at, found = at[on], found[on]
             return at, found
 
-        for piece in pieces(batches):
+        for piece in pieces(batches, 1_000_000):
             words, doc, begin = split(piece.column(1).cast(pa.binary()).to_pylist())
             ids = piece.column(0)
             for size, at, found, raw_at, raws in windows(canon.read(words), doc, sizes, limits.fixed):
