@@ -15,6 +15,9 @@ PAYLOAD = ("from_id", "from_kind", "from_label", "to_id", "to_kind", "to_label")
 #: Names of the payload keys in the hashed JSON.
 JSON_KEYS = ("fromId", "fromKind", "fromLabel", "toId", "toKind", "toLabel")
 
+#: Fixed value: pairs of symbols for each task.
+PAIRS = 1_000_000
+
 
 def canonical(df: DataFrame, kind: str, id_parts: list[Column], confidence: Column | float, payload: dict[str, Column]) -> DataFrame:
     """fact_id, kind, confidence, path, evidence_id, payload, seq. Nulls are left out of the payload; evidence_id is the fact's own id unless the rows have one."""
@@ -105,7 +108,9 @@ def crowded(symbols: DataFrame, most: int) -> DataFrame:
 
 
 def symbol_pairs(symbols: DataFrame) -> DataFrame:
-    """All ordered pairs of distinct symbols of a file as reference candidates, and those of two functions as call candidates too. The contract is all pairs within a file; :func:`crowded` tells the files that are too large for it."""
+    """All ordered pairs of distinct symbols of a file as reference candidates, and those of two functions as call candidates too. The contract is all pairs within a file; :func:`crowded` tells the files that are too large for it. Files are dealt over as many tasks as their pairs ask for, about ``PAIRS`` each, so that what groups or sorts the pairs takes no more memory for more files."""
+    n = symbols.groupBy("path").agg(F.count(F.lit(1)).cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
+    symbols = symbols.repartition(int(n // PAIRS) + 1, "path").hint("merge")
     a = symbols.select("path", F.col("evidence_id").alias("a"), F.col("name").alias("an"), F.col("kind").alias("ak"))
     b = symbols.select("path", F.col("evidence_id").alias("b"), F.col("name").alias("bn"), F.col("kind").alias("bk"))
     pairs = a.join(b, "path").filter("a <> b")

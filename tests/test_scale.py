@@ -1,10 +1,11 @@
 """Steps that once grew faster than their input: what is sorted, joined and shuffled, and that the results are those of the plain rule."""
 
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
-from lodeframe.operators import retrieve
+from lodeframe.operators import facts, retrieve
 
 
 def plan(df) -> str:
@@ -35,3 +36,14 @@ def _by_query(chunks, queries) -> dict:
     for p in chunks.crossJoin(queries).withColumn("distance", far).withColumn("score", retrieve.score(F.col("distance"))).collect():
         out.setdefault(p["query_id"], []).append(p)
     return out
+
+
+def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    """More files make more tasks, not larger ones, and a file's pairs stay in one of them."""
+    monkeypatch.setattr(facts, "PAIRS", 500, raising=False)
+    symbols = spark.createDataFrame([(f"f{i}", f"i{i}-{j}", f"n{j}", "function" if j < 2 else "class") for i in range(200) for j in range(5)], "path string, evidence_id string, name string, kind string").coalesce(1)
+    pairs = facts.symbol_pairs(symbols).select("path", "kind", "from_id", "to_id", F.spark_partition_id().alias("task")).collect()
+    assert {p[:4] for p in map(tuple, pairs)} == {(f"f{i}", k, f"i{i}-{a}", f"i{i}-{b}") for i in range(200) for a in range(5) for b in range(5) if a != b for k in ("symbol-references-symbol-candidate", "caller-callee-candidate") if a < 2 and b < 2 or k[0] == "s"}
+    tasks = Counter(p["task"] for p in pairs)
+    assert len(pairs) == 200 * 22 and max(tasks.values()) < 1500 and len({(p["path"], p["task"]) for p in pairs}) == 200
+    assert facts.symbol_pairs(symbols.limit(0)).count() == 0
