@@ -11,16 +11,17 @@ from ..errors import EngineError
 
 
 def _one(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """Rows are dealt by their key before they are ranked: a rank limit before the shuffle would sort all that a task reads, in memory and on disk, where most keys stand once."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    return df.repartition(*keys).withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
-def last_wins(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
-    """One row per key, the last in the order. The rank limit is applied before the shuffle as well."""
+def last_wins(df: DataFrame, keys: list[str], *order: str | Column) -> DataFrame:
+    """One row per key, the last in the order."""
     return _one(df, keys, [F.desc(c) for c in order])
 
 
-def first_wins(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
+def first_wins(df: DataFrame, keys: list[str], *order: str | Column) -> DataFrame:
     return _one(df, keys, [F.asc(c) for c in order])
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rows import last_wins
-from ..functions.text import sha_id
+from ..functions.text import packed, sha_id, unpacked
 from .facts import payload
 
 VERSION = "milestone-4.1"
@@ -30,6 +30,17 @@ def edge_id(a: Column, kind: Column, b: Column) -> Column:
     return sha_id(a, kind, b)
 
 
+def node_key(kind: Column, name: Column) -> Column:
+    """What a node id is the hash of, or the hash's bytes where they are shorter: equal for equal ids, and 33 bytes at most."""
+    text = F.concat_ws(":", kind, name)
+    return F.when(F.octet_length(text) <= 32, F.concat(F.lit(b"\0"), text.cast("binary"))).otherwise(F.concat(F.lit(b"\1"), F.unhex(F.sha2(text.cast("binary"), 256))))
+
+
+def id_of_key(key: Column) -> Column:
+    rest = F.substring(key, 2, 33)
+    return F.when(F.substring(key, 1, 1) == F.lit(b"\1"), F.lower(F.hex(rest))).otherwise(F.sha2(rest, 256))
+
+
 def descriptor() -> Column:
     """Struct of id and kind of the domain node that a canonical fact stands for, null where it names none."""
     out = F.when(F.col("kind") == "file_import", F.struct(payload("specifier").alias("id"), F.when(payload("isPackage") == "true", "Package").otherwise("File").alias("kind")))
@@ -40,33 +51,38 @@ def descriptor() -> Column:
 
 
 def project(symbols: DataFrame | None, facts: DataFrame | None, derived: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Nodes (node_id, kind, label, path) and edges (edge_id, from_node_id, kind, to_node_id, path, evidence_id, confidence); of rows with one id and path the last wins: symbols, then canonical, then derived facts, from before to."""
+    """Nodes (node_id, kind, label, path) and edges (edge_id, from_node_id, kind, to_node_id, path, evidence_id, confidence); of rows with one id and path the last wins: symbols, then canonical, then derived facts, from before to. Keys and packed ids are shuffled, hex ids are made of them afterwards."""
     nodes, edges = [], []
 
     def add(df: DataFrame, ends: list[tuple], links: list[tuple]) -> None:
-        """ends: order, kind, name, label of nodes (a null name is none); links: order, from, kind, to, confidence. Each table is read once for all its nodes."""
-        made = F.array(*[F.struct(F.lit(seq).alias("seq"), kind.alias("kind"), name.alias("name"), label.alias("label")) for seq, kind, name, label in ends])
-        rows = df.select("path", F.col("_key").alias("tie"), F.explode(made).alias("n")).filter("n.name IS NOT NULL")
-        nodes.append(rows.select(node_id(F.col("n.kind"), F.col("n.name")).alias("node_id"), "n.kind", "n.label", "path", "n.seq", "tie"))
+        """ends: order, kind, name, label of nodes (a null name is none); links: order, from, kind, to, confidence, with keys for from and to. Each table is read once for all its nodes."""
+        tie = packed(F.col("_key")).alias("tie")
+        made = F.array(*[F.struct(F.lit(seq).cast("byte").alias("seq"), kind.alias("kind"), name.alias("name"), label.alias("label")) for seq, kind, name, label in ends])
+        rows = df.select("path", tie, F.explode(made).alias("n")).filter("n.name IS NOT NULL")
+        nodes.append(rows.select(node_key(F.col("n.kind"), F.col("n.name")).alias("node"), "n.kind", packed(F.col("n.label")).alias("label"), "path", "n.seq", "tie"))
         for seq, a, kind, b, confidence in links:
-            edges.append(df.select(edge_id(a, kind, b).alias("edge_id"), a.alias("from_node_id"), kind.alias("kind"), b.alias("to_node_id"), "path", "evidence_id", confidence.cast("double").alias("confidence"), F.lit(seq).alias("seq"), F.col("_key").alias("tie")).filter("edge_id IS NOT NULL AND to_node_id IS NOT NULL"))
+            edges.append(df.select(a.alias("a"), kind.alias("kind"), b.alias("b"), "path", packed(F.col("evidence_id")).alias("evidence_id"), confidence.cast("double").alias("confidence"), F.lit(seq).cast("byte").alias("seq"), tie).filter("b IS NOT NULL"))
 
     if symbols is not None:
         s = symbols.withColumn("_key", F.col("evidence_id"))
         file, candidate = F.lit("File"), F.lit("SymbolCandidate")
-        add(s, [(0, file, F.col("path"), F.col("path")), (1, candidate, F.col("evidence_id"), F.col("name"))], [(0, node_id(file, F.col("path")), F.lit("DEFINES_CANDIDATE"), node_id(candidate, F.col("evidence_id")), F.lit(1.0))])
+        add(s, [(0, file, F.col("path"), F.col("path")), (1, candidate, F.col("evidence_id"), F.col("name"))], [(0, node_key(file, F.col("path")), F.lit("DEFINES_CANDIDATE"), node_key(candidate, F.col("evidence_id")), F.lit(1.0))])
     if facts is not None:
         f = facts.withColumn("_key", F.col("fact_id")).withColumn("_d", descriptor())
         own = F.concat(F.lit("CanonicalFact:"), F.col("kind"))
-        to = F.when(F.col("_d").isNotNull(), node_id(F.col("_d.kind"), F.col("_d.id")))
-        add(f, [(2, own, F.col("fact_id"), F.col("kind")), (3, F.col("_d.kind"), F.col("_d.id"), F.col("_d.id"))], [(1, node_id(own, F.col("fact_id")), F.lit("REPRESENTS"), to, F.col("confidence"))])
+        to = F.when(F.col("_d").isNotNull(), node_key(F.col("_d.kind"), F.col("_d.id")))
+        add(f, [(2, own, F.col("fact_id"), F.col("kind")), (3, F.col("_d.kind"), F.col("_d.id"), F.col("_d.id"))], [(1, node_key(own, F.col("fact_id")), F.lit("REPRESENTS"), to, F.col("confidence"))])
     if derived is not None:
         d = derived.withColumn("_key", F.col("derived_fact_id"))
         a_kind, b_kind = F.coalesce("from_kind", F.lit("Entity")), F.coalesce("to_kind", F.lit("Entity"))
         a_id, b_id = F.coalesce("from_id", "path"), F.coalesce("to_id", "derived_fact_id")
-        add(d, [(4, a_kind, a_id, F.coalesce("from_label", a_id)), (5, b_kind, b_id, F.coalesce("to_label", b_id))], [(2, node_id(a_kind, a_id), F.col("kind"), node_id(b_kind, b_id), F.col("confidence"))])
-    one = lambda parts, key: last_wins(reduce(DataFrame.unionByName, parts), [key, "path"], "seq", "tie").drop("seq", "tie")
-    return one(nodes, "node_id"), one(edges, "edge_id")
+        add(d, [(4, a_kind, a_id, F.coalesce("from_label", a_id)), (5, b_kind, b_id, F.coalesce("to_label", b_id))], [(2, node_key(a_kind, a_id), F.col("kind"), node_key(b_kind, b_id), F.col("confidence"))])
+    one = lambda parts, *keys: last_wins(reduce(DataFrame.unionByName, parts), [*keys, "path"], "seq", unpacked(F.col("tie")))
+    a, b = id_of_key(F.col("a")), id_of_key(F.col("b"))
+    return (
+        one(nodes, "node").select(id_of_key(F.col("node")).alias("node_id"), "kind", unpacked(F.col("label")).alias("label"), "path"),
+        one(edges, "a", "kind", "b").select(edge_id(a, F.col("kind"), b).alias("edge_id"), a.alias("from_node_id"), "kind", b.alias("to_node_id"), "path", unpacked(F.col("evidence_id")).alias("evidence_id"), "confidence"),
+    )
 
 
 def edges_by_node(edges: DataFrame, node: str) -> DataFrame:

@@ -1,11 +1,15 @@
 """Steps that once grew faster than their input: what is sorted, joined and shuffled, and that the results are those of the plain rule."""
 
+import hashlib
 import random
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
 
-from lodeframe.operators import facts, retrieve
+from lodeframe.functions.rows import last_wins
+from lodeframe.functions.text import packed, unpacked
+from lodeframe.operators import facts, graph, retrieve
 
 
 def plan(df) -> str:
@@ -47,3 +51,48 @@ def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
     tasks = Counter(p["task"] for p in pairs)
     assert len(pairs) == 200 * 22 and max(tasks.values()) < 1500 and len({(p["path"], p["task"]) for p in pairs}) == 200
     assert facts.symbol_pairs(symbols.limit(0)).count() == 0
+
+
+HEX = hashlib.sha256(b"x").hexdigest()
+ODD = ["a", "", "b:c", HEX, HEX.upper(), HEX + "\n", HEX[:63], "é" * 31, "x" * 32, "x" * 33, "\x01" + HEX]
+
+
+def _sha(*parts):
+    return hashlib.sha256(":".join(parts).encode()).hexdigest()
+
+
+def _derived(spark):
+    """Facts with odd names, several of one edge or node, whose ids sort otherwise as text than packed."""
+    r, ties = random.Random(7), [f"{i}" for i in range(200)] + [_sha(str(i)) for i in range(200)]
+    rows = [(t, r.choice("kl"), r.random(), r.choice("pq"), *(x for _ in "ab" for x in (r.choice(ODD), r.choice(["A", "A:b", "S"]), r.choice(ODD))), r.choice(ODD)) for t in r.sample(ties, 400)]
+    rows += [(f"t{i}", *rows[i][1:]) for i in range(50)]
+    return rows, spark.createDataFrame(rows, "derived_fact_id string, kind string, confidence double, path string, from_id string, from_kind string, from_label string, to_id string, to_kind string, to_label string, evidence_id string")
+
+
+def test_packed_texts(spark):
+    df = spark.createDataFrame([(x,) for x in [None, *ODD]], "x string").select("x", packed(F.col("x")).alias("p"))
+    rows = df.select("x", "p", unpacked(F.col("p")).alias("y")).collect()
+    assert all(x["x"] == x["y"] for x in rows) and len({x["p"] for x in rows}) == len(rows)
+    assert {len(x["p"]) for x in rows if x["x"] == HEX} == {33}
+
+
+def test_graph_against_a_plain_rule(spark):
+    rows, df = _derived(spark)
+    nodes, edges = {}, {}
+    for t, kind, sure, path, a, ak, al, b, bk, bl, e in sorted(rows, key=lambda x: x[0].encode()):
+        edges[_sha(_sha(ak, a), kind, _sha(bk, b)), path] = (_sha(ak, a), kind, _sha(bk, b), e, sure)
+    for seq in (0, 1):
+        for t, _, _, path, *ends, _ in sorted(rows, key=lambda x: x[0].encode()):
+            name, kind, label = ends[3 * seq : 3 * seq + 3]
+            nodes[_sha(kind, name), path] = (kind, label)
+    n, e = graph.project(None, None, df)
+    assert {(x["node_id"], x["path"]): (x["kind"], x["label"]) for x in n.collect()} == nodes and n.count() == len(nodes)
+    assert {(x["edge_id"], x["path"]): (x["from_node_id"], x["kind"], x["to_node_id"], x["evidence_id"], x["confidence"]) for x in e.collect()} == edges and e.count() == len(edges)
+
+
+def test_rows_are_ranked_after_the_shuffle(spark):
+    """What a task reads is not sorted: it is larger than a task's memory, and most keys stand once."""
+    _, df = _derived(spark)
+    kinds = spark.createDataFrame([("p", str(i), "c") for i in range(9)], "path string, name string, command string")
+    for ranked in (*graph.project(None, None, df), facts.settle_facts(facts.workspace_tasks(kinds)), last_wins(df, ["path"], "kind")):
+        assert "Exchange" in plan(ranked) and not re.search("Sort|WindowGroupLimit", plan(ranked).split("Exchange")[-1])
