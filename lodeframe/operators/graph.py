@@ -21,6 +21,9 @@ ENTRYPOINT_NAMES = ("name", "scriptName", "workflowName", "taskName", "artifactN
 OVERLAYS = {"caller-callee-candidate": ("cfg", "cfg-next"), "symbol-references-symbol-candidate": ("data_flow", "data-flow")}
 PDG_KINDS = ("file-imports-file", "file-imports-package", "workflow-runs-package-script-candidate", "quality-gate-runs-script-candidate", "config-selects-entrypoint-candidate")
 
+#: Fixed value: nodes that a query names as literals at most.
+FEW = 1000
+
 
 def node_id(kind: Column, name: Column) -> Column:
     return sha_id(kind, name)
@@ -95,11 +98,14 @@ def by_path(rows: DataFrame, path: str) -> DataFrame:
 
 
 def edges_by_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges that touch any of a table of nodes: two equality joins, an edge once."""
+    """Edges that touch any of a table of nodes, an edge once. Up to ``FEW`` nodes stand in the query as literals, so that they reach the scan; more take two equality joins."""
     some = nodes.select(F.col("node_id").alias("_n")).distinct()
-    a = edges.join(some, edges.from_node_id == some._n, "left_semi")
-    b = edges.join(some, edges.to_node_id == some._n, "left_semi")
-    return a.unionByName(b).dropDuplicates(["edge_id", "path"])
+    few = [r["_n"] for r in some.limit(FEW + 1).collect()]
+    if len(few) <= FEW:
+        hits = edges.filter(F.col("from_node_id").isin(few) | F.col("to_node_id").isin(few))
+    else:
+        hits = edges.join(some, edges.from_node_id == some._n, "left_semi").unionByName(edges.join(some, edges.to_node_id == some._n, "left_semi"))
+    return hits.dropDuplicates(["edge_id", "path"])
 
 
 def overlay_edges(derived: DataFrame) -> DataFrame:

@@ -96,3 +96,17 @@ def test_rows_are_ranked_after_the_shuffle(spark):
     kinds = spark.createDataFrame([("p", str(i), "c") for i in range(9)], "path string, name string, command string")
     for ranked in (*graph.project(None, None, df), facts.settle_facts(facts.workspace_tasks(kinds)), last_wins(df, ["path"], "kind")):
         assert "Exchange" in plan(ranked) and not re.search("Sort|WindowGroupLimit", plan(ranked).split("Exchange")[-1])
+
+
+def test_nodes_reach_the_scan(spark, monkeypatch):
+    """Edges of one node or a few are sought before edges are shuffled, and many nodes give the same by joins."""
+    rows, df = _derived(spark)
+    edges = graph.project(None, None, df)[1]
+    some = [_sha(rows[i][5], rows[i][4]) for i in range(3)] + ["none"]
+    nodes = spark.createDataFrame([(x,) for x in some], "node_id string")
+    want = {(x["edge_id"], x["path"]) for x in edges.collect() if x["from_node_id"] in some or x["to_node_id"] in some}
+    few = graph.edges_by_nodes(edges, nodes)
+    assert some[0] in plan(graph.edges_by_node(edges, some[0])).split("Exchange")[-1] and "Join" not in plan(few)
+    monkeypatch.setattr(graph, "FEW", 3, raising=False)
+    for hits in (few, graph.edges_by_nodes(edges, nodes)):
+        assert {tuple(x) for x in hits.select("edge_id", "path").collect()} == want and hits.count() == len(want) > 0
