@@ -120,7 +120,7 @@ def overlay_edges(derived: DataFrame) -> DataFrame:
 
 
 def overlay_nodes(edges: DataFrame) -> DataFrame:
-    """overlay, id, kind, label of the ends of the kept edges; the last edge's attributes win."""
-    ends = F.array(*[F.struct(F.col(f"{x}_id").alias("id"), F.col(f"{x}_kind").alias("kind"), F.col(f"{x}_label").alias("label"), F.lit(k).alias("side")) for k, x in enumerate(("from", "to"))])
-    rows = edges.select("overlay", "derived_fact_id", F.explode(ends).alias("e")).select("overlay", "derived_fact_id", "e.*")
-    return last_wins(rows, ["overlay", "id"], "derived_fact_id", "side").drop("derived_fact_id", "side")
+    """overlay, id, kind, label of the ends of the kept edges; the last edge's attributes win. Ids are shuffled packed."""
+    ends = F.array(*[F.struct(packed(F.col(f"{x}_id")).alias("id"), F.col(f"{x}_kind").alias("kind"), packed(F.col(f"{x}_label")).alias("label"), F.lit(k).cast("byte").alias("side")) for k, x in enumerate(("from", "to"))])
+    rows = edges.select("overlay", packed(F.col("derived_fact_id")).alias("tie"), F.explode(ends).alias("e")).select("overlay", "tie", "e.*")
+    return last_wins(rows, ["overlay", "id"], unpacked(F.col("tie")), "side").select("overlay", unpacked(F.col("id")).alias("id"), "kind", unpacked(F.col("label")).alias("label"))
