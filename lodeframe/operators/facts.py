@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rows import last_wins
-from ..functions.text import sha_id
+from ..functions.text import packed, sha_id, unpacked
 from .parse import NPM_RUN
 
 PAYLOAD = ("from_id", "from_kind", "from_label", "to_id", "to_kind", "to_label")
@@ -79,9 +79,12 @@ def symbol_exports(rows: DataFrame) -> DataFrame:
 
 
 def settle_facts(*facts: DataFrame) -> DataFrame:
-    """All facts, one per id: the last of the last table wins."""
+    """All facts, one per id: the last of the last table wins. Ids are shuffled packed, evidence that is the fact's own id not at all."""
     every = reduce(DataFrame.unionByName, [f.withColumn("_t", F.lit(k)) for k, f in enumerate(facts)])
-    return last_wins(every, ["fact_id"], "_t", "seq").drop("_t")
+    evidence = F.when(F.col("evidence_id") == F.col("fact_id"), F.lit(b"")).otherwise(packed(F.col("evidence_id")))
+    one = last_wins(every.withColumns({"evidence_id": evidence, "fact_id": packed(F.col("fact_id"))}), ["fact_id"], "_t", "seq").drop("_t")
+    own = unpacked(F.col("fact_id"))
+    return one.withColumns({"evidence_id": F.when(F.octet_length("evidence_id") == 0, own).otherwise(unpacked(F.col("evidence_id"))), "fact_id": own})
 
 
 def payload(key: str) -> Column:
